@@ -8,6 +8,7 @@ from checks.registry import check
 from ledgerloom.functions import dates, text
 from ledgerloom.functions.money import clean_amount, memo_balance, memo_mortgage, money_out
 from ledgerloom.operators import normalise
+from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.plans import imports
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import statements, tables
@@ -481,8 +482,7 @@ def known(f):
 
 
 def imported(f, broken=False):
-    rows = normalise.normalise_statement(card_rows(f, broken), "Rogers Mastercard")
-    return imports.import_rows(rows, known(f), f.accounts, f.children, f.rules)
+    return imports.import_frames([(card_rows(f, broken), "Rogers Mastercard")], known(f), f.accounts, f.children, f.rules)
 
 
 @check(
@@ -511,30 +511,38 @@ def _(f):
     return rows.select("date", "description", money_out("amount").alias("amount"), money_out("ai_confidence").alias("ai_confidence"), "account_id")
 
 
-@check("import_stream", f"SELECT DISTINCT date, description, CAST(amount AS DOUBLE) AS amount FROM ({BATCH})")
+@check(
+    "import_stream",
+    f"""WITH k AS (SELECT DISTINCT date, description, amount FROM ({BATCH}))
+    SELECT date, description, CAST(amount AS DOUBLE) AS amount, 1 AS ids_are_dense FROM k""",
+)
 def _(f):
     folder, ledger = shared_folder(f.spark, "arriving"), shared_folder(f.spark, "ledger")
-    state = shared_folder(f.spark, "progress")
+    accounts, state = shared_folder(f.spark, "accounts"), shared_folder(f.spark, "progress")
     first = normalise.normalise_statement(card_rows(f).filter(F.col("source_row") < 200_000_000), "Rogers Mastercard")
-    start = first.dropDuplicates(["hash"]).select("date", "description", "amount", "hash")
-    tables.write_transactions(start, ledger)
+    start = first.select("date", "description", "amount", "hash").dropDuplicates(["hash"])
+    tables.write_transactions(assign_ids(start, ["hash"], digits=4), ledger)
+    f.accounts.withColumn("id", F.col("id").cast("bigint")).write.parquet(accounts)
     columns = ["Date", "Description", "Amount", "Type"]
     for _run in range(2):
         # The second run finds the same rows in new files.
         card_rows(f).select(*columns).write.mode("append").options(**WRITE).csv(folder)
-        import_stream(f.spark, folder, columns, "Rogers Mastercard", ledger, f.accounts, f.children, f.rules, state).awaitTermination()
+        import_stream(f.spark, folder, columns, "Rogers Mastercard", ledger, accounts, f.children, f.rules, state).awaitTermination()
     rows = tables.load_ledger(f.spark, ledger)
-    return rows.select("date", "description", money_out("amount").alias("amount"))
+    ids = rows.agg((F.countDistinct("id") == F.max("id")).cast("int").alias("dense")).scalar()
+    return rows.select("date", "description", money_out("amount").alias("amount"), ids.alias("ids_are_dense"))
 
 
 @check(
     "import_statements",
-    f"SELECT count(DISTINCT (date, description, amount)) AS inserted, count(*) AS parsed FROM ({BATCH})",
+    f"SELECT 2 * count(*) AS parsed, count(DISTINCT (date, description, amount)) + count(DISTINCT (date, description, amount)) AS inserted FROM ({BATCH})",
 )
 def _(f):
     folder = shared_folder(f.spark, "statement")
-    card_rows(f).select("Date", "Description", "Amount", "Type").write.options(**WRITE).csv(f"{folder}/a")
-    empty = f.txns.select(F.lit("").alias("hash")).filter("hash = 'x'")
-    done = imports.import_statements(f.spark, f"{folder}/a", "Rogers Mastercard", empty, f.accounts, f.children, f.rules)
-    total = done.summary().filter("source_file = 'ALL FILES'")
-    return total.select("inserted", "parsed")
+    rows = card_rows(f).select("Date", "Description", "Amount", "Type")
+    rows.write.options(**WRITE).csv(f"{folder}/card")
+    rows.select("Amount", "Description", "Date").write.options(**WRITE).csv(f"{folder}/invest")
+    empty = f.txns.select("id", F.lit("").alias("hash")).filter("hash = 'x'")
+    sources = {"Rogers Mastercard": f"{folder}/card", "Wealthsimple Invest": f"{folder}/invest"}
+    done = imports.import_statements(f.spark, sources, empty, f.accounts, f.children, f.rules)
+    return done.summary().filter("source_file = 'ALL FILES'").select("parsed", "inserted")

@@ -332,24 +332,40 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hash", fingerprint(ref, "date", "description", "amount"))
 
 
-def normalise_statement(
+def file_accounts(
     df: DataFrame, institution: str, account_number: str | None = None, account_name: str | None = None
 ) -> DataFrame:
-    """One transaction row per statement row that has a date cell.
+    """One row per file: source_file, institution, account_label, account_number.
 
-    Without ``account_number`` it is detected per file. The label is ``account_name``,
-    else institution and number. Rows still hold date_raw, so ``split_rejects`` can
-    put unreadable ones aside.
+    Without ``account_number`` it is detected. The label is ``account_name``, else
+    institution and number.
     """
-    layout = layout_of(institution)
-    rows = normalise_rows(df, layout)
     if account_number is not None:
-        rows = rows.withColumn("account_number", F.lit(account_number))
+        files = df.select("source_file").distinct().withColumn("account_number", F.lit(account_number))
     else:
-        rows = rows.join(detect_account(df, any_account_column=layout.any_account_column), "source_file", "left")
+        files = detect_account(df, any_account_column=layout_of(institution).any_account_column)
     label = F.lit(account_name) if account_name is not None else account_label(F.lit(institution), "account_number")
-    labelled = rows.withColumns({"account_label": label, "institution": F.lit(institution)})
-    return with_fingerprint(labelled)
+    return files.select("source_file", F.lit(institution).alias("institution"), label.alias("account_label"), "account_number")
+
+
+def normalise_statement(
+    df: DataFrame, institution: str, account_number: str | None = None, account_name: str | None = None,
+    files: DataFrame | None = None,
+) -> DataFrame:
+    """One transaction row per statement row that has a date cell.
+
+    ``files`` are the file_accounts rows where they are known already. Rows still hold
+    date_raw, so ``split_rejects`` can put unreadable ones aside. With a given number
+    nothing is joined; else the one row per file is.
+    """
+    rows = normalise_rows(df, layout_of(institution))
+    if files is None and account_number is not None:
+        label = F.lit(account_name) if account_name is not None else account_label(F.lit(institution), F.lit(account_number))
+        fixed = {"institution": F.lit(institution), "account_label": label, "account_number": F.lit(account_number)}
+        return with_fingerprint(rows.withColumns(fixed))
+    if files is None:
+        files = file_accounts(df, institution, account_number, account_name)
+    return with_fingerprint(rows.join(files, "source_file"))
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

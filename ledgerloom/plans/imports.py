@@ -1,8 +1,8 @@
-"""Import of statement files: read, normalise, find accounts, categorise, check, append."""
+"""Import of statement files: read, find accounts, normalise, categorise, check, append."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import MONEY
 from ledgerloom.operators.categorise import categorise_batch
 from ledgerloom.operators.maintain import check_constraints, new_rows, upsert_accounts
-from ledgerloom.operators.normalise import institutions, normalise_statement, split_rejects
+from ledgerloom.operators.normalise import file_accounts, institutions, normalise_statement, split_rejects
+from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import resolve_category
 from ledgerloom.plans.reports import import_summary
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources.statements import LINEAGE, read_statements
 
 
 @dataclass
 class Imported:
-    """Frames of one import; nothing has run until one of them is used."""
+    """Frames of one import. ``batch`` holds every row that fits, ``added`` the ones that are new."""
 
     batch: DataFrame
     added: DataFrame
@@ -29,6 +31,11 @@ class Imported:
     def summary(self) -> DataFrame:
         return import_summary(self.batch, self.added, self.rejected)
 
+    def numbered(self, ledger: DataFrame) -> DataFrame:
+        """The new rows with transaction ids that follow the ledger's highest."""
+        rows = assign_ids(self.added, ["hash"], ledger.agg(F.max("id")), digits=4)
+        return rows.drop(*LINEAGE)
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     result = frames[0]
@@ -37,38 +44,41 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return result
 
 
-def link_accounts(rows: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(account table, rows with account_id). Accounts are made distinct before they are matched."""
-    seen = institutions(rows.select("institution", "account_label", "account_number").distinct())
-    wanted = seen.select(
-        F.col("account_label").alias("name"), F.col("bank").alias("institution"),
+def link_accounts(files: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(account table with new accounts, one row per file with account_id).
+
+    Both are small next to the rows and are read by every later step, so they are
+    kept by a checkpoint instead of scanning the statements again.
+    """
+    wanted = institutions(files).select(
+        "source_file", F.col("account_label").alias("name"), F.col("bank").alias("institution"),
         F.col("account_type").alias("type"), "account_number", F.col("institution").alias("statement_kind"),
     )
     table, linked = upsert_accounts(accounts, wanted)
     ids = linked.select(
-        F.col("name").alias("account_label"), F.col("statement_kind").alias("institution"),
-        F.col("account_number").alias("_number"), "account_id",
+        "source_file", F.col("statement_kind").alias("institution"), F.col("name").alias("account_label"),
+        "account_number", "account_id",
     )
-    same = (
-        (rows["account_label"] == ids["account_label"])
-        & (rows["institution"] == ids["institution"])
-        & (F.coalesce(rows["account_number"], F.lit("")) == F.coalesce(ids["_number"], F.lit("")))
-    )
-    joined = rows.join(ids, same, "left").drop(ids["account_label"], ids["institution"]).drop("_number")
-    return table, joined
+    return cut_lineage(table), cut_lineage(ids)
 
 
-def import_rows(
-    rows: DataFrame, ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame
+def import_frames(
+    frames: Sequence[tuple[DataFrame, str]], ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame
 ) -> Imported:
-    """Normalised rows to new ledger rows."""
+    """(statement rows, institution) pairs to new ledger rows.
+
+    The statements are read once for the account of each file and once for the rows.
+    """
+    files = cut_lineage(union_all([file_accounts(df, institution) for df, institution in frames]))
+    account_table, ids = link_accounts(files, accounts)
+    rows = union_all([normalise_statement(df, institution, files=ids) for df, institution in frames])
     readable, unreadable = split_rejects(rows)
-    account_table, linked = link_accounts(readable, accounts)
-    named = resolve_category(categorise_batch(linked, rules, children), children)
-    fits, broken = check_constraints(named, ["account_id", "date", "description", "amount"], {"account_id": account_table})
+    named = resolve_category(categorise_batch(readable, rules, children), children)
+    fits, broken = check_constraints(named, ["account_id", "date", "description", "amount"], {})
     batch = fits.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", F.col("amount").cast(MONEY).alias("amount"),
-        "child_category_id", "memo", "currency", F.lit("[]").alias("tags"),
+        F.col("child_category_id").cast("bigint").alias("child_category_id"), "memo", F.lit(0).alias("is_split"),
+        F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
         F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
     )
     rejected = unreadable.select("source_file", F.lit("unreadable date or amount").alias("reason")).unionByName(
@@ -78,10 +88,11 @@ def import_rows(
 
 
 def import_statements(
-    spark: SparkSession, paths: str | Sequence[str], institution: str,
+    spark: SparkSession, sources: Mapping[str, str | Sequence[str]],
     ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame,
 ) -> Imported:
-    """Files of one institution, whatever their column order."""
-    layouts = read_statements(spark, paths)
-    rows = union_all([normalise_statement(df, institution) for df in layouts.values()])
-    return import_rows(rows, ledger, accounts, children, rules)
+    """Files by institution, whatever their column order."""
+    frames = [
+        (df, institution) for institution, paths in sources.items() for df in read_statements(spark, paths).values()
+    ]
+    return import_frames(frames, ledger, accounts, children, rules)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.normalise import normalise_statement
-from ledgerloom.plans.imports import import_rows
+from ledgerloom.plans.imports import import_frames
+from ledgerloom.schemas import ACCOUNTS
 from ledgerloom.sources.statements import clean_header, statement_schema, with_lineage, with_missing_as_null
 from ledgerloom.sources.tables import write_transactions
 
@@ -29,25 +29,27 @@ def stream_statements(spark: SparkSession, folder: str, columns: Sequence[str],
 
 
 def import_stream(
-    spark: SparkSession, folder: str, columns: Sequence[str], institution: str, ledger_path: str,
-    accounts: DataFrame, children: DataFrame, rules: DataFrame, checkpoint: str, files_per_batch: int = 1000,
+    spark: SparkSession, folder: str, columns: Sequence[str], institution: str, ledger_path: str, accounts_path: str,
+    children: DataFrame, rules: DataFrame, checkpoint: str, files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Imports the files that arrived since the last run, then stops.
 
     Each micro-batch is normalised, categorised and compared with the whole ledger
-    table, so a file that comes again, in the same run or later, adds nothing. A
-    batch that is run again after a failure finds its own rows and adds none.
+    table, so a file that comes again, in the same run or later, adds nothing. New
+    accounts are stored before the rows. A batch that is run again after a failure
+    finds its own accounts and rows and adds none. Written rows keep rule_id, so
+    ``rule_usage`` can count them.
     """
     arriving = stream_statements(spark, folder, columns, files_per_batch)
 
     def append(micro: DataFrame, _batch_id: int) -> None:
         session = micro.sparkSession
         numbered = micro.withColumn("source_row", F.monotonically_increasing_id())
-        rows = normalise_statement(numbered, institution)
-        ledger = session.read.schema("hash STRING").parquet(ledger_path)
-        done = import_rows(rows, ledger, accounts, children, rules)
-        added = done.added.drop("source_file", "source_block", "source_row")
-        write_transactions(added, ledger_path)
+        ledger = session.read.schema("id BIGINT, hash STRING").parquet(ledger_path)
+        accounts = session.read.schema(ACCOUNTS).parquet(accounts_path)
+        done = import_frames([(numbered, institution)], ledger, accounts, children, rules)
+        done.accounts.join(accounts.select("id"), "id", "left_anti").write.mode("append").parquet(accounts_path)
+        write_transactions(done.numbered(ledger), ledger_path)
 
     return (
         arriving.writeStream.foreachBatch(append)
