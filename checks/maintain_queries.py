@@ -1 +1,228 @@
+"""Batch maintenance of ledger tables."""
 
+from pyspark.sql import functions as F
+
+from checks.registry import check
+from ledgerloom.functions.money import money_out
+from ledgerloom.operators import maintain
+
+HASH = "md5(concat_ws('|', CAST(date AS VARCHAR), description, CAST(amount AS VARCHAR)))"
+
+
+def hashed(f, rows):
+    """Fingerprints that repeat: the account is left out and the date is the first of its year."""
+    key = F.concat_ws("|", F.trunc("date", "YEAR").cast("string"), "description", F.col("is_transfer").cast("string"))
+    return rows.withColumn("hash", F.md5(key))
+
+
+REPEATING = """SELECT *, md5(concat_ws('|', CAST(CAST(date_trunc('year', date) AS DATE) AS VARCHAR), description, CAST(is_transfer AS VARCHAR))) AS hash
+    FROM f_transactions"""
+
+
+@check(
+    "append_new",
+    f"""WITH r AS ({REPEATING}), l AS (SELECT id, hash FROM r WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1),
+    n AS (SELECT id, hash FROM (SELECT * FROM r WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY id) = 1) ANTI JOIN l USING (hash))
+    SELECT id, hash FROM l UNION ALL SELECT id, hash FROM n""",
+)
+def _(f):
+    rows = hashed(f, f.txns)
+    ledger = maintain.first_of_each(rows.filter("id % 3 = 0"), order=["id"]).select("id", "hash")
+    return maintain.append_new(ledger, rows.filter("id % 3 <> 0"), order=["id"])[0]
+
+
+@check(
+    "append_new_counts",
+    f"""WITH r AS ({REPEATING}), l AS (SELECT DISTINCT hash FROM r WHERE id % 3 = 0),
+    c AS (SELECT count(*) AS parsed, (SELECT count(DISTINCT hash) FROM (SELECT hash FROM r WHERE id % 3 <> 0) ANTI JOIN l USING (hash)) AS inserted
+          FROM r WHERE id % 3 <> 0) SELECT parsed, inserted, parsed - inserted AS skipped FROM c""",
+)
+def _(f):
+    rows = hashed(f, f.txns)
+    ledger = rows.filter("id % 3 = 0").select("id", "hash")
+    return maintain.append_new(ledger, rows.filter("id % 3 <> 0"), order=["id"])[1]
+
+
+BROKEN = """SELECT id, CASE WHEN id % 11 = 0 THEN account_id + 1000000000 ELSE account_id END AS account_id,
+    CASE WHEN id % 13 <> 0 THEN description END AS description, child_category_id + CASE WHEN id % 17 = 0 THEN 25 ELSE 0 END AS child_category_id
+    FROM f_transactions"""
+REASON = """CASE WHEN description IS NULL THEN 'description is null' WHEN account_id NOT IN (SELECT id FROM f_accounts) THEN 'account_id is unknown'
+    WHEN child_category_id IS NOT NULL AND child_category_id NOT IN (SELECT id FROM f_child_categories) THEN 'child_category_id is unknown' END"""
+
+
+@check("check_constraints", f"SELECT id, coalesce({REASON}, 'ok') AS outcome FROM ({BROKEN})")
+def _(f):
+    rows = f.txns.select(
+        "id", (F.col("account_id") + F.when(F.col("id") % 11 == 0, 1_000_000_000).otherwise(0)).alias("account_id"),
+        F.when(F.col("id") % 13 != 0, F.col("description")).alias("description"),
+        (F.col("child_category_id") + F.when(F.col("id") % 17 == 0, 25).otherwise(0)).alias("child_category_id"),
+    )
+    dims = {"account_id": f.accounts, "child_category_id": f.children}
+    fits, broken = maintain.check_constraints(rows, ["account_id", "description"], dims)
+    return fits.select("id", F.lit("ok").alias("outcome")).unionByName(broken.select("id", F.col("reason").alias("outcome")))
+
+
+# New accounts from suppliers: a third without a number, some equal to known ones.
+NEW_ACCOUNTS = """SELECT s_name AS name, concat('INST_', CAST(s_nationkey AS VARCHAR)) AS institution, 'credit' AS type,
+    CASE WHEN s_suppkey % 3 <> 0 THEN concat('****', lpad(CAST(s_suppkey * 7 % 10000 AS VARCHAR), 4, '0')) END AS account_number FROM supplier
+    UNION ALL SELECT name, institution, type, account_number FROM f_accounts WHERE id % 5 < 2"""
+
+
+def new_accounts(f):
+    key = F.col("s_suppkey")
+    number = F.concat(F.lit("****"), F.lpad((key * 7 % 10000).cast("string"), 4, "0"))
+    fresh = f.table("supplier").select(
+        F.col("s_name").alias("name"), F.concat(F.lit("INST_"), F.col("s_nationkey").cast("string")).alias("institution"),
+        F.lit("credit").alias("type"), F.when(key % 3 != 0, number).alias("account_number"),
+    )
+    return fresh.unionByName(f.accounts.filter("id % 5 < 2").select("name", "institution", "type", "account_number"))
+
+
+ACCOUNTS_AFTER = f"""n AS ({NEW_ACCOUNTS}),
+    w AS (SELECT institution, account_number, min(name) AS name, arg_min(type, (name, type)) AS type FROM n WHERE account_number IS NOT NULL GROUP BY 1, 2),
+    w2 AS (SELECT * FROM w ANTI JOIN f_accounts USING (institution, account_number)),
+    o AS (SELECT institution, name, min(type) AS type FROM n WHERE account_number IS NULL GROUP BY 1, 2),
+    known AS (SELECT institution, name FROM f_accounts UNION ALL SELECT institution, name FROM w2),
+    o2 AS (SELECT * FROM o ANTI JOIN known USING (institution, name)),
+    a AS (SELECT name, institution, type, account_number FROM w2 UNION ALL SELECT name, institution, type, NULL FROM o2),
+    t AS (SELECT id, name, institution, type, account_number, balance FROM f_accounts UNION ALL
+          SELECT (SELECT max(id) FROM f_accounts) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', institution, name, coalesce(account_number, ''))), 1, 2),
+          institution, name, account_number), name, institution, type, account_number, 0 FROM a)"""
+
+
+@check("upsert_accounts", f"WITH {ACCOUNTS_AFTER} SELECT id, name, institution, type, account_number, CAST(balance AS DOUBLE) AS balance FROM t")
+def _(f):
+    table = maintain.upsert_accounts(f.accounts, new_accounts(f))[0]
+    return table.drop("currency").withColumn("balance", money_out("balance"))
+
+
+@check(
+    "upsert_accounts_ids",
+    f"""WITH {ACCOUNTS_AFTER} SELECT n.name, n.institution, n.account_number, CASE WHEN n.account_number IS NOT NULL
+    THEN (SELECT min(id) FROM t WHERE t.institution = n.institution AND t.account_number = n.account_number)
+    ELSE (SELECT min(id) FROM t WHERE t.institution = n.institution AND t.name = n.name) END AS account_id FROM n""",
+)
+def _(f):
+    return maintain.upsert_accounts(f.accounts, new_accounts(f))[1].drop("type")
+
+
+NEW_CATEGORIES = """SELECT DISTINCT p_brand AS name, r_name AS parent, 0 AS is_income FROM part JOIN region ON r_regionkey = p_size % 7
+    UNION ALL SELECT DISTINCT p_type, '', 1 FROM part UNION ALL SELECT DISTINCT p_brand, 'nowhere', 0 FROM part UNION ALL SELECT r_name, '', 0 FROM region"""
+
+
+def new_categories(f):
+    part, regions = f.table("part"), f.table("region")
+    below = part.join(regions, F.col("r_regionkey") == F.col("p_size") % 7)
+    rows = below.select(F.col("p_brand").alias("name"), F.col("r_name").alias("parent"), F.lit(0).alias("is_income")).distinct()
+    tops = part.select(F.col("p_type").alias("name"), F.lit("").alias("parent"), F.lit(1).alias("is_income")).distinct()
+    lost = part.select(F.col("p_brand").alias("name"), F.lit("nowhere").alias("parent"), F.lit(0).alias("is_income")).distinct()
+    known = regions.select(F.col("r_name").alias("name"), F.lit("").alias("parent"), F.lit(0).alias("is_income"))
+    return rows.unionByName(tops).unionByName(lost).unionByName(known).withColumn("icon", F.lit("N"))
+
+
+@check(
+    "add_categories",
+    f"""WITH n AS ({NEW_CATEGORIES}),
+    c AS (SELECT p.id AS parent_id, n.name, n.is_income FROM n JOIN f_parent_categories p ON p.name = n.parent)
+    SELECT id, parent_id, name, icon, is_income FROM f_child_categories UNION ALL
+    SELECT (SELECT max(id) FROM f_child_categories) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', CAST(parent_id AS VARCHAR), name)), 1, 2), parent_id, name),
+    parent_id, name, 'N', is_income FROM c""",
+)
+def _(f):
+    return maintain.add_categories(f.children, f.parents, new_categories(f))[1]
+
+
+@check(
+    "add_categories_parents",
+    f"""WITH n AS ({NEW_CATEGORIES}), t AS (SELECT DISTINCT name, is_income FROM n WHERE parent = '' AND name NOT IN (SELECT name FROM f_parent_categories))
+    SELECT id, name, icon, is_income FROM f_parent_categories UNION ALL
+    SELECT (SELECT max(id) FROM f_parent_categories) + row_number() OVER (ORDER BY substr(md5(name), 1, 2), name), name, 'N', is_income FROM t""",
+)
+def _(f):
+    return maintain.add_categories(f.children, f.parents, new_categories(f))[0]
+
+
+@check(
+    "apply_corrections",
+    """WITH c AS (SELECT l_orderkey AS id, arg_max(concat('NATION_', CAST(l_suppkey % 30 AS VARCHAR)), (l_linenumber, l_partkey)) AS category,
+    CASE WHEN l_orderkey % 2 = 0 THEN '["fixed"]' END AS tags FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+    SELECT t.id, coalesce(k.id, t.child_category_id) AS child_category_id, coalesce(c.tags, t.tags) AS tags,
+    CASE WHEN c.id IS NOT NULL THEN 'seen' END AS notes FROM f_transactions t LEFT JOIN c ON c.id = t.id
+    LEFT JOIN f_child_categories k ON k.name = c.category""",
+)
+def _(f):
+    key = F.col("l_orderkey")
+    changes = f.table("lineitem").filter("l_returnflag = 'R'").select(
+        key.alias("id"), F.concat(F.lit("NATION_"), (F.col("l_suppkey") % 30).cast("string")).alias("category"),
+        F.when(key % 2 == 0, '["fixed"]').alias("tags"), F.lit("seen").alias("notes"),
+        F.struct("l_linenumber", "l_partkey").alias("seq"),
+    )
+    return maintain.apply_corrections(f.txns, changes, f.children).select("id", "child_category_id", "tags", "notes")
+
+
+@check(
+    "mark_transfers",
+    """WITH m AS (SELECT l_orderkey AS id, max(l_suppkey) AS dest FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+    SELECT t.id, CASE WHEN m.id IS NOT NULL THEN 1 ELSE is_transfer END AS is_transfer,
+    CASE WHEN m.id IS NOT NULL THEN m.dest ELSE transfer_to_account_id END AS transfer_to_account_id,
+    CASE WHEN m.id IS NULL THEN transfer_investment_cat WHEN m.id % 2 = 0 THEN 'TFSA' END AS transfer_investment_cat
+    FROM f_transactions t LEFT JOIN m ON m.id = t.id""",
+)
+def _(f):
+    marks = f.table("lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_suppkey").alias("dest_account_id"))
+    marks = marks.withColumn("inv_category", F.when(F.col("id") % 2 == 0, "TFSA"))
+    return maintain.mark_transfers(f.txns, marks).select("id", "is_transfer", "transfer_to_account_id", "transfer_investment_cat")
+
+
+NEW_SPLITS = """SELECT id AS transaction_id, k AS line, concat('NATION_', CAST((id + k) % 27 AS VARCHAR)) AS category, CAST(amount / 3 AS DECIMAL(18,2)) AS amount
+    FROM f_transactions, (VALUES (0), (1), (2)) v(k) WHERE is_transfer = 1"""
+
+
+def new_splits(f):
+    rows = f.txns.filter("is_transfer = 1").withColumn("line", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    name = F.concat(F.lit("NATION_"), ((F.col("id") + F.col("line")) % 27).cast("string"))
+    return rows.select(F.col("id").alias("transaction_id"), "line", name.alias("category"), F.col("amount").alias("whole"))
+
+
+@check(
+    "replace_splits",
+    """WITH n AS (SELECT id AS transaction_id, k AS line, concat('NATION_', CAST((id + k) % 27 AS VARCHAR)) AS category, amount
+    FROM f_transactions, (VALUES (0), (1), (2)) v(k) WHERE is_transfer = 1),
+    a AS (SELECT n.*, c.id AS child_category_id FROM n JOIN f_child_categories c ON c.name = n.category)
+    SELECT id, transaction_id, child_category_id, CAST(amount AS DOUBLE) AS amount FROM f_split_transactions ANTI JOIN n USING (transaction_id)
+    UNION ALL SELECT (SELECT max(id) FROM f_split_transactions) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', CAST(transaction_id AS VARCHAR),
+    CAST(line AS VARCHAR))), 1, 2), transaction_id, line), transaction_id, child_category_id, CAST(amount AS DOUBLE) FROM a""",
+)
+def _(f):
+    new = new_splits(f).withColumnRenamed("whole", "amount")
+    return maintain.replace_splits(f.splits, f.txns, new, f.children)[0].withColumn("amount", money_out("amount"))
+
+
+@check(
+    "replace_splits_flags",
+    "SELECT id, CASE WHEN is_transfer = 1 THEN 1 ELSE is_split END AS is_split FROM f_transactions",
+)
+def _(f):
+    new = new_splits(f).withColumnRenamed("whole", "amount")
+    return maintain.replace_splits(f.splits, f.txns, new, f.children)[1].select("id", "is_split")
+
+
+@check(
+    "auto_balance",
+    """SELECT id * 2 + k AS id, CAST(CASE WHEN k = 0 THEN CAST(amount * 0.6 AS DECIMAL(18,2)) ELSE amount - CAST(amount * 0.6 AS DECIMAL(18,2)) END AS DOUBLE) AS amount
+    FROM f_transactions, (VALUES (0), (1)) v(k) WHERE is_split = 1""",
+)
+def _(f):
+    lines = f.splits.withColumn("amount", F.when(F.col("line") == 0, F.col("amount")).otherwise(F.lit(7).cast("decimal(18,2)")))
+    return maintain.auto_balance(lines, f.txns).select("id", money_out("amount").alias("amount"))
+
+
+@check(
+    "fill_remaining",
+    """SELECT id AS transaction_id, k AS line, CAST(CASE WHEN k < 2 THEN 10.25 ELSE amount - 20.50 END AS DOUBLE) AS amount
+    FROM f_transactions, (VALUES (0), (1), (2)) v(k)""",
+)
+def _(f):
+    lines = f.txns.select(F.col("id").alias("transaction_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("line"))
+    priced = lines.withColumn("amount", F.lit("10.25").cast("decimal(18,2)"))
+    return maintain.auto_balance(priced, f.txns).select("transaction_id", "line", money_out("amount").alias("amount"))

@@ -15,7 +15,7 @@ from ledgerloom.operators.normalise import file_accounts, institutions, normalis
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import resolve_category
 from ledgerloom.plans.reports import import_summary
-from ledgerloom.session import cut_lineage
+from ledgerloom.session import stored
 from ledgerloom.sources.statements import LINEAGE, read_statements
 
 
@@ -48,7 +48,7 @@ def link_accounts(files: DataFrame, accounts: DataFrame) -> tuple[DataFrame, Dat
     """(account table with new accounts, one row per file with account_id).
 
     Both are small next to the rows and are read by every later step, so they are
-    kept by a checkpoint instead of scanning the statements again.
+    written out instead of scanning the statements again.
     """
     wanted = institutions(files).select(
         "source_file", F.col("account_label").alias("name"), F.col("bank").alias("institution"),
@@ -59,7 +59,7 @@ def link_accounts(files: DataFrame, accounts: DataFrame) -> tuple[DataFrame, Dat
         "source_file", F.col("statement_kind").alias("institution"), F.col("name").alias("account_label"),
         "account_number", "account_id",
     )
-    return cut_lineage(table), cut_lineage(ids)
+    return stored(table, "accounts"), stored(ids, "file-accounts")
 
 
 def import_frames(
@@ -69,7 +69,7 @@ def import_frames(
 
     The statements are read once for the account of each file and once for the rows.
     """
-    files = cut_lineage(union_all([file_accounts(df, institution) for df, institution in frames]))
+    files = stored(union_all([file_accounts(df, institution) for df, institution in frames]), "files")
     account_table, ids = link_accounts(files, accounts)
     rows = union_all([normalise_statement(df, institution, files=ids) for df, institution in frames])
     readable, unreadable = split_rejects(rows)

@@ -47,3 +47,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a frame below the shared folder and reads it back.
+
+    Like a checkpoint this survives lost executors; unlike one it gives the planner
+    the real size, so a small table is broadcast and a large one is not.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
