@@ -476,9 +476,13 @@ BATCH = f"""SELECT concat('file_', CAST(l_suppkey AS VARCHAR)) AS source_file, C
 
 
 def known(f):
-    """A ledger that holds the rows of line 1 already."""
-    rows = normalise.normalise_statement(card_rows(f).filter(F.col("source_row") < 200_000_000), "Rogers Mastercard")
-    return rows.select("hash").distinct()
+    """A ledger that holds the rows of line 1 already; these files show no account number."""
+    rows = card_rows(f).filter(F.col("source_row") < 200_000_000)
+    files = rows.select(
+        "source_file", F.lit("Rogers Mastercard").alias("institution"), F.lit("Rogers Mastercard").alias("account_label"),
+        F.lit(None).cast("string").alias("account_number"),
+    ).distinct()
+    return normalise.normalise_statement(rows, "Rogers Mastercard", files=files).select("hash").distinct()
 
 
 def imported(f, broken=False):

@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import col_of
 
-# Fixed values: (shape, pattern) of the accepted date texts, tried in this order.
+# Shape of a date text and the patterns tried on it, in this order.
 # Month-first wins over day-first for an ambiguous text such as 03/04/2025.
 DATE_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}$", ["MMM d, yyyy", "MMMM d, yyyy"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy"]),
 ]
 
 # Report periods.
@@ -39,10 +37,13 @@ def parse_date(c: Column | str) -> Column:
     Each parser runs only on text of its own shape, so a well-formed column costs
     one parse per row rather than up to eight failing ones.
     """
-    text = F.regexp_replace(F.trim(col_of(c)), r"\s+", " ")
-    return F.coalesce(
-        *[F.when(text.rlike(shape), F.try_to_date(text, pattern)) for shape, pattern in DATE_SHAPES]
-    )
+    text = F.trim(col_of(c))
+    chain = F.lit(None).cast("date")
+    for shape, patterns in reversed(DATE_SHAPES):
+        # Only texts with a month name have inner blanks; a run of them counts as one.
+        body = F.regexp_replace(text, r"\s+", " ") if r"\s" in shape else text
+        chain = F.when(text.rlike(shape), F.coalesce(*[F.try_to_date(body, p) for p in patterns])).otherwise(chain)
+    return chain
 
 
 def month_key(c: Column | str) -> Column:

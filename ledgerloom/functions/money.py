@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 
-_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
-
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -20,12 +19,31 @@ def clean_amount(c: Column | str) -> Column:
     NULL and text that is no number give 0. A number too wide for DECIMAL(18,2)
     gives NULL, so that ``split_rejects`` can put the row aside.
     """
-    bare = F.regexp_replace(col_of(c), r"[,$\s]", "")
-    bracketed = bare.rlike(r"^\(.*\)$")
-    number = F.when(bracketed, F.regexp_replace(bare, r"^\(|\)$", "")).otherwise(bare)
-    parsed = number.try_cast(MONEY)
-    signed = F.when(bracketed, -parsed).otherwise(parsed).cast(MONEY)
-    return F.when(number.rlike(_NUMBER), signed).otherwise(F.lit(0).cast(MONEY))
+    return _parse_bare(_bare(col_of(c)))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"[,$\s]", "")
+
+
+def _parse_bare(bare: Column) -> Column:
+    inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+    bracketed = F.when(bare.endswith(")"), -inner.try_cast(MONEY))
+    parsed = F.when(bare.startswith("("), bracketed).otherwise(bare.try_cast(MONEY)).cast(MONEY)
+    too_wide = F.coalesce(bare.rlike(r"\d{17}|\d[eE]\+?\d\d"), F.lit(False))
+    return F.coalesce(parsed, F.when(~too_wide, F.lit(0).cast(MONEY)))
+
+
+def clean_amounts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replaces several text columns by their money.
+
+    One function over an array: parsing each column by an expression of its own would
+    make the generated method too large for the JIT compiler.
+    """
+    if not columns:
+        return df
+    parsed = df.withColumn("_money", F.transform(F.transform(F.array(*columns), _bare), _parse_bare))
+    return parsed.withColumns({c: F.get("_money", F.lit(i)) for i, c in enumerate(columns)}).drop("_money")
 
 
 def money(c: Column | str | int | float) -> Column:

@@ -50,13 +50,48 @@ def _literal_part(regex: str) -> str:
     return max(parts, key=len).replace("\0", ".").replace("\1", "+")
 
 
-def _array_value(rows: list[dict], schema: str) -> Column:
-    """A constant array of structs; JSON keeps it one expression however long it is."""
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+def _first_hit(low: Column, rows: list[dict]) -> Column:
+    """The first of these rules that matches, as a struct with its id and category; NULL without one.
+
+    Words are searched in one constant array. Regular expressions stay literals of
+    their own, since only a literal one is compiled once per task. Of the two results
+    the one with the lower place ``at`` wins. An unknown match type never matches.
+    """
+    fields = "at:int,id:bigint,category:string,match_type:string,pattern:string"
+    words = [
+        {k: r[k] for k in ("at", "id", "category", "match_type", "pattern")}
+        for r in rows
+        if r["match_type"] in ("contains", "startswith", "exact")
+    ]
+
+    def matches(r: Column) -> Column:
+        kind, pattern = r["match_type"], r["pattern"]
+        return (
+            F.when(kind == "contains", low.contains(pattern))
+            .when(kind == "startswith", low.startswith(pattern))
+            .otherwise(low == pattern)
+        )
+
+    # JSON keeps the array one expression however long it is.
+    listed = F.from_json(F.lit(json.dumps(words)), f"array<struct<{fields}>>")
+    by_word = F.get(F.filter(listed, matches), F.lit(0))
+    chain = None
+    for r in rows:
+        if r["match_type"] != "regex":
+            continue
+        found = low.rlike(r["pattern"])
+        value = F.struct(
+            F.lit(r["at"]).alias("at"), F.lit(r["id"]).cast("bigint").alias("id"), F.lit(r["category"]).alias("category"),
+            F.lit("regex").alias("match_type"), F.lit(r["pattern"]).alias("pattern"),
+        )
+        chain = F.when(found, value) if chain is None else chain.when(found, value)
+    if chain is None:
+        return by_word
+    return F.least(by_word, chain.cast(f"struct<{fields}>"))
 
 
 def _builtin_list() -> Column:
-    """Ordered array of (part, regex, category); regex is NULL where the part alone decides."""
+    """Constant ordered array of (part, regex, category); regex is NULL where the part alone decides."""
     rows = []
     for pattern, category in BUILTIN_PATTERNS:
         for part in _alternatives(pattern):
@@ -64,7 +99,7 @@ def _builtin_list() -> Column:
             rows.append(
                 {"part": part if plain else _literal_part(part), "regex": None if plain else part, "category": category}
             )
-    return _array_value(rows, "part:string,regex:string,category:string")
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<part:string,regex:string,category:string>>")
 
 
 def builtin_category(low: Column) -> Column:
@@ -75,32 +110,21 @@ def builtin_category(low: Column) -> Column:
     return F.get(hits, F.lit(0))["category"]
 
 
-def _rule_hits(low: Column, rule: Column) -> Column:
-    """Whether a rule matches; an unknown match type never does."""
-    kind, pattern = rule["match_type"], rule["pattern"]
-    return (
-        F.when(kind == "contains", low.contains(pattern))
-        .when(kind == "startswith", low.startswith(pattern))
-        .when(kind == "exact", low == pattern)
-        .when(kind == "regex", F.rlike(low, pattern))
-        .otherwise(False)
-    )
-
-
-def _rule_lists(rules: DataFrame, children: DataFrame, size: int) -> list[Column]:
-    """The rules in matching order as constant arrays of at most ``size`` rules each.
+def _rule_lists(rules: DataFrame, children: DataFrame, size: int) -> list[list[dict]]:
+    """The rules in matching order, ``size`` at a time.
 
-    Rules are a settings table. They are read ``size`` at a time; no task gathers more.
+    Rules are a settings table that becomes part of the plan; no task gathers more
+    than ``size`` of them.
     """
     order = [F.col("priority").desc(), F.col("use_count").desc(), F.col("id")]
     view = rules_view(rules, children).withColumn("pattern", F.lower("pattern"))
     total = view.count()
-    placed = view.withColumn("at", F.lit(0)) if total <= size else row_index(view, order, "at")
+    placed = view.withColumn("_at", F.lit(0)) if total <= size else row_index(view, order, "_at")
     lists = []
     for start in range(0, max(total, 1), size):
-        chunk = placed.filter(F.col("at").between(start, start + size - 1)).orderBy(*order)
+        chunk = placed.filter(F.col("_at").between(start, start + size - 1)).orderBy(*order)
         rows = chunk.select("id", "pattern", "match_type", "category").collect()
-        lists.append(_array_value([r.asDict() for r in rows], "id:bigint,pattern:string,match_type:string,category:string"))
+        lists.append([{**r.asDict(), "at": i} for i, r in enumerate(rows)])
     return lists
 
 
@@ -115,9 +139,8 @@ def match_user_rules(
 
     Order: priority, then use count, then id. Any number of rules is searched.
     """
-    low = F.col(_LOW)
     lists = _rule_lists(rules, children, per_list)
-    first = F.coalesce(*[F.get(F.filter(rows, lambda r: _rule_hits(low, r)), F.lit(0)) for rows in lists])
+    first = F.coalesce(*[_first_hit(F.col(_LOW), rows) for rows in lists])
     return (
         _with_low(df, description)
         .withColumn("_rule", first)

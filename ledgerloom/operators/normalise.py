@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import parse_date
-from ledgerloom.functions.money import MONEY, clean_amount, memo_balance, memo_mortgage
+from ledgerloom.functions.money import MONEY, clean_amounts, memo_balance, memo_mortgage
 from ledgerloom.functions.text import account_label, account_ref, fingerprint
 from ledgerloom.sources.statements import LINEAGE, Holding, Named, resolve_columns, statement_columns
 
@@ -58,6 +58,10 @@ def _zero() -> Column:
     return F.lit(0).cast(MONEY)
 
 
+# Roles that hold amounts. They are parsed once, before the layouts combine them.
+MONEY_ROLES = ["outflow", "inflow", "amount", "balance", "net", "gross", "principal", "interest", "payment", "total_payment"]
+
+
 def in_minus_out(inflow: Column, outflow: Column) -> Column:
     """Inflow minus outflow when there is an inflow, else minus the outflow."""
     return F.when(inflow != 0, inflow - outflow).otherwise(-outflow).cast(MONEY)
@@ -84,14 +88,14 @@ def type_category(kind: Column) -> Column:
 
 
 def _balance_memo(roles: Roles) -> Column:
-    return memo_balance(clean_amount("balance")) if roles["balance"] else _no_text()
+    return memo_balance("balance") if roles["balance"] else _no_text()
 
 
 def _cash(roles: Roles) -> dict[str, Column]:
     if roles["outflow"]:
-        amount = in_minus_out(clean_amount("inflow"), clean_amount("outflow"))
+        amount = in_minus_out(F.col("inflow"), F.col("outflow"))
     else:
-        amount = clean_amount("amount")
+        amount = F.col("amount")
     text = _text("description")
     return {
         "description": text, "original_desc": text, "amount": amount, "category": _no_text(),
@@ -100,7 +104,7 @@ def _cash(roles: Roles) -> dict[str, Column]:
 
 
 def _card(roles: Roles) -> dict[str, Column]:
-    size = F.abs(clean_amount("amount"))
+    size = F.abs("amount")
     incoming = F.lower(F.coalesce("kind", F.lit(""))).rlike("payment|credit")
     text = _text("description")
     return {
@@ -115,7 +119,7 @@ def _brokerage(roles: Roles) -> dict[str, Column]:
     return {
         "description": F.when(symbol != "", named).when(text != "", text).otherwise(action),
         "original_desc": text,
-        "amount": clean_amount("net" if roles["net"] else "gross"),
+        "amount": F.col("net" if roles["net"] else "gross"),
         "category": action_category(action),
         "memo": _no_text(),
         "currency": F.trim(F.coalesce("currency", F.lit("CAD"))),
@@ -127,7 +131,7 @@ def _invest(roles: Roles) -> dict[str, Column]:
     return {
         "description": F.when(symbol != "", F.concat(kind, F.lit(": "), symbol)).when(text != "", text).otherwise(kind),
         "original_desc": text,
-        "amount": clean_amount("net"),
+        "amount": F.col("net"),
         "category": type_category(kind),
         "memo": _no_text(),
         "currency": F.trim(F.coalesce("currency", F.lit("CAD"))),
@@ -136,16 +140,16 @@ def _invest(roles: Roles) -> dict[str, Column]:
 
 def _mortgage(roles: Roles) -> dict[str, Column]:
     if roles["has_principal"]:
-        principal, interest = clean_amount("principal"), clean_amount("interest")
+        principal, interest = F.col("principal"), F.col("interest")
         total = principal + interest
         # A payment column that is present decides, unless it holds a zero.
         for role in ("payment", "total_payment"):
             if roles[role]:
-                paid = clean_amount(role)
-                total = F.when(F.col(role).isNull() | (paid != 0), paid).otherwise(total)
+                paid = F.col(role)
+                total = F.when(~F.col(f"{role}_given") | (paid != 0), paid).otherwise(total)
         amount, memo = -F.abs(total), memo_mortgage(principal, interest)
     else:
-        amount, memo = in_minus_out(clean_amount("inflow"), clean_amount("outflow")), _balance_memo(roles)
+        amount, memo = in_minus_out(F.col("inflow"), F.col("outflow")), _balance_memo(roles)
     text = F.trim(F.coalesce(F.col("description"), F.lit(MORTGAGE_TEXT)))
     return {
         "description": text, "original_desc": text, "amount": amount.cast(MONEY),
@@ -255,6 +259,10 @@ def _from_cell(value: Column) -> Column:
     return F.when(card != "", _last4(F.regexp_replace(card, r"\D", ""))).when(run != "", _last4(run))
 
 
+def _looks_like_number(value: Column) -> Column:
+    return (F.length(value) >= 10) & value.rlike(r"\b(\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}|\d{10,})\b")
+
+
 def _account_columns(columns: list[str]) -> list[str]:
     def marks(name: str) -> bool:
         bare = name.lower().replace(" ", "").replace("_", "")
@@ -271,44 +279,56 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
     or more digits of ``hint``. ``any_account_column`` adds, last, the digits of the
     first value of any column with "account" in its name.
 
-    First values are map-side minima by row position. The first three cells per file
-    and column are a ranked top three, which is cut down inside each task before the
-    shuffle, so a very large file sends three cells per column and task.
+    Two scans with hash aggregates, no sort. The first finds, per file and column, the
+    position of the first value (account columns) and of the first cell that looks
+    like a number. The second, only for files that have one, counts the cells before
+    that position and fetches the text. At most one row per file and task is shuffled,
+    so it does not matter how many rows a file has.
     """
     columns = statement_columns(df)
-    position = F.struct("source_block", "source_row")
     marked = _account_columns(columns)
     general = [c for c in columns if "account" in c.lower()][:1] if any_account_column else []
-    wanted = list(dict.fromkeys([*marked, *general]))
+    named = list(dict.fromkeys([*marked, *general]))
 
-    def first_value(c: str) -> Column:
-        cell = F.col(f"`{c}`")
-        return F.min_by(cell, F.when(cell.isNotNull(), position)).alias(f"first_{wanted.index(c)}")
+    # One decimal is an order that a hash aggregate can keep; a struct is not.
+    position = (F.col("source_block").cast("decimal(18,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("source_row")).cast("decimal(38,0)")
+    placed = df.select("source_file", position.alias("_at"), F.array(*[F.col(f"`{c}`") for c in columns]).alias("_cells"))
+    flagged = placed.withColumn("_hits", F.transform("_cells", _looks_like_number))
 
-    firsts = df.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("_rows"), *[first_value(c) for c in wanted]
+    def cell(c: str) -> Column:
+        return F.get("_cells", F.lit(columns.index(c)))
+
+    firsts = [F.min(F.when(cell(c).isNotNull(), F.col("_at"))).alias(f"_first_{i}") for i, c in enumerate(named)]
+    hits = [F.min(F.when(F.get("_hits", F.lit(i)), F.col("_at"))).alias(f"_hit_{i}") for i in range(len(columns))]
+    marks = flagged.groupBy("source_file").agg(*firsts, *hits)
+
+    found = F.array(*[F.col(f"_hit_{i}") for i in range(len(columns))])
+    starts = F.array(F.lit(None).cast("decimal(38,0)"), *[F.col(f"_first_{i}") for i in range(len(named))])
+    some = marks.withColumn("_until", F.array_max(found)).withColumn("_starts", starts).filter(
+        F.col("_until").isNotNull() | F.array_max("_starts").isNotNull()
     )
-    by_name = [_from_account_column(F.col(f"first_{wanted.index(c)}")) for c in marked]
-
-    cells = df.select(
-        "source_file", "source_block", "source_row",
-        F.posexplode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("column_no", "cell"),
-    ).filter(F.col("cell").isNotNull())
-    order = Window.partitionBy("source_file", "column_no").orderBy("source_block", "source_row")
-    heads = cells.withColumn("cell_no", F.row_number().over(order)).filter(F.col("cell_no") <= 3)
-    found = (
-        heads.withColumn("masked", _from_cell(F.col("cell")))
-        .filter(F.col("masked").isNotNull())
-        .groupBy("source_file")
-        .agg(F.min_by("masked", F.struct("column_no", "cell_no")).alias("by_cell"))
+    at = F.col("_at")
+    near = placed.join(some, "source_file").filter(
+        F.coalesce(at <= F.col("_until"), F.lit(False)) | F.coalesce(F.array_contains("_starts", at), F.lit(False))
     )
+    values = [F.max(F.when(at == F.col(f"_first_{i}"), cell(c))).alias(f"_value_{i}") for i, c in enumerate(named)]
+    before, masks = [], []
+    for i in range(len(columns)):
+        text, hit = F.get("_cells", F.lit(i)), F.col(f"_hit_{i}")
+        before.append(F.count(F.when(text.isNotNull() & (at < hit), 1)).alias(f"_before_{i}"))
+        masks.append(F.max(F.when(at == hit, _from_cell(text))).alias(f"_mask_{i}"))
+    seen = near.groupBy("source_file").agg(*values, *before, *masks)
+
+    by_name = [_from_account_column(F.col(f"_value_{named.index(c)}")) for c in marked]
+    by_cell = [F.when(F.col(f"_before_{i}") < 3, F.col(f"_mask_{i}")) for i in range(len(columns))]
     hinted = F.regexp_extract(F.lit(hint), r"\d{4,}", 0)
     last = []
     for c in general:
-        digits = F.regexp_replace(F.col(f"first_{wanted.index(c)}"), r"\D", "")
-        last.append(F.when(digits != "", F.concat(F.lit("****"), F.when(F.length(digits) > 4, F.substring(digits, -4, 4)).otherwise(digits))))
-    masked = F.coalesce(*by_name, F.col("by_cell"), F.when(hinted != "", _last4(hinted)), *last)
-    return firsts.join(found, "source_file", "left").select("source_file", masked.alias("account_number"))
+        digits = F.regexp_replace(F.col(f"_value_{named.index(c)}"), r"\D", "")
+        tail = F.when(F.length(digits) > 4, F.substring(digits, -4, 4)).otherwise(digits)
+        last.append(F.when(digits != "", F.concat(F.lit("****"), tail)))
+    masked = F.coalesce(*by_name, *by_cell, F.when(hinted != "", _last4(hinted)), *last)
+    return marks.select("source_file").join(seen, "source_file", "left").select("source_file", masked.alias("account_number"))
 
 
 # --- normalised rows -----------------------------------------------------------
@@ -317,6 +337,9 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
 def normalise_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """Role columns to LINEAGE, date_raw, date and the layout's output columns; no account yet."""
     rows, roles = resolve_columns(df, layout.spec)
+    money = [r for r in MONEY_ROLES if r in roles]
+    given = {f"{r}_given": F.col(r).isNotNull() for r in ("payment", "total_payment") if r in roles}
+    rows = clean_amounts(rows.filter(F.col("date").isNotNull()).withColumns(given), money)
     built = layout.build(roles)
     lineage = [c for c in LINEAGE if c in rows.columns]
     return rows.select(
@@ -324,7 +347,7 @@ def normalise_rows(df: DataFrame, layout: Layout) -> DataFrame:
         F.col("date").alias("date_raw"),
         parse_date("date").alias("date"),
         *[c.alias(name) for name, c in built.items()],
-    ).filter(F.col("date_raw").isNotNull())
+    )
 
 
 def with_fingerprint(rows: DataFrame) -> DataFrame:
