@@ -69,38 +69,49 @@ def check_constraints(
     )
 
 
-def upsert_accounts(accounts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(account table with the unknown accounts added, new rows with their account_id).
+# The two keys of an account: with and without a number.
+_BY_NUMBER, _BY_NAME = ["institution", "account_number"], ["institution", "name"]
+
+
+def _has_number() -> Column:
+    return F.coalesce(F.col("account_number"), F.lit("")) != ""
+
+
+def add_accounts(accounts: DataFrame, new: DataFrame) -> DataFrame:
+    """The account table with the unknown accounts of new(name, institution, type, account_number) added.
 
     The key is (institution, account_number) where a number is given, else (name,
     institution); numbered rows of the batch count as known to the others. Known
     accounts are not changed.
     """
-    numbered = F.col("account_number").isNotNull() & (F.col("account_number") != "")
-    by_number, by_name = ["institution", "account_number"], ["institution", "name"]
-
     def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
         rest = [c for c in ("name", "institution", "type", "account_number", "currency", "balance") if c not in keys]
         order = F.struct(*[c for c in ("name", "type") if c not in keys])
         return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
     wanted = _account_defaults(new)
-    with_number = one_each(wanted.filter(numbered), by_number).join(accounts.select(*by_number), by_number, "left_anti")
-    names_known = accounts.select(*by_name).unionByName(with_number.select(*by_name))
-    without = one_each(wanted.filter(~F.coalesce(numbered, F.lit(False))), by_name).join(names_known, by_name, "left_anti")
+    numbered = one_each(wanted.filter(_has_number()), _BY_NUMBER).join(accounts.select(*_BY_NUMBER), _BY_NUMBER, "left_anti")
+    known = accounts.select(*_BY_NAME).unionByName(numbered.select(*_BY_NAME))
+    unnumbered = one_each(wanted.filter(~_has_number()), _BY_NAME).join(known, _BY_NAME, "left_anti")
     columns = ["name", "institution", "type", "account_number", "currency", "balance"]
-    fresh = with_number.select(columns).unionByName(without.select(columns))
+    fresh = numbered.select(columns).unionByName(unnumbered.select(columns))
     added = assign_ids(fresh, ["institution", "name", "account_number"], accounts.agg(F.max("id")))
-    table = accounts.select("id", *columns).unionByName(added.select("id", *columns))
-
-    ids_by_number = table.filter(F.col("account_number").isNotNull()).groupBy(*by_number).agg(F.min("id").alias("account_id"))
-    ids_by_name = table.groupBy(*by_name).agg(F.min("id").alias("account_id"))
-    linked = (
-        new.filter(numbered)
-        .join(ids_by_number, by_number, "left")
-        .unionByName(new.filter(~F.coalesce(numbered, F.lit(False))).join(ids_by_name, by_name, "left"))
+    return accounts.select("id", *columns).unionByName(added.select("id", *columns))
+
+
+def account_ids(table: DataFrame, new: DataFrame) -> DataFrame:
+    """new with the account_id of each row, found by the same keys."""
+    by_number = table.filter(F.col("account_number").isNotNull()).groupBy(*_BY_NUMBER).agg(F.min("id").alias("account_id"))
+    by_name = table.groupBy(*_BY_NAME).agg(F.min("id").alias("account_id"))
+    return new.filter(_has_number()).join(by_number, _BY_NUMBER, "left").unionByName(
+        new.filter(~_has_number()).join(by_name, _BY_NAME, "left")
     )
-    return table, linked
+
+
+def upsert_accounts(accounts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(account table with the unknown accounts added, new rows with their account_id)."""
+    table = add_accounts(accounts, new)
+    return table, account_ids(table, new)
 
 
 def _account_defaults(new: DataFrame) -> DataFrame:

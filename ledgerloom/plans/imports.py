@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
 from ledgerloom.operators.categorise import categorise_batch
-from ledgerloom.operators.maintain import check_constraints, new_rows, upsert_accounts
+from ledgerloom.operators.maintain import account_ids, add_accounts, check_constraints, new_rows
 from ledgerloom.operators.normalise import file_accounts, institutions, normalise_statement, split_rejects
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import resolve_category
@@ -21,15 +21,20 @@ from ledgerloom.sources.statements import LINEAGE, read_statements
 
 @dataclass
 class Imported:
-    """Frames of one import. ``batch`` holds every row that fits, ``added`` the ones that are new."""
+    """Frames of one import.
+
+    ``batch`` holds every row that fits, ``fresh`` the ones that are new, ``added``
+    those with their category.
+    """
 
     batch: DataFrame
+    fresh: DataFrame
     added: DataFrame
     rejected: DataFrame
     accounts: DataFrame
 
     def summary(self) -> DataFrame:
-        return import_summary(self.batch, self.added, self.rejected)
+        return import_summary(self.batch, self.fresh, self.rejected)
 
     def numbered(self, ledger: DataFrame) -> DataFrame:
         """The new rows with transaction ids that follow the ledger's highest."""
@@ -54,12 +59,12 @@ def link_accounts(files: DataFrame, accounts: DataFrame) -> tuple[DataFrame, Dat
         "source_file", F.col("account_label").alias("name"), F.col("bank").alias("institution"),
         F.col("account_type").alias("type"), "account_number", F.col("institution").alias("statement_kind"),
     )
-    table, linked = upsert_accounts(accounts, wanted)
-    ids = linked.select(
+    table = stored(add_accounts(accounts, wanted), "accounts")
+    ids = account_ids(table, wanted).select(
         "source_file", F.col("statement_kind").alias("institution"), F.col("name").alias("account_label"),
         "account_number", "account_id",
     )
-    return stored(table, "accounts"), stored(ids, "file-accounts")
+    return table, stored(ids, "file-accounts")
 
 
 def import_frames(
@@ -67,24 +72,31 @@ def import_frames(
 ) -> Imported:
     """(statement rows, institution) pairs to new ledger rows.
 
-    The statements are read once for the account of each file and once for the rows.
+    Duplicates are dropped before categories are looked for, so a file that comes
+    again costs no matching. Only then are the remaining rows categorised, spread by
+    fingerprint.
     """
     files = stored(union_all([file_accounts(df, institution) for df, institution in frames]), "files")
     account_table, ids = link_accounts(files, accounts)
     rows = union_all([normalise_statement(df, institution, files=ids) for df, institution in frames])
     readable, unreadable = split_rejects(rows)
-    named = resolve_category(categorise_batch(readable, rules, children), children)
-    fits, broken = check_constraints(named, ["account_id", "date", "description", "amount"], {})
+    fits, broken = check_constraints(readable, ["account_id", "date", "description", "amount"], {})
     batch = fits.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", F.col("amount").cast(MONEY).alias("amount"),
-        F.col("child_category_id").cast("bigint").alias("child_category_id"), "memo", F.lit(0).alias("is_split"),
-        F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
-        F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
+        "category", "memo", "currency", "hash",
     )
     rejected = unreadable.select("source_file", F.lit("unreadable date or amount").alias("reason")).unionByName(
         broken.select("source_file", "reason")
     )
-    return Imported(batch, new_rows(batch, ledger), rejected, account_table)
+    fresh = new_rows(batch, ledger)
+    named = resolve_category(categorise_batch(fresh, rules, children), children)
+    added = named.select(
+        *LINEAGE, "account_id", "date", "description", "original_desc", "amount",
+        F.col("child_category_id").cast("bigint").alias("child_category_id"), "memo", F.lit(0).alias("is_split"),
+        F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
+        F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
+    )
+    return Imported(batch, fresh, added, rejected, account_table)
 
 
 def import_statements(
