@@ -66,6 +66,23 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sampled_ids(rows: DataFrame, count: int, seed: str, *more: str) -> DataFrame:
+    """The ``count`` smallest doc_ids by a seeded hash, with the columns ``more``; texts don't travel for it."""
+    ids = rows.filter("doc_id IS NOT NULL").select("doc_id", *more)
+    return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", *more).limit(count)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, text: Column, *more: str) -> DataFrame:
+    """``(doc_id, text)`` and the columns ``more`` for the ids of a bounded sample, one row an id.
+
+    The sample's bound is its caller's parameter, so it is broadcast and the documents are only
+    filtered. Of rows that share an id the least text counts, and the largest of ``more``.
+    """
+    sample = F.broadcast(chosen.withColumnRenamed("doc_id", "chosen_id"))
+    found = docs.select("doc_id", text.alias("text")).join(sample, F.col("doc_id") == F.col("chosen_id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.max(c).alias(c) for c in more))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -49,7 +49,7 @@ def gram_codes(chars: np.ndarray, q: int) -> np.ndarray:
     n = len(chars) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power, span, grown = _BASE, 1, chars.astype(np.uint64)
+    power, span, grown = np.array([_BASE]), 1, chars.astype(np.uint64)
     done, out = 0, np.zeros(n, np.uint64)
     while True:
         if q & span:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shipped
+from ledgerloom.llm.common import sampled_ids, shipped, stringed, texts_of
 
 HALF = 256
 KERNEL, STRIDE = 8, 2
@@ -185,20 +185,20 @@ def train(samples: DataFrame) -> bytes:
         rows = sorted((t.encode(), int(y > 0)) for f in frames for t, y in zip(f["text"], f["label"], strict=True))
         yield pd.DataFrame({"net": [packed(fit(rows))]})
 
-    return shipped(samples).repartition(1).mapInPandas(run, "net binary").first()[0]
+    trained = shipped(samples).repartition(1).mapInPandas(run, "net binary").first()
+    return trained[0] if trained else packed(fit([]))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``(text, label)`` of at most ``rows`` labelled documents for which ``learn`` holds, the smallest by a seeded hash.
+    """``(text, label)`` of at most ``rows`` labelled documents, the smallest by a seeded hash; ``learn`` is a condition on the doc_id.
 
     Of a longer text a window of ``chars`` characters is learned from, at a seeded place.
     """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter("label IS NOT NULL")
-    texts = docs.filter(learn).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
-    part = F.substr(F.col("text"), F.pmod(F.xxhash64(F.lit("window"), "doc_id"), room).cast("int") + 1, F.lit(chars))
-    joined = texts.select("doc_id", part.alias("text")).join(known, F.col("doc_id") == F.col("label_id"))
-    return joined.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), F.xxhash64("text"), "label").limit(rows).select("text", "label")
+    known = labels.filter(learn).select("doc_id", F.col("quality").cast("int").alias("label")).filter("label IS NOT NULL")
+    text = stringed(F.col("text"))
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    part = F.substr(text, F.pmod(F.xxhash64(F.lit("window"), "doc_id"), room).cast("int") + 1, F.lit(chars))
+    return texts_of(docs, sampled_ids(known, rows, "quality", "label"), part, "label").select("text", "label")
 
 
 def score(text: Column, model: bytes) -> Column:

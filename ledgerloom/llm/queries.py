@@ -130,13 +130,13 @@ ORACLE["op7_line_dedup"] = f"""
 WITH rows AS (
     SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
-    SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS at, unnest(lines) AS line FROM rows),
+    SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS nth, unnest(lines) AS line FROM rows),
 keyed AS (
     SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM lines),
 owned AS (
     SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
 judged AS (
-    SELECT r, keyed.doc_id, at, line, coalesce(owner <> keyed.doc_id, false) AS gone FROM keyed LEFT JOIN owned USING (k))
+    SELECT r, keyed.doc_id, nth, line, coalesce(owner <> keyed.doc_id, false) AS gone FROM keyed LEFT JOIN owned USING (k))
 SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r"""

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import match_spans, stringed
+from ledgerloom.llm.common import match_spans, sampled_ids, stringed, texts_of
 
 # Fixed patterns. Access and hex runs are greedy, so a run that is too short holds no other match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,12 +107,8 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "do
     The long values that the fixed patterns find are the random strings; runs of identifier
     characters in what is left of the text are the ordinary ones.
     """
-    text = stringed(F.col(text_col))
-    chosen = (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        .orderBy(F.xxhash64(F.lit("secrets"), "doc_id"), F.xxhash64("text"))
-        .limit(rows)
-    )
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = texts_of(named, sampled_ids(named, rows, "secrets"), stringed(F.col("text")))
     value = F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))
     random = F.concat(
         F.filter(value, lambda v: F.length(v) >= 16),

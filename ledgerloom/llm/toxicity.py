@@ -2,12 +2,13 @@
 
 Training compares in how many toxic and clean documents a unit stands, a unit being a word or one of
 its prefixes. Log-odds have an informative Dirichlet prior, each unit's share of all counts, so
-rare units are drawn to no difference. A word scores what its most certain unit scores, and
-every word costs a small drift, so that a run of ordinary words ends a passage. A linear scan finds all
+rare units are drawn to no difference. A word scores what the longest of its units with enough
+support scores, and every word costs a small drift, so that a run of ordinary words ends a passage. A linear scan finds all
 maximal segments of positive score. By Karlin and Altschul's statistics the number of
 segments of score S in n clean tokens is about ``K n exp(-lambda S)``; a segment is significant if
 that is small, and ``lambda S - ln(K n)`` is its evidence whatever the document's length. A
-logistic curve fitted on the training rows turns a document's evidence into a probability.
+document's segments are judged together by the sum statistic of the best r of them, and a logistic
+curve fitted on the training rows turns that evidence into a probability.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Scratch, shipped
+from ledgerloom.llm.common import Scratch, sampled_ids, shipped, stringed, texts_of
 
 SAMPLE_ROWS = 20_000
 SHORTEST, LONGEST = 3, 8
+SUPPORT = 10
 CERTAIN = 4.0
 DRIFT = 0.2
 EXPECTED = 0.01
@@ -37,22 +39,23 @@ _CACHE_WORDS = 200_000
 
 
 def units(word: str) -> list[str]:
-    """The word, marked at its end, and its proper prefixes from SHORTEST to LONGEST characters."""
-    return [word + "$", *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1))]
+    """The word, marked at its end, and its proper prefixes from LONGEST down to SHORTEST characters."""
+    return [word + "$", *(word[:n] for n in range(min(LONGEST, len(word) - 1), SHORTEST - 1, -1))]
 
 
 @dataclass
 class Model:
-    scores: dict[str, tuple[float, float]]
+    """``scores``: log-odds by unit, 0 for those with support but no certain difference below a certain one."""
+
+    scores: dict[str, float]
     scale: float = 1.0
     rate: float = 1.0
     slope: float = 1.0
     offset: float = -3.0
 
     def word(self, word: str) -> float:
-        """Log-odds of the word's most certain unit, less the drift."""
-        known = [self.scores[u] for u in units(word) if u in self.scores]
-        return (max(known, key=lambda s: abs(s[1]))[0] if known else 0.0) - DRIFT
+        """Log-odds of the word's longest known unit, less the drift."""
+        return next((self.scores[u] for u in units(word) if u in self.scores), 0.0) - DRIFT
 
     def evidence(self, score: float, tokens: int) -> float:
         return self.scale * score - math.log(self.rate * max(tokens, 1))
@@ -60,6 +63,22 @@ class Model:
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(evidence) + self.offset))))
 
+    def together(self, scores: list[float], tokens: int) -> tuple[float, int]:
+        """-ln of the chance of the best r segments for the r that has the least, and that r.
+
+        The sum of r normalised scores t has the chance ``exp(-t) t^(r-1) / (r! (r-1)!)``; trying
+        each r halves the chance that is left. 0 where no segment says more than chance.
+        """
+        best, count, total = 0.0, 0, 0.0
+        for r, one in enumerate(sorted((self.evidence(s, tokens) for s in scores), reverse=True), 1):
+            if one <= 0:
+                break
+            total += one
+            found = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
+            if total > r * (r - 1) and found > best or r == 1 and found > 0:
+                best, count = found, r
+        return (best, count) if best >= -math.log(EXPECTED) else (0.0, 0)
+
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(start, end, score)`` in one scan; each list entry links to its last smaller start."""
@@ -104,31 +123,21 @@ class Scorer:
         scores = [score(w) for w in _WORD.findall((text or "").lower())]
         return (segments(scores) if scores and max(scores) > 0 else []), len(scores)
 
-    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
-        """``(start, end, evidence)`` of all significant segments, in characters of the lower-cased text."""
+    def passages(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """A document's evidence and ``(start, end, evidence)`` of its significant segments, in characters of the lower-cased text."""
         found, tokens = self.raw(text)
-        least = -math.log(EXPECTED)
-        found = [(a, b, self.model.evidence(s, tokens)) for a, b, s in found]
-        found = [x for x in found if x[2] >= least]
-        if not found:
-            return []
+        total, count = self.model.together([s for _, _, s in found], tokens)
+        if not count:
+            return 0.0, []
+        best = sorted(sorted(found, key=lambda f: -f[2])[:count])
         places = [m.span() for m in _WORD.finditer((text or "").lower())]
-        return [(places[a][0], places[b - 1][1], e) for a, b, e in found]
-
-    def total(self, text: str | None) -> float:
-        """A document's evidence: the sum over its significant segments."""
-        found, tokens = self.raw(text)
-        least = -math.log(EXPECTED)
-        return sum(e for e in (self.model.evidence(s, tokens) for _, _, s in found) if e >= least)
+        return total, [(places[a][0], places[b - 1][1], self.model.evidence(s, tokens)) for a, b, s in best]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, label: str = "toxic") -> DataFrame:
-    """``(text, label)`` of at most ``rows`` labelled documents for which ``learn`` holds, the smallest by a seeded hash."""
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
-    texts = docs.filter(learn).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.xxhash64(F.lit(label), "doc_id"), F.xxhash64("text"), F.col("label")]
-    chosen = texts.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id")).orderBy(*order).limit(rows)
-    return chosen.select("text", "label")
+    """``(text, label)`` of at most ``rows`` labelled documents, the smallest by a seeded hash; ``learn`` is a condition on the doc_id."""
+    known = labels.filter(learn).select("doc_id", F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
+    return texts_of(docs, sampled_ids(known, rows, label, "label"), stringed(F.col("text")), "label").select("text", "label")
 
 
 def train(chosen: DataFrame) -> Model:
@@ -164,9 +173,24 @@ def train(chosen: DataFrame) -> Model:
         return F.log((F.col(seen) + prior) / (rows + weight - F.col(seen) - prior + 1))
 
     spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    scored = counts.select("unit", (odds("toxic", toxic_rows) - odds("clean", clean_rows)).alias("odds"), spread.alias("spread"))
-    certain = scored.withColumn("z", F.col("odds") / F.col("spread")).filter(F.abs("z") >= CERTAIN)
-    model = Model({r["unit"]: (r["odds"], r["z"]) for r in certain.select("unit", "odds", "z").collect()})
+    difference = odds("toxic", toxic_rows) - odds("clean", clean_rows)
+    scored = scratch.keep(
+        counts.filter(F.col("toxic") + F.col("clean") >= SUPPORT).select(
+            "unit", difference.alias("odds"), (difference / spread >= CERTAIN).alias("certain")
+        )
+    )
+    certain = scored.filter("certain").select(F.col("unit").alias("stem"))
+    # Below a certain prefix a longer unit with support decides for itself.
+    stems = F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: F.substr(F.col("unit"), F.lit(1), n))
+    below = (
+        scored.filter("NOT certain")
+        .select("unit", F.explode(F.array_distinct(stems)).alias("prefix"))
+        .join(certain, F.col("prefix") == F.col("stem"), "left_semi")
+        .select("unit", F.lit(0.0).alias("odds"))
+        .distinct()
+    )
+    known = scored.filter("certain").select("unit", "odds").unionAll(below)
+    model = Model({r["unit"]: r["odds"] for r in known.collect()})
     return _calibrated(samples, model)
 
 
@@ -188,7 +212,7 @@ def _calibrated(samples: DataFrame, model: Model) -> Model:
     clean = [r for r in rows if not r["label"]]
     tokens = sum(r["tokens"] for r in clean)
     ups = sum(r["ups"] for r in clean) + 0.5
-    usual = (sum(r["up_score"] for r in clean) + 0.5 * max([s[0] for s in model.scores.values()], default=1.0)) / ups
+    usual = (sum(r["up_score"] for r in clean) + 0.5 * max(model.scores.values(), default=1.0)) / ups
     usual, share = max(usual, 0.1), min(ups / (tokens + 1), 0.5)
     # lambda: the positive root of E[exp(lambda s)] = 1 for a clean token's score s
     low, high = 1e-6, 50.0 / usual
@@ -202,11 +226,9 @@ def _calibrated(samples: DataFrame, model: Model) -> Model:
     # K: as many segments of the usual height as the clean rows show
     seen = sum(s >= usual for r in clean for s in r["found"]) + 0.5
     model.rate = seen / (max(tokens, 1) * math.exp(-model.scale * usual))
-    least = -math.log(EXPECTED)
     x, y = [], []
     for r in rows:
-        total = sum(e for e in (model.evidence(s, r["tokens"]) for s in r["found"]) if e >= least)
-        x.append(math.log1p(total))
+        x.append(math.log1p(model.together(r["found"], r["tokens"])[0]))
         y.append(r["label"])
     model.slope, model.offset = _logistic(np.array(x), np.array(y, float))
     return model
@@ -241,8 +263,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [scorer.passages(t) for t in batch]
             yield pd.DataFrame(
                 {
-                    "score": [model.probability(sum(p[2] for p in f)) for f in found],
-                    "passages": [[{"start": a, "end": b, "evidence": e} for a, b, e in f] for f in found],
+                    "score": [model.probability(total) for total, _ in found],
+                    "passages": [[{"start": a, "end": b, "evidence": e} for a, b, e in f] for _, f in found],
                 }
             )
 
