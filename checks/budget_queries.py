@@ -127,15 +127,17 @@ def _(f):
     "upsert_budgets",
     upserted(
         """SELECT concat('NATION_', CAST(account_id % 30 AS VARCHAR)) AS category, CAST(date_trunc('month', date) AS DATE) AS month_year,
-        CAST(max(abs(amount)) AS DECIMAL(18,2)) AS amount, 'both' AS carry_forward_type FROM f_transactions GROUP BY 1, 2"""
+        CAST(arg_max(abs(amount), id) AS DECIMAL(18,2)) AS amount, 'both' AS carry_forward_type FROM f_transactions GROUP BY 1, 2"""
     ),
 )
 def _(f):
-    updates = f.txns.groupBy(
+    # as many updates of a category and month as it has transactions; the last one holds
+    updates = f.txns.select(
         F.concat(F.lit("NATION_"), (F.col("account_id") % 30).cast("string")).alias("category"),
-        F.trunc("date", "MM").cast("date").alias("month"),
-    ).agg(F.max(F.abs("amount")).alias("amount"))
-    changed = budgets.upsert_budgets(f.budgets, updates.withColumn("carry_forward_type", F.lit("both")), f.children)
+        F.col("date").alias("month"), F.abs("amount").alias("amount"), F.col("id").alias("seq"),
+        F.lit("both").alias("carry_forward_type"),
+    )
+    changed = budgets.upsert_budgets(f.budgets, updates, f.children)
     return changed.drop("carry_forward").withColumn("amount", money_out("amount"))
 
 
@@ -149,9 +151,11 @@ def _(f):
 def _(f):
     updates = f.children.select(
         F.col("name").alias("category"), F.lit(dt.date(2001, 1, 1)).alias("month"),
-        F.lit(dt.date(1998, 6, 17)).alias("effective_date"), (F.col("id") * 10).alias("amount"),
+        F.lit(dt.date(1998, 6, 17)).alias("effective_date"), (F.col("id") * 10).alias("amount"), F.lit(2).alias("seq"),
     )
-    return budgets.upsert_budgets(f.budgets, updates, f.children).drop("carry_forward").withColumn("amount", money_out("amount"))
+    earlier = updates.withColumns({"amount": F.lit(1), "seq": F.lit(1), "effective_date": F.lit(dt.date(1998, 6, 30))})
+    changed = budgets.upsert_budgets(f.budgets, updates.unionByName(earlier), f.children)
+    return changed.drop("carry_forward").withColumn("amount", money_out("amount"))
 
 
 @check(

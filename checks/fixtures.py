@@ -49,11 +49,11 @@ def _texts(values: list[str]) -> str:
 
 SQL = {
     "f_parent_categories": """
-        SELECT r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'P' END AS icon,
+        SELECT r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey % 2 = 0 THEN 'P' END AS icon, concat('#', CAST(r_regionkey AS VARCHAR)) AS color,
                CASE WHEN r_regionkey = 0 THEN 1 ELSE 0 END AS is_income FROM region""",
     "f_child_categories": """
         SELECT n_nationkey AS id, n_regionkey AS parent_id, n_name AS name,
-               CASE WHEN n_nationkey % 2 = 0 THEN 'C' END AS icon,
+               CASE WHEN n_nationkey % 2 = 0 THEN 'C' END AS icon, concat('#', CAST(n_nationkey AS VARCHAR)) AS color,
                CASE WHEN n_nationkey IN (0,5,10,15,20,6) THEN 1 ELSE 0 END AS is_income FROM nation""",
     "f_accounts": """
         SELECT c_custkey AS id, c_name AS name, concat('INST_', CAST(c_nationkey AS VARCHAR)) AS institution,
@@ -68,17 +68,18 @@ SQL = {
                CASE WHEN o_orderkey % 50 <> 49 THEN o_orderkey % 25 END AS child_category_id,
                CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS is_split,
                CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS is_transfer,
-               CASE WHEN o_orderpriority = '5-LOW' THEN (o_custkey + 7) % 150 END AS transfer_to_account_id,
+               CASE WHEN o_orderpriority = '5-LOW' THEN (o_custkey + 7) % (SELECT count(*) FROM customer) END AS transfer_to_account_id,
                CASE WHEN o_orderpriority = '5-LOW'
                     THEN CASE o_orderkey % 3 WHEN 0 THEN 'RRSP' WHEN 1 THEN '' END END AS transfer_investment_cat,
                CASE WHEN o_orderkey % 20 = 0 THEN 'USD' ELSE 'CAD' END AS currency,
                CASE WHEN o_orderkey % 4 <> 0
                     THEN concat('["', o_orderpriority, '","', o_orderstatus, '"]') END AS tags
-        FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
+        FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
     "f_split_transactions": """
         SELECT t.id * 2 + k.k AS id, t.id AS transaction_id, (t.id + k.k) % 25 AS child_category_id,
                CASE WHEN k.k = 0 THEN CAST(t.amount * 0.6 AS DECIMAL(18,2))
-                    ELSE CAST(t.amount - CAST(t.amount * 0.6 AS DECIMAL(18,2)) AS DECIMAL(18,2)) END AS amount
+                    ELSE CAST(t.amount - CAST(t.amount * 0.6 AS DECIMAL(18,2)) AS DECIMAL(18,2)) END AS amount,
+               CASE WHEN k.k = 1 THEN concat('part of ', CAST(t.id AS VARCHAR)) END AS memo
         FROM f_transactions t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE t.is_split = 1""",
     "f_budgets": """
         SELECT n_nationkey * 10 + m.v AS id, n_nationkey AS child_category_id, m.d AS month_year,
@@ -160,11 +161,15 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def size(self, name: str) -> int:
+        """Rows of a table; keys of parts and customers run from 0, so this is the modulus that reaches all of them."""
+        return self.table(name).count()
+
     @cached_property
     def parents(self) -> DataFrame:
         key = F.col("r_regionkey")
         return self.table("region").select(
-            key.alias("id"), F.col("r_name").alias("name"), F.when(key % 2 == 0, "P").alias("icon"),
+            key.alias("id"), F.col("r_name").alias("name"), F.when(key % 2 == 0, "P").alias("icon"), F.concat(F.lit("#"), key.cast("string")).alias("color"),
             F.when(key == 0, 1).otherwise(0).alias("is_income"),
         )
 
@@ -173,7 +178,7 @@ class Fixtures:
         key = F.col("n_nationkey")
         return self.table("nation").select(
             key.alias("id"), F.col("n_regionkey").alias("parent_id"), F.col("n_name").alias("name"),
-            F.when(key % 2 == 0, "C").alias("icon"),
+            F.when(key % 2 == 0, "C").alias("icon"), F.concat(F.lit("#"), key.cast("string")).alias("color"),
             F.when(key.isin(0, 5, 10, 15, 20, 6), 1).otherwise(0).alias("is_income"),
         )
 
@@ -195,9 +200,8 @@ class Fixtures:
     @cached_property
     def txns(self) -> DataFrame:
         key, low = F.col("o_orderkey"), F.col("o_orderpriority") == "5-LOW"
-        # At most 200 parts have a key below 200, so this side has a fixed bound.
-        names = F.broadcast(self.table("part").filter(F.col("p_partkey").between(0, 199)).select("p_partkey", "p_name"))
-        rows = self.table("orders").join(names, F.col("p_partkey") == key % 200)
+        names = self.table("part").select("p_partkey", "p_name")
+        rows = self.table("orders").join(names, F.col("p_partkey") == key % self.size("part"))
         price = F.col("o_totalprice")
         return rows.select(
             key.alias("id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").cast("date").alias("date"),
@@ -206,7 +210,7 @@ class Fixtures:
             F.when(key % 50 != 49, key % 25).alias("child_category_id"),
             F.when(key % 40 == 0, 1).otherwise(0).alias("is_split"),
             F.when(low, 1).otherwise(0).alias("is_transfer"),
-            F.when(low, (F.col("o_custkey") + 7) % 150).alias("transfer_to_account_id"),
+            F.when(low, (F.col("o_custkey") + 7) % self.size("customer")).alias("transfer_to_account_id"),
             F.when(low, F.when(key % 3 == 0, "RRSP").when(key % 3 == 1, "")).alias("transfer_investment_cat"),
             F.when(key % 20 == 0, "USD").otherwise("CAD").alias("currency"),
             F.when(
@@ -223,7 +227,7 @@ class Fixtures:
             (F.col("id") * 2 + F.col("k")).alias("id"), F.col("id").alias("transaction_id"),
             ((F.col("id") + F.col("k")) % 25).alias("child_category_id"),
             F.when(F.col("k") == 0, first).otherwise((F.col("amount") - first).cast(MONEY)).alias("amount"),
-            F.col("k").alias("line"),
+            F.col("k").alias("line"), F.when(F.col("k") == 1, F.concat(F.lit("part of "), F.col("id").cast("string"))).alias("memo"),
         )
 
     @cached_property

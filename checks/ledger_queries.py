@@ -228,12 +228,12 @@ def _(f):
 
 @check(
     "splits_of",
-    """SELECT s.id, s.transaction_id, c.name AS category, CAST(s.amount AS DOUBLE) AS amount
+    """SELECT s.id, s.transaction_id, c.name AS category, CAST(s.amount AS DOUBLE) AS amount, s.memo
        FROM f_split_transactions s JOIN f_child_categories c ON s.child_category_id = c.id""",
 )
 def _(f):
     rows = views.splits_of(f.splits, f.children, f.txns)
-    return rows.select("id", "transaction_id", "category", money_out("amount").alias("amount"))
+    return rows.select("id", "transaction_id", "category", money_out("amount").alias("amount"), "memo")
 
 
 @check(
@@ -341,9 +341,9 @@ def _(f):
 
 @check(
     "categories_view",
-    """SELECT id, name, coalesce(icon, '💰') AS icon, '#6b7280' AS color, is_income, CAST(NULL AS VARCHAR) AS parent
+    """SELECT id, name, coalesce(icon, '💰') AS icon, color, is_income, CAST(NULL AS VARCHAR) AS parent
        FROM f_parent_categories UNION ALL
-       SELECT c.id, c.name, coalesce(c.icon, '💰'), '#6b7280', c.is_income, p.name
+       SELECT c.id, c.name, coalesce(c.icon, '💰'), c.color, c.is_income, p.name
        FROM f_child_categories c JOIN f_parent_categories p ON c.parent_id = p.id""",
 )
 def _(f):

@@ -117,16 +117,16 @@ def new_categories(f):
     tops = part.select(F.col("p_type").alias("name"), F.lit("").alias("parent"), F.lit(1).alias("is_income")).distinct()
     lost = part.select(F.col("p_brand").alias("name"), F.lit("nowhere").alias("parent"), F.lit(0).alias("is_income")).distinct()
     known = regions.select(F.col("r_name").alias("name"), F.lit("").alias("parent"), F.lit(0).alias("is_income"))
-    return rows.unionByName(tops).unionByName(lost).unionByName(known).withColumn("icon", F.lit("N"))
+    return rows.unionByName(tops).unionByName(lost).unionByName(known).withColumns({"icon": F.lit("N"), "color": F.concat(F.lit("#"), "name")})
 
 
 @check(
     "add_categories",
     f"""WITH n AS ({NEW_CATEGORIES}),
     c AS (SELECT p.id AS parent_id, n.name, n.is_income FROM n JOIN f_parent_categories p ON p.name = n.parent)
-    SELECT id, parent_id, name, icon, is_income FROM f_child_categories UNION ALL
+    SELECT id, parent_id, name, icon, color, is_income FROM f_child_categories UNION ALL
     SELECT (SELECT max(id) FROM f_child_categories) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', CAST(parent_id AS VARCHAR), name)), 1, 2), parent_id, name),
-    parent_id, name, 'N', is_income FROM c""",
+    parent_id, name, 'N', concat('#', name), is_income FROM c""",
 )
 def _(f):
     return maintain.add_categories(f.children, f.parents, new_categories(f))[1]
@@ -135,42 +135,53 @@ def _(f):
 @check(
     "add_categories_parents",
     f"""WITH n AS ({NEW_CATEGORIES}), t AS (SELECT DISTINCT name, is_income FROM n WHERE parent = '' AND name NOT IN (SELECT name FROM f_parent_categories))
-    SELECT id, name, icon, is_income FROM f_parent_categories UNION ALL
-    SELECT (SELECT max(id) FROM f_parent_categories) + row_number() OVER (ORDER BY substr(md5(name), 1, 2), name), name, 'N', is_income FROM t""",
+    SELECT id, name, icon, color, is_income FROM f_parent_categories UNION ALL
+    SELECT (SELECT max(id) FROM f_parent_categories) + row_number() OVER (ORDER BY substr(md5(name), 1, 2), name), name, 'N', concat('#', name), is_income FROM t""",
 )
 def _(f):
     return maintain.add_categories(f.children, f.parents, new_categories(f))[0]
 
 
+# Several changes of an id: each sets one or two of the fields, and some name an unknown category.
+CHANGES = """SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS seq,
+    CASE WHEN l_linenumber % 3 <> 0 THEN concat('NATION_', CAST(l_suppkey % 30 AS VARCHAR)) END AS category,
+    CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN concat('["', CAST(l_linenumber AS VARCHAR), '"]') END AS tags,
+    CASE WHEN l_linenumber % 2 = 1 THEN concat('seen ', CAST(l_linenumber AS VARCHAR)) END AS notes FROM lineitem WHERE l_returnflag = 'R'"""
+
+
 @check(
     "apply_corrections",
-    """WITH c AS (SELECT l_orderkey AS id, arg_max(concat('NATION_', CAST(l_suppkey % 30 AS VARCHAR)), (l_linenumber, l_partkey)) AS category,
-    CASE WHEN l_orderkey % 2 = 0 THEN '["fixed"]' END AS tags FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
-    SELECT t.id, coalesce(k.id, t.child_category_id) AS child_category_id, coalesce(c.tags, t.tags) AS tags,
-    CASE WHEN c.id IS NOT NULL THEN 'seen' END AS notes FROM f_transactions t LEFT JOIN c ON c.id = t.id
-    LEFT JOIN f_child_categories k ON k.name = c.category""",
+    f"""WITH c AS (SELECT c.*, k.id AS child FROM ({CHANGES}) c LEFT JOIN f_child_categories k ON k.name = c.category),
+    f AS (SELECT id, arg_max(child, seq) FILTER (child IS NOT NULL) AS child, arg_max(tags, seq) FILTER (tags IS NOT NULL) AS tags,
+          arg_max(notes, seq) FILTER (notes IS NOT NULL) AS notes FROM c GROUP BY id)
+    SELECT t.id, coalesce(f.child, t.child_category_id) AS child_category_id, coalesce(f.tags, t.tags) AS tags, f.notes
+    FROM f_transactions t LEFT JOIN f ON f.id = t.id""",
 )
 def _(f):
-    key = F.col("l_orderkey")
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
     changes = f.table("lineitem").filter("l_returnflag = 'R'").select(
-        key.alias("id"), F.concat(F.lit("NATION_"), (F.col("l_suppkey") % 30).cast("string")).alias("category"),
-        F.when(key % 2 == 0, '["fixed"]').alias("tags"), F.lit("seen").alias("notes"),
-        F.struct("l_linenumber", "l_partkey").alias("seq"),
+        key.alias("id"), (line.cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("seq"),
+        F.when(line % 3 != 0, F.concat(F.lit("NATION_"), (F.col("l_suppkey") % 30).cast("string"))).alias("category"),
+        F.when((key + line) % 2 == 0, F.concat(F.lit('["'), line.cast("string"), F.lit('"]'))).alias("tags"),
+        F.when(line % 2 == 1, F.concat(F.lit("seen "), line.cast("string"))).alias("notes"),
     )
     return maintain.apply_corrections(f.txns, changes, f.children).select("id", "child_category_id", "tags", "notes")
 
 
 @check(
     "mark_transfers",
-    """WITH m AS (SELECT l_orderkey AS id, max(l_suppkey) AS dest FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+    """WITH m AS (SELECT l_orderkey AS id, arg_max(l_suppkey, (l_linenumber, l_partkey)) AS dest, arg_max(l_linenumber, (l_linenumber, l_partkey)) AS line
+    FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
     SELECT t.id, CASE WHEN m.id IS NOT NULL THEN 1 ELSE is_transfer END AS is_transfer,
     CASE WHEN m.id IS NOT NULL THEN m.dest ELSE transfer_to_account_id END AS transfer_to_account_id,
-    CASE WHEN m.id IS NULL THEN transfer_investment_cat WHEN m.id % 2 = 0 THEN 'TFSA' END AS transfer_investment_cat
+    CASE WHEN m.id IS NULL THEN transfer_investment_cat WHEN m.line % 2 = 0 THEN 'TFSA' END AS transfer_investment_cat
     FROM f_transactions t LEFT JOIN m ON m.id = t.id""",
 )
 def _(f):
-    marks = f.table("lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_suppkey").alias("dest_account_id"))
-    marks = marks.withColumn("inv_category", F.when(F.col("id") % 2 == 0, "TFSA"))
+    marks = f.table("lineitem").filter("l_returnflag = 'A'").select(
+        F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("dest_account_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, "TFSA").alias("inv_category"), F.struct("l_linenumber", "l_partkey").alias("seq"),
+    )
     return maintain.mark_transfers(f.txns, marks).select("id", "is_transfer", "transfer_to_account_id", "transfer_investment_cat")
 
 
@@ -181,7 +192,7 @@ NEW_SPLITS = """SELECT id AS transaction_id, k AS line, concat('NATION_', CAST((
 def new_splits(f):
     rows = f.txns.filter("is_transfer = 1").withColumn("line", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     name = F.concat(F.lit("NATION_"), ((F.col("id") + F.col("line")) % 27).cast("string"))
-    return rows.select(F.col("id").alias("transaction_id"), "line", name.alias("category"), F.col("amount").alias("whole"))
+    return rows.select(F.col("id").alias("transaction_id"), "line", name.alias("category"), F.col("amount").alias("whole"), F.concat(F.lit("new "), F.col("line").cast("string")).alias("memo"))
 
 
 @check(
@@ -189,13 +200,14 @@ def new_splits(f):
     """WITH n AS (SELECT id AS transaction_id, k AS line, concat('NATION_', CAST((id + k) % 27 AS VARCHAR)) AS category, amount
     FROM f_transactions, (VALUES (0), (1), (2)) v(k) WHERE is_transfer = 1),
     a AS (SELECT n.*, c.id AS child_category_id FROM n JOIN f_child_categories c ON c.name = n.category)
-    SELECT id, transaction_id, child_category_id, CAST(amount AS DOUBLE) AS amount FROM f_split_transactions ANTI JOIN n USING (transaction_id)
+    SELECT id, transaction_id, child_category_id, CAST(amount AS DOUBLE) AS amount, memo FROM f_split_transactions ANTI JOIN n USING (transaction_id)
     UNION ALL SELECT (SELECT max(id) FROM f_split_transactions) + row_number() OVER (ORDER BY substr(md5(concat_ws('|', CAST(transaction_id AS VARCHAR),
-    CAST(line AS VARCHAR))), 1, 2), transaction_id, line), transaction_id, child_category_id, CAST(amount AS DOUBLE) FROM a""",
+    CAST(line AS VARCHAR))), 1, 4), transaction_id, line), transaction_id, child_category_id, CAST(amount AS DOUBLE), concat('new ', CAST(line AS VARCHAR)) FROM a""",
 )
 def _(f):
     new = new_splits(f).withColumnRenamed("whole", "amount")
-    return maintain.replace_splits(f.splits, f.txns, new, f.children)[0].withColumn("amount", money_out("amount"))
+    lines = maintain.replace_splits(f.splits.drop("line"), f.txns, new, f.children)[0]
+    return lines.select("id", "transaction_id", "child_category_id", money_out("amount").alias("amount"), "memo")
 
 
 @check(

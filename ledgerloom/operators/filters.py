@@ -49,9 +49,10 @@ def by_category_strict(df: DataFrame, name: str) -> DataFrame:
 
 
 def search(df: DataFrame, text: str, wildcards: bool = False) -> DataFrame:
-    """Description contains the text, any case. With ``wildcards`` % and _ act as in LIKE."""
+    """Description contains the text, any case. With ``wildcards`` % and _ act as in LIKE; a backslash is itself."""
     if wildcards:
-        return df.filter(F.col("description").ilike(f"%{text}%"))
+        literal = text.replace("\\", "\\\\")
+        return df.filter(F.col("description").ilike(f"%{literal}%"))
     return df.filter(F.lower("description").contains(text.lower()))
 
 

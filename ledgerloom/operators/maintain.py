@@ -24,12 +24,25 @@ def first_of_each(batch: DataFrame, key: str = "hash", order: Sequence[str] = LI
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
 
+def months_of(batch: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger's partitions of the batch's months, all of it if it isn't stored by month.
+
+    A fingerprint holds the date, so no other month can hold the same one. The months
+    of a batch are few whatever its size, and become a partition filter.
+    """
+    if "month" not in ledger.columns or "date" not in batch.columns:
+        return ledger
+    months = [r[0] for r in batch.select(F.date_format("date", "yyyy-MM")).distinct().collect()]
+    return ledger.filter(F.col("month").isin([m for m in months if m is not None]))
+
+
 def new_rows(batch: DataFrame, ledger: DataFrame, key: str = "hash", order: Sequence[str] = LINEAGE) -> DataFrame:
     """Batch rows whose fingerprint is neither in the ledger nor earlier in the batch.
 
-    Both steps use the same key, so the batch is shuffled once; of the ledger only
-    the key column is read.
+    Both steps use the same key, so the batch is shuffled once. Of the ledger only the
+    key column is read, and of a ledger with its ``month`` column only the batch's months.
     """
+    ledger = months_of(batch, ledger)
     return first_of_each(batch, key, order).join(ledger.select(key), key, "left_anti")
 
 
@@ -123,40 +136,53 @@ def _account_defaults(new: DataFrame) -> DataFrame:
 def add_categories(
     children: DataFrame, parents: DataFrame, new: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(parent table, child table) with new(name, parent, is_income[, icon, color]) added.
+    """(parent table, child table) with new(name, parent, is_income[, icon, color, ...]) added.
 
-    Rows without a parent become parents; rows under an unknown parent are ignored.
-    Parent names are unique, so a parent that exists is left as it is.
+    Rows without a parent become parents, one per name (of several the least by the other
+    columns); rows under an unknown parent are ignored. Parent names are unique, so a
+    parent that exists is left as it is. Both tables keep all their columns; a column
+    that the new rows lack is NULL in them.
     """
-    tree = ["name", "icon", "is_income"]
-    top = new.filter(F.coalesce("parent", F.lit("")) == "").select(*tree).distinct()
-    fresh = top.join(parents.select("name"), "name", "left_anti")
-    parent_rows = assign_ids(fresh, ["name"], parents.agg(F.max("id"))).select("id", *tree)
-    parent_table = parents.select("id", *tree).unionByName(parent_rows)
+    top = new.filter(F.coalesce("parent", F.lit("")) == "").drop("parent")
+    rest = [c for c in top.columns if c != "name"]
+    one = top.groupBy("name").agg(F.min(F.struct(*rest)).alias("r")).select("name", "r.*")
+    fresh = one.join(parents.select("name"), "name", "left_anti")
+    parent_rows = assign_ids(fresh, ["name"], parents.agg(F.max("id")))
+    parent_table = _grown(parents, parent_rows)
     owner = parent_table.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
-    below = new.filter(F.coalesce("parent", F.lit("")) != "").join(owner, "parent").select("parent_id", *tree)
-    child_rows = assign_ids(below, ["parent_id", "name"], children.agg(F.max("id"))).select("id", "parent_id", *tree)
-    return parent_table, children.select("id", "parent_id", *tree).unionByName(child_rows)
+    below = new.filter(F.coalesce("parent", F.lit("")) != "").join(owner, "parent").drop("parent")
+    child_rows = assign_ids(below, ["parent_id", "name"], children.agg(F.max("id")))
+    return parent_table, _grown(children, child_rows)
+
 
+def _grown(table: DataFrame, added: DataFrame) -> DataFrame:
+    """The table with rows added, all columns of both; those of the table come first."""
+    return table.unionByName(added, allowMissingColumns=True)
 
-def _last_per_id(changes: DataFrame) -> DataFrame:
-    """One row per id: the one with the highest ``seq`` where that column is given."""
+
+def _needs_seq(changes: DataFrame) -> None:
+    """Changes are applied in turn, so they need an order that is unique per key."""
     if "seq" not in changes.columns:
-        return changes.dropDuplicates(["id"])
-    rest = F.struct(*[c for c in changes.columns if c not in ("id", "seq")])
-    return changes.groupBy("id").agg(F.max_by(rest, "seq").alias("r")).select("id", "r.*")
+        raise ValueError("changes need a column seq, their order per key")
 
 
 def apply_corrections(ledger: DataFrame, changes: DataFrame, children: DataFrame) -> DataFrame:
-    """Ledger after changes(id, category, tags, notes[, seq]); NULL leaves a field as it is.
+    """Ledger after changes(id, category, tags, notes, seq), applied in the order of ``seq``.
 
-    An unknown category changes nothing.
+    NULL leaves a field as it is and an unknown category changes nothing, so of each
+    field the last value that says something stays, whichever change it came with.
     """
-    named = _last_per_id(changes).join(category_ids(children), "category", "left").select(
-        "id", F.col("child_category_id").alias("_child"), F.col("tags").alias("_tags"), F.col("notes").alias("_notes")
+    _needs_seq(changes)
+    named = changes.join(category_ids(children), "category", "left")
+
+    def last(field: str) -> Column:
+        return F.max_by(field, F.when(F.col(field).isNotNull(), F.col("seq")))
+
+    final = named.groupBy("id").agg(
+        last("child_category_id").alias("_child"), last("tags").alias("_tags"), last("notes").alias("_notes")
     )
     notes = F.col("notes") if "notes" in ledger.columns else F.lit(None).cast("string")
-    joined = ledger.withColumn("notes", notes).join(named, "id", "left")
+    joined = ledger.withColumn("notes", notes).join(final, "id", "left")
     return joined.withColumns(
         {
             "child_category_id": F.coalesce("_child", "child_category_id"),
@@ -167,8 +193,10 @@ def apply_corrections(ledger: DataFrame, changes: DataFrame, children: DataFrame
 
 
 def mark_transfers(ledger: DataFrame, marks: DataFrame) -> DataFrame:
-    """Ledger after marks(id, dest_account_id, inv_category[, seq]): those rows become transfers."""
-    marked = _last_per_id(marks).select("id", "dest_account_id", "inv_category", F.lit(1).alias("_mark"))
+    """Ledger after marks(id, dest_account_id, inv_category, seq): those rows become transfers, the last mark of each holds."""
+    _needs_seq(marks)
+    final = F.max_by(F.struct("dest_account_id", "inv_category"), "seq").alias("r")
+    marked = marks.groupBy("id").agg(final).select("id", "r.*", F.lit(1).alias("_mark"))
     hit = F.col("_mark") == 1
     joined = ledger.join(marked, "id", "left")
     return joined.withColumns(
@@ -183,19 +211,20 @@ def mark_transfers(ledger: DataFrame, marks: DataFrame) -> DataFrame:
 def replace_splits(
     splits: DataFrame, ledger: DataFrame, new: DataFrame, children: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(split table, ledger) after new(transaction_id, line, category, amount) replaces those transactions' lines.
+    """(split table, ledger) after new(transaction_id, line, category, amount[, memo]) replaces those transactions' lines.
 
     A line with an unknown category is dropped; its transaction still counts as split.
+    Lines of other transactions keep all their columns.
     """
     touched = new.select("transaction_id").distinct()
-    kept = splits.join(touched, "transaction_id", "left_anti").select("id", "transaction_id", "child_category_id", "amount")
-    lines = new.join(category_ids(children), "category")
-    added = assign_ids(lines, ["transaction_id", "line"], splits.agg(F.max("id"))).select(
-        "id", "transaction_id", "child_category_id", F.col("amount").cast(MONEY).alias("amount")
-    )
+    kept = splits.join(touched, "transaction_id", "left_anti")
+    lines = new.join(category_ids(children), "category").withColumn("amount", F.col("amount").cast(MONEY))
+    added = assign_ids(lines, ["transaction_id", "line"], splits.agg(F.max("id")), digits=4).drop("category")
+    if "line" not in splits.columns:
+        added = added.drop("line")
     flagged = ledger.join(touched.select(F.col("transaction_id").alias("id"), F.lit(1).alias("_split")), "id", "left")
     return (
-        kept.unionByName(added),
+        _grown(kept.select(splits.columns), added),
         flagged.withColumn("is_split", F.coalesce("_split", "is_split")).drop("_split"),
     )
 

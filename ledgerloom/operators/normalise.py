@@ -63,8 +63,8 @@ MONEY_ROLES = ["outflow", "inflow", "amount", "balance", "net", "gross", "princi
 
 
 def in_minus_out(inflow: Column, outflow: Column) -> Column:
-    """Inflow minus outflow when there is an inflow, else minus the outflow."""
-    return F.when(inflow != 0, inflow - outflow).otherwise(-outflow).cast(MONEY)
+    """Inflow minus outflow when there is an inflow, else minus the outflow; NULL if too wide, so the row is set aside."""
+    return F.when(inflow != 0, inflow - outflow).otherwise(-outflow).try_cast(MONEY)
 
 
 def action_category(action: Column) -> Column:
@@ -152,7 +152,7 @@ def _mortgage(roles: Roles) -> dict[str, Column]:
         amount, memo = in_minus_out(F.col("inflow"), F.col("outflow")), _balance_memo(roles)
     text = F.trim(F.coalesce(F.col("description"), F.lit(MORTGAGE_TEXT)))
     return {
-        "description": text, "original_desc": text, "amount": amount.cast(MONEY),
+        "description": text, "original_desc": text, "amount": amount.try_cast(MONEY),
         "category": F.lit(MORTGAGE_CATEGORY), "memo": memo, "currency": F.lit("CAD"),
     }
 
@@ -337,9 +337,10 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
 def normalise_rows(df: DataFrame, layout: Layout) -> DataFrame:
     """Role columns to LINEAGE, date_raw, date and the layout's output columns; no account yet."""
     rows, roles = resolve_columns(df, layout.spec)
-    money = [r for r in MONEY_ROLES if r in roles]
+    money = [r for r in MONEY_ROLES if roles.get(r)]
+    absent = {r: _zero() for r in MONEY_ROLES if r in roles and not roles[r]}
     given = {f"{r}_given": F.col(r).isNotNull() for r in ("payment", "total_payment") if r in roles}
-    rows = clean_amounts(rows.filter(F.col("date").isNotNull()).withColumns(given), money)
+    rows = clean_amounts(rows.filter(F.col("date").isNotNull()).withColumns(given), money).withColumns(absent)
     built = layout.build(roles)
     lineage = [c for c in LINEAGE if c in rows.columns]
     return rows.select(

@@ -12,7 +12,7 @@ from ledgerloom.functions.money import MONEY, money_out, ratio_pct
 from ledgerloom.functions.text import clip
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import category_ids, transfers
-from ledgerloom.plans.reports import spending_by_category
+from ledgerloom.plans.reports import category_totals
 
 Month = str | dt.date
 
@@ -70,8 +70,8 @@ def budgets_asof_months(budgets: DataFrame, children: DataFrame, months: DataFra
 
 
 def _month_spending(txns: DataFrame, children: DataFrame, parents: DataFrame, first: Column) -> DataFrame:
-    sums = spending_by_category(txns, children, parents, first, F.last_day(first))
-    return sums.groupBy("category").agg(F.sum(F.col("total").cast(MONEY)).alias("spent"))
+    sums = category_totals(txns, children, parents, first, F.last_day(first), False, ())
+    return sums.groupBy("category").agg(F.sum("total").cast("decimal(38,2)").alias("spent"))
 
 
 def budget_effective(
@@ -85,7 +85,7 @@ def budget_effective(
     """
     first = month_start(month)
     before = previous_month(first)
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast("decimal(38,2)")
     base = budgets_asof(budgets, children, first).select(
         "child_category_id", F.col("amount").alias("base"), "carry_forward_type"
     )
@@ -133,7 +133,7 @@ def budget_performance(
 ) -> DataFrame:
     """Expense categories with a budget or spending: percent used, rest and band."""
     rows = _performance(budgets, txns, children, parents, month)
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast("decimal(38,2)")
     rows = rows.withColumns({"budgeted": F.coalesce("budget", zero), "spent": F.coalesce("spent", zero)})
     pct = F.when(F.col("budgeted") == 0, F.lit(100.0)).otherwise(ratio_pct(F.col("spent"), F.col("budgeted")))
     band = F.when(F.col("pct") > 100, "over").when(F.col("pct") > 75, "near").otherwise("ok")
@@ -179,24 +179,27 @@ def unbudgeted_spend(
 
 
 def upsert_budgets(budgets: DataFrame, updates: DataFrame, children: DataFrame) -> DataFrame:
-    """The budget table after updates(category, month or effective_date, amount[, carry_forward, carry_forward_type]).
+    """The budget table after updates(category, month or effective_date, amount, seq[, carry_forward, carry_forward_type]).
 
     The key is (category, first of month); an effective date overrides the month and
-    an unknown category is ignored. A replaced row keeps its id.
+    an unknown category is ignored. Of several updates of a key the one with the highest
+    ``seq`` holds. A replaced row keeps its id.
     """
+    if "seq" not in updates.columns:
+        raise ValueError("updates need a column seq, their order per category and month")
     month = F.trunc(F.col("month"), "MM").cast("date")
     if "effective_date" in updates.columns:
         month = F.coalesce(F.trunc("effective_date", "MM").cast("date"), month)
     flag = F.col("carry_forward") if "carry_forward" in updates.columns else F.lit(0)
     kind = F.col("carry_forward_type") if "carry_forward_type" in updates.columns else F.lit("none")
     keys = ["child_category_id", "month_year"]
-    new = updates.join(category_ids(children), "category").select(
-        "child_category_id",
-        month.alias("month_year"),
+    row = F.struct(
         F.col("amount").cast(MONEY).alias("amount"),
         F.coalesce(flag, F.lit(0)).alias("carry_forward"),
         F.coalesce(kind, F.lit("none")).alias("carry_forward_type"),
     )
+    named = updates.join(category_ids(children), "category").withColumn("month_year", month)
+    new = named.groupBy(*keys).agg(F.max_by(row, "seq").alias("r")).select(*keys, "r.*")
     current = _defaults(budgets)
     kept = current.join(new.select(*keys), keys, "left_anti")
     replaced = new.join(current.select(*keys, "id"), keys)
@@ -206,10 +209,14 @@ def upsert_budgets(budgets: DataFrame, updates: DataFrame, children: DataFrame)
 
 
 def copy_budgets(budgets: DataFrame, children: DataFrame, month: Month) -> DataFrame:
-    """The budget table after copying last month's amounts to ``month``; carry-forward resets to none."""
+    """The budget table after copying last month's amounts to ``month``; carry-forward resets to none.
+
+    Names are looked up again, so of equal names the budget of the smallest category id is copied.
+    """
     first = month_start(month)
     last = budgets_asof(budgets, children, previous_month(first))
-    updates = last.select("category", first.alias("month"), "amount")
+    named = last.groupBy("category").agg(F.min_by("amount", "child_category_id").alias("amount"))
+    updates = named.select("category", first.alias("month"), "amount", F.lit(0).alias("seq"))
     return upsert_budgets(budgets, updates, children)
 
 

@@ -120,9 +120,10 @@ def _out(c: str) -> Column:
     return money_out(c).alias(c)
 
 
-def _category_totals(
+def category_totals(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day | None, end: Day | None, income: bool, by: Sequence[str]
 ) -> DataFrame:
+    """Absolute sums per category and parent in DECIMAL, unordered."""
     part = F.col("amount") > 0 if income else F.col("amount") < 0
     per_id = (
         between_dates(exclude_transfers(txns), start, end)
@@ -143,19 +144,19 @@ def spending_by_category(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day | None = None, end: Day | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Absolute sum of negative amounts per category of the expense parents, largest first."""
-    return _ranked(_category_totals(txns, children, parents, start, end, False, by), by)
+    return _ranked(category_totals(txns, children, parents, start, end, False, by), by)
 
 
 def income_by_category(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day | None = None, end: Day | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    return _ranked(_category_totals(txns, children, parents, start, end, True, by), by)
+    return _ranked(category_totals(txns, children, parents, start, end, True, by), by)
 
 
 def top_categories(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day, end: Day, k: int = TOP_CHART, by: Sequence[str] = ()
 ) -> DataFrame:
-    totals = _category_totals(txns, children, parents, start, end, False, by)
+    totals = category_totals(txns, children, parents, start, end, False, by)
     best = top_n(totals, k, [F.col("total").desc(), F.col("category")], by)
     return best.select(*by, "category", "parent_category", _out("total"))
 
@@ -186,7 +187,7 @@ def spending_by_parent(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day, end: Day, by: Sequence[str] = ()
 ) -> DataFrame:
     """Parent subtotals (category NULL) with their categories, parents by name."""
-    totals = _category_totals(txns, children, parents, start, end, False, by)
+    totals = category_totals(txns, children, parents, start, end, False, by)
     rolled = totals.groupingSets(
         [[*[F.col(b) for b in by], F.col("parent_category"), F.col("category")], [*[F.col(b) for b in by], F.col("parent_category")]],
         *by, "parent_category", "category",
@@ -261,13 +262,13 @@ def _facts(totals: DataFrame, start: Day, end: Day, by: Sequence[str]) -> DataFr
 def spending_facts(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day, end: Day, by: Sequence[str] = ()
 ) -> DataFrame:
-    return _facts(_category_totals(txns, children, parents, start, end, False, by), start, end, by)
+    return _facts(category_totals(txns, children, parents, start, end, False, by), start, end, by)
 
 
 def income_facts(
     txns: DataFrame, children: DataFrame, parents: DataFrame, start: Day, end: Day, by: Sequence[str] = ()
 ) -> DataFrame:
-    return _facts(_category_totals(txns, children, parents, start, end, True, by), start, end, by).drop("top_category")
+    return _facts(category_totals(txns, children, parents, start, end, True, by), start, end, by).drop("top_category")
 
 
 def _names_any(words: Sequence[str]) -> Column:
@@ -282,7 +283,7 @@ def tax_report(
     words: Sequence[str] = TAX_WORDS, by: Sequence[str] = (),
 ) -> DataFrame:
     """Tax related spending categories with their share of the tax related total."""
-    taxed = with_share(_category_totals(txns, children, parents, start, end, False, by).filter(_names_any(words)), by)
+    taxed = with_share(category_totals(txns, children, parents, start, end, False, by).filter(_names_any(words)), by)
     order = [*by, F.col("total").desc(), F.col("category")]
     return taxed.orderBy(*order).select(*by, "category", "parent_category", _out("total"), "share")
 

@@ -15,10 +15,13 @@ from ledgerloom.sources.tables import write_transactions
 
 
 def stream_statements(spark: SparkSession, folder: str, columns: Sequence[str], files_per_batch: int = 1000) -> DataFrame:
-    """File-source stream of statements of one layout, all STRING."""
+    """File-source stream of statements of one layout, all STRING.
+
+    A file whose header doesn't name these columns in this order stops the stream with an error.
+    """
     raw = (
         spark.readStream.schema(statement_schema(columns))
-        .options(header=True, encoding="UTF-8", quote='"', escape='"', maxFilesPerTrigger=files_per_batch)
+        .options(header=True, enforceSchema=False, encoding="UTF-8", quote='"', escape='"', maxFilesPerTrigger=files_per_batch)
         .csv(folder)
     )
     return with_missing_as_null(raw, columns).withColumnsRenamed({c: clean_header(c) for c in columns}).select(
@@ -34,8 +37,8 @@ def import_stream(
 ) -> StreamingQuery:
     """Imports the files that arrived since the last run, then stops.
 
-    Each micro-batch is normalised, categorised and compared with the whole ledger
-    table, so a file that comes again, in the same run or later, adds nothing. New
+    Each micro-batch is normalised, categorised and compared with the ledger's partitions
+    of its months, so a file that comes again, in the same run or later, adds nothing. New
     accounts are stored before the rows. A batch that is run again after a failure
     finds its own accounts and rows and adds none. Written rows keep rule_id, so
     ``rule_usage`` can count them.
@@ -45,7 +48,7 @@ def import_stream(
     def append(micro: DataFrame, _batch_id: int) -> None:
         session = micro.sparkSession
         numbered = micro.withColumn("source_row", F.monotonically_increasing_id())
-        ledger = session.read.schema("id BIGINT, hash STRING").parquet(ledger_path)
+        ledger = session.read.schema("id BIGINT, hash STRING, month STRING").parquet(ledger_path)
         accounts = session.read.schema(ACCOUNTS).parquet(accounts_path)
         done = import_frames([(numbered, institution)], ledger, accounts, children, rules)
         done.accounts.join(accounts.select("id"), "id", "left_anti").write.mode("append").parquet(accounts_path)
