@@ -27,7 +27,7 @@ from ledgerloom.llm.common import shipped
 
 WINDOW = 60
 ERROR_RATE = 1 / 15
-Q = 10
+Q = 9
 BLOCK_CHARS = 500_000
 SEGMENT = 1 << 18
 
@@ -154,6 +154,9 @@ class Index:
         i, b, p = np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(position, 2)
         order = np.lexsort((p, b, i))
         i, b, p = i[order], b[order], p[order]
+        other = np.ones(len(i), bool)  # a position counts once in a band
+        other[1:] = (i[1:] != i[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
+        i, b, p = i[other], b[other], p[other]
         first = np.arange(len(i))
         last = first + self.leasts[i] - 1
         ok = last < len(i)
@@ -205,24 +208,57 @@ class Index:
                     rest[start - begin] = False
                     out.append((int(start), 0, int(start + diagonal), int(start + diagonal + window)))
         left_over = begin + np.flatnonzero(rest)
+        left, width = low - edits, high - low + 2 * edits + 1
         for a in range(0, len(left_over), 512):
-            out += self._aligned(target, chars, left_over[a : a + 512], low - edits, high - low + 2 * edits + 1, window, edits)
+            starts = self._within(target, chars, left_over[a : a + 512], left, width, window, edits)
+            if len(starts):
+                out += self._aligned(target, chars, starts, left, width, window, edits)
         return out
 
     @staticmethod
+    def _rows(target: np.ndarray, chars: np.ndarray, starts: np.ndarray, left: int, width: int, window: int):
+        """Bands of the alignment: the first row of costs, and for row i what a match or a mismatch adds.
+
+        Cell (i, j) stands before document position ``starts + i + left + j``; what is outside
+        matches nothing. Both ends are free in the document.
+        """
+        columns = np.arange(width)
+        corner = starts[:, None] + left + columns
+        padded = np.concatenate([np.zeros(1, chars.dtype), chars, np.zeros(1, chars.dtype)])
+        big = window + 1
+
+        def added(i: int) -> np.ndarray:
+            here = corner + i
+            same = padded[np.clip(here + 1, 0, len(chars) + 1)] == target[starts + i][:, None]
+            return np.where((here >= 0) & (here < len(chars)), np.where(same, 0, 1), big)
+
+        return corner, np.where((corner < 0) | (corner > len(chars)), big, 0), added, columns
+
+    @classmethod
+    def _within(
+        cls, target: np.ndarray, chars: np.ndarray, starts: np.ndarray, left: int, width: int, window: int, edits: int
+    ) -> np.ndarray:
+        """The windows within the edit budget, side by side; one that is beyond it goes early."""
+        _, cost, added, columns = cls._rows(target, chars, starts, left, width, window)
+        side = np.full((len(starts), 1), window + 1)
+        for i in range(window):
+            skip = np.concatenate([cost[:, 1:] + 1, side[: len(cost)]], axis=1)
+            cost = np.minimum.accumulate(np.minimum(skip, cost + added(i)) - columns, axis=1) + columns
+            if i % 4 == 3 and not (alive := cost.min(axis=1) <= edits).all():
+                starts, cost = starts[alive], cost[alive]
+                if not len(starts):
+                    return starts
+                _, _, added, _ = cls._rows(target, chars, starts, left, width, window)
+        return starts[cost.min(axis=1) <= edits]
+
+    @classmethod
     def _aligned(
-        target: np.ndarray, chars: np.ndarray, starts: np.ndarray, left: int, width: int, window: int, edits: int
+        cls, target: np.ndarray, chars: np.ndarray, starts: np.ndarray, left: int, width: int, window: int, edits: int
     ) -> list[tuple[int, int, int, int]]:
-        """Banded alignment of windows side by side, with free ends in the document."""
-        columns = np.arange(width)
-        # cell (i, j) stands before document position starts + i + left + j; what is outside matches nothing
-        origin = starts[:, None] + left + columns
-        cost = np.where((origin < 0) | (origin > len(chars)), window + 1, 0)
+        """Least edits of windows and the part of the document that they match."""
+        origin, cost, added, columns = cls._rows(target, chars, starts, left, width, window)
         for i in range(window):
-            here = starts[:, None] + i + left + columns
-            valid = (here >= 0) & (here < len(chars))
-            same = chars[np.clip(here, 0, len(chars) - 1)] == target[starts + i][:, None]
-            step = np.where(valid, cost + ~same, window + 1)
+            step = cost + added(i)
             skip = np.concatenate([cost[:, 1:] + 1, np.full((len(starts), 1), window + 1)], axis=1)
             origin = np.where(skip < step, np.concatenate([origin[:, 1:], origin[:, -1:]], axis=1), origin)
             level = np.minimum(skip, step) - columns

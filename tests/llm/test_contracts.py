@@ -38,7 +38,7 @@ def test_near_duplicates(docs, result):
 
 
 def test_decontamination(spark, docs, result):
-    from ledgerloom.llm.decontaminate import Budget, normal
+    from ledgerloom.llm.decontaminate import Q, Budget, normal
 
     items = [(r[0], normal(r[1])) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
     got = {(r.doc_id, r.item_id) for r in result("op2_benchmark_decontamination")}
@@ -46,7 +46,7 @@ def test_decontamination(spark, docs, result):
     assert want and want <= got
     for i, item in got - want:  # a part of an item, or a part with edits
         text, whole = normal(docs[i][1]), dict(items)[item]
-        b = Budget.of(len(whole), 60, 1 / 15, 10)
+        b = Budget.of(len(whole), 60, 1 / 15, Q)
         assert any(brute.edits_in(whole[a : a + b.window], text) <= b.edits for a in range(len(whole) - b.window + 1))
 
 

@@ -88,7 +88,7 @@ def test_leaks_against_alignment():
         want = {}
         for n, whole in items:
             whole = decontaminate.normal(whole)
-            b = decontaminate.Budget.of(len(whole), 60, 1 / 15, 10)
+            b = decontaminate.Budget.of(len(whole), 60, 1 / 15, decontaminate.Q)
             for start in range(len(whole) - b.window + 1) if b else ():
                 edits = brute.edits_in(whole[start : start + b.window], text)
                 if edits <= b.edits:
