@@ -94,7 +94,35 @@ def _(f):
     rows.filter(even).select(" Date ", "Description", "Amount").write.options(**WRITE).csv(f"{path}/a")
     rows.filter(~even).select("Amount", "Description", F.col(" Date ").alias("Date")).write.options(**WRITE).csv(f"{path}/b")
     layouts = statements.read_statements(f.spark, [f"{path}/a", f"{path}/b"])
-    return imports.union_all(list(layouts.values())).drop(*statements.LINEAGE)
+    return imports.union_all(list(layouts.values())).drop(*statements.LINEAGE, statements.BAD)
+
+
+WHOLE = "concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_suppkey AS VARCHAR))"
+
+
+@check(
+    "read_statement_bad_rows",
+    f"""SELECT {WHOLE} AS line, 'good' AS kind FROM lineitem WHERE l_linenumber NOT IN (2, 5, 6)
+    UNION ALL SELECT concat({WHOLE}, ',extra'), 'bad' FROM lineitem WHERE l_linenumber = 2
+    UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'bad' FROM lineitem WHERE l_linenumber = 5
+    UNION ALL SELECT concat(CAST(l_orderkey AS VARCHAR), ',"broken'), 'bad' FROM lineitem WHERE l_linenumber = 6
+    UNION ALL SELECT concat('line",', CAST(l_suppkey AS VARCHAR)), 'bad' FROM lineitem WHERE l_linenumber = 6""",
+)
+def _(f):
+    path = shared_folder(f.spark, "statement")
+    line, key, last = F.col("l_linenumber"), F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")
+    whole = F.concat_ws(",", key, line.cast("string"), last)
+    texts = (
+        F.when(line == 2, F.array(F.concat(whole, F.lit(",extra"))))
+        .when(line == 5, F.array(key))
+        .when(line == 6, F.array(F.concat(key, F.lit(',"broken')), F.concat(F.lit('line",'), last)))
+        .otherwise(F.array(whole))
+    )
+    rows = f.table("lineitem").select(F.explode(texts).alias("a,b,c"))
+    rows.write.options(header=True, quote="\u0000", sep="\u0001").csv(path)
+    good = statements.read_statement(f.spark, path).select(F.concat_ws(",", "a", "b", "c").alias("line"), F.lit("good").alias("kind"))
+    bad = statements.bad_rows(f.spark, path).select(F.col(statements.BAD).alias("line"), F.lit("bad").alias("kind"))
+    return good.unionAll(bad)
 
 
 @check(

@@ -154,9 +154,33 @@ def match_builtin(df: DataFrame, description: str = "description") -> DataFrame:
     return _with_low(df, description).withColumn("builtin_category", builtin_category(F.col(_LOW))).drop(_LOW)
 
 
-def categorise(df: DataFrame, rules: DataFrame, children: DataFrame, description: str = "description") -> DataFrame:
-    """Adds category and ai_confidence: user rule, else built-in pattern, else Uncategorized."""
-    matched = match_builtin(match_user_rules(df, rules, children, description), description)
+def _matched(df: DataFrame, low: Column, rules: DataFrame, children: DataFrame) -> DataFrame:
+    """Adds user_category, rule_id and builtin_category for the lower-case text ``low``; none where it is NULL.
+
+    Each distinct text is matched once, built-in patterns only where no user rule hits,
+    and the result is joined back. Texts repeat far more often than they differ.
+    """
+    keyed = df.withColumn(_LOW, low)
+    texts = keyed.filter(F.col(_LOW).isNotNull()).select(F.col(_LOW).alias("_text")).distinct()
+    first = F.coalesce(*[_first_hit(F.col("_text"), rows) for rows in _rule_lists(rules, children, RULES_PER_LIST)])
+    found = texts.withColumn("_rule", first).select(
+        "_text",
+        F.col("_rule.category").alias("user_category"),
+        F.col("_rule.id").alias("rule_id"),
+        F.when(F.col("_rule").isNull(), builtin_category(F.col("_text"))).alias("builtin_category"),
+    )
+    return keyed.join(found, F.col(_LOW) == F.col("_text"), "left").drop(_LOW, "_text")
+
+
+def categorise(
+    df: DataFrame, rules: DataFrame, children: DataFrame, description: str = "description", where: Column | None = None
+) -> DataFrame:
+    """Adds category and ai_confidence: user rule, else built-in pattern, else Uncategorized.
+
+    Rows for which ``where`` doesn't hold are not matched.
+    """
+    low = F.lower(F.coalesce(F.col(description), F.lit("")))
+    matched = _matched(df, low if where is None else F.when(where, low), rules, children)
     user, builtin = F.col("user_category"), F.col("builtin_category")
     return matched.withColumns(
         {
@@ -175,7 +199,7 @@ def categorise_batch(df: DataFrame, rules: DataFrame, children: DataFrame, descr
     needs = F.coalesce(preset, F.lit("")).isin("", UNCATEGORIZED)
     given = F.col("ai_confidence").cast("double") if "ai_confidence" in df.columns else F.lit(None).cast("double")
     kept = df.withColumns({"_preset": preset, "_needs": needs, "_given": given})
-    done = categorise(kept, rules, children, description)
+    done = categorise(kept, rules, children, description, F.col("_needs"))
     return done.withColumns(
         {
             "category": F.when(F.col("_needs"), F.col("category")).otherwise(F.col("_preset")),

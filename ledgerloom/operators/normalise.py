@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.money import MONEY, clean_amounts, memo_balance, memo_mortgage
 from ledgerloom.functions.text import account_label, account_ref, fingerprint
-from ledgerloom.sources.statements import LINEAGE, Holding, Named, resolve_columns, statement_columns
+from ledgerloom.sources.statements import BAD, LINEAGE, Holding, Named, resolve_columns, statement_columns
 
 Roles = Mapping[str, str | None]
 
@@ -334,17 +334,40 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
 # --- normalised rows -----------------------------------------------------------
 
 
+# All cells of a statement row, kept so that accounts are found and rejects repaired without a second parse.
+CELLS = "cells"
+
+
+def parsed_rows(df: DataFrame, layout: Layout) -> DataFrame:
+    """Every row: LINEAGE, CELLS, BAD, date_raw, date and the layout's output columns; no account yet."""
+    bad = F.col(BAD) if BAD in df.columns else F.lit(None).cast("string")
+    cells = F.array(*[F.col(f"`{c}`") for c in statement_columns(df)])
+    rows, roles = resolve_columns(df, layout.spec, {CELLS: cells, BAD: bad})
+    return _built(rows, roles, layout, [CELLS, BAD])
+
+
+def cells_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The statement's cells under their column names again, from ``parsed_rows``; BAD rows are left out."""
+    whole = rows.filter(F.col(BAD).isNull())
+    return whole.select(*LINEAGE, *[F.get(CELLS, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
 def normalise_rows(df: DataFrame, layout: Layout) -> DataFrame:
-    """Role columns to LINEAGE, date_raw, date and the layout's output columns; no account yet."""
-    rows, roles = resolve_columns(df, layout.spec)
+    """Role columns to LINEAGE, date_raw, date and the layout's output columns; no account yet. Rows without a date cell go."""
+    rows, roles = resolve_columns(df.filter(F.col(BAD).isNull()) if BAD in df.columns else df, layout.spec)
+    return _built(rows.filter(F.col("date").isNotNull()), roles, layout, [])
+
+
+def _built(rows: DataFrame, roles: Roles, layout: Layout, keep: list[str]) -> DataFrame:
     money = [r for r in MONEY_ROLES if roles.get(r)]
     absent = {r: _zero() for r in MONEY_ROLES if r in roles and not roles[r]}
     given = {f"{r}_given": F.col(r).isNotNull() for r in ("payment", "total_payment") if r in roles}
-    rows = clean_amounts(rows.filter(F.col("date").isNotNull()).withColumns(given), money).withColumns(absent)
+    rows = clean_amounts(rows.withColumns(given), money).withColumns(absent)
     built = layout.build(roles)
     lineage = [c for c in LINEAGE if c in rows.columns]
     return rows.select(
         *lineage,
+        *keep,
         F.col("date").alias("date_raw"),
         parse_date("date").alias("date"),
         *[c.alias(name) for name, c in built.items()],

@@ -9,22 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
+from ledgerloom.functions.text import account_label
 from ledgerloom.operators.categorise import categorise_batch
 from ledgerloom.operators.maintain import account_ids, add_accounts, check_constraints, new_rows
-from ledgerloom.operators.normalise import file_accounts, institutions, normalise_statement, split_rejects
+from ledgerloom.operators.normalise import (
+    CELLS, cells_of, file_accounts, institutions, layout_of, parsed_rows, split_rejects, with_fingerprint,
+)
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import resolve_category
 from ledgerloom.plans.reports import import_summary
 from ledgerloom.session import stored
-from ledgerloom.sources.statements import LINEAGE, read_statements
+from ledgerloom.sources.statements import BAD, LINEAGE, read_statements, statement_columns
 
 
 @dataclass
 class Imported:
     """Frames of one import.
 
-    ``batch`` holds every row that fits, ``fresh`` the ones that are new, ``added``
-    those with their category.
+    ``batch`` holds every row that fits, ``fresh`` where the new ones come from,
+    ``added`` the new ones with their category.
     """
 
     batch: DataFrame
@@ -67,26 +70,52 @@ def link_accounts(files: DataFrame, accounts: DataFrame) -> tuple[DataFrame, Dat
     return table, stored(ids, "file-accounts")
 
 
+def _file_accounts(held: DataFrame, columns: list[str], institution: str, given: DataFrame | None) -> DataFrame:
+    """The files' accounts; what ``given`` says about a file goes before what is found in it."""
+    found = file_accounts(cells_of(held, columns), institution)
+    if given is None:
+        return found
+    told = given.select("source_file", F.col("account_name").alias("_name"), F.col("account_number").alias("_number"))
+    joined = found.join(told, "source_file", "left").withColumn("account_number", F.coalesce("_number", "account_number"))
+    label = F.coalesce("_name", account_label(F.lit(institution), "account_number"))
+    return joined.withColumn("account_label", label).select(found.columns)
+
+
 def import_frames(
-    frames: Sequence[tuple[DataFrame, str]], ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame
+    frames: Sequence[tuple[DataFrame, str]], ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame,
+    given: DataFrame | None = None,
 ) -> Imported:
     """(statement rows, institution) pairs to new ledger rows.
 
-    Duplicates are dropped before categories are looked for, so a file that comes
-    again costs no matching. Only then are the remaining rows categorised, spread by
-    fingerprint.
+    Each file is parsed once: the normalised rows are written with all their cells, and
+    accounts, counts, duplicates and rejects are taken from that table. Duplicates are
+    dropped before categories are looked for, so a file that comes again costs no
+    matching. ``given`` has the account_name and account_number (or NULL) of files
+    (source_file) for which they are not to be found out. Rejects hold all cells of
+    their row, a malformed row's text in one cell.
     """
-    files = stored(union_all([file_accounts(df, institution) for df, institution in frames]), "files")
+    parsed = [(stored(parsed_rows(df, layout_of(name)), "parsed"), statement_columns(df), name) for df, name in frames]
+    files = stored(union_all([_file_accounts(held, columns, name, given) for held, columns, name in parsed]), "files")
     account_table, ids = link_accounts(files, accounts)
-    rows = union_all([normalise_statement(df, institution, files=ids) for df, institution in frames])
-    readable, unreadable = split_rejects(rows)
-    fits, broken = check_constraints(readable, ["account_id", "date", "description", "amount"], {})
+    every = union_all([held for held, _, _ in parsed])
+    malformed = every.filter(F.col(BAD).isNotNull())
+    dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
+    readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file")))
+    named_children = resolve_category(readable, children)
+    fits, broken = check_constraints(
+        named_children, ["account_id", "date", "description", "amount"],
+        {"account_id": account_table.select("id"), "child_category_id": children.select("id")},
+    )
     batch = fits.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", F.col("amount").cast(MONEY).alias("amount"),
         "category", "memo", "currency", "hash",
     )
-    rejected = unreadable.select("source_file", F.lit("unreadable date or amount").alias("reason")).unionByName(
-        broken.select("source_file", "reason")
+    rejected = union_all(
+        [
+            unreadable.select(*LINEAGE, F.lit("unreadable date or amount").alias("reason"), CELLS),
+            broken.select(*LINEAGE, "reason", CELLS),
+            malformed.select(*LINEAGE, F.lit("more or fewer cells than the header").alias("reason"), F.array(BAD).alias(CELLS)),
+        ]
     )
     fresh = new_rows(batch, ledger)
     named = resolve_category(categorise_batch(fresh, rules, children), children)
@@ -96,15 +125,16 @@ def import_frames(
         F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
         F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
     )
-    return Imported(batch, fresh, added, rejected, account_table)
+    added = stored(added, "added")
+    return Imported(batch, added.select(batch.columns[:3]), added, rejected, account_table)
 
 
 def import_statements(
     spark: SparkSession, sources: Mapping[str, str | Sequence[str]],
-    ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame,
+    ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame, given: DataFrame | None = None,
 ) -> Imported:
-    """Files by institution, whatever their column order."""
+    """Files by institution, whatever their column order; ``given`` as in ``import_frames``."""
     frames = [
         (df, institution) for institution, paths in sources.items() for df in read_statements(spark, paths).values()
     ]
-    return import_frames(frames, ledger, accounts, children, rules)
+    return import_frames(frames, ledger, accounts, children, rules, given)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +19,14 @@ MISSING_WORDS = [
 # Where a row came from: file, start of its split and order inside the split.
 LINEAGE = ["source_file", "source_block", "source_row"]
 
-_CSV = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "enforceSchema": True}
+# The text of a row that has more or fewer cells than the header, NULL for all others.
+BAD = "bad_record"
+
+# Without column pruning every row's cells are counted, whatever columns are asked for.
+CSV_OPTIONS = {
+    "header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": BAD, "columnPruning": False,
+}
 
 
 def clean_header(name: str) -> str:
@@ -39,28 +47,53 @@ def with_lineage(df: DataFrame) -> DataFrame:
     )
 
 
+def header_names(line: str) -> list[str]:
+    """Cleaned column names of a header line; a repeated name gets .1, .2 and so on, the first one keeps it."""
+    names: list[str] = []
+    for name in map(clean_header, next(csv.reader([line]), [])):
+        again = sum(n == name or n.startswith(f"{name}.") and n[len(name) + 1 :].isdigit() for n in names)
+        names.append(f"{name}.{again}" if again and name in names else name)
+    return names
+
+
 def statement_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in LINEAGE]
+    return [c for c in df.columns if c not in (*LINEAGE, BAD)]
 
 
 def statement_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_statement(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Statement files of one layout. Malformed UTF-8 bytes become U+FFFD.
+def scan_statement(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """All rows of statement files of one layout, with LINEAGE and BAD. Malformed UTF-8 bytes become U+FFFD.
 
     Cells stay STRING (no inference pass), the usual words for a missing cell become
-    NULL and each row keeps its LINEAGE. Large files are split across tasks. Files
-    whose columns differ in order go through ``read_statements``.
+    NULL. Large files are split across tasks, so a line break inside quotes ends a row;
+    both halves then lack cells and are BAD. Without ``columns`` one header line is read.
+    Files whose columns differ in order go through ``read_statements``.
     """
-    reader = spark.read.options(**_CSV)
-    if columns is not None:
-        reader = reader.schema(statement_schema(columns))
-    raw = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    cells = list(raw.columns)
-    tidy = with_missing_as_null(with_lineage(raw), cells)
-    return tidy.withColumnsRenamed({c: clean_header(c) for c in cells})
+    paths = list(paths) if not isinstance(paths, str) else paths
+    if columns is None:
+        first = spark.read.text(paths).first()
+        columns = header_names(first[0] if first else "")
+    raw = spark.read.options(**CSV_OPTIONS).schema(statement_schema([*columns, BAD])).csv(paths)
+    return with_missing_as_null(with_lineage(with_bad(raw, columns)), columns)
+
+
+def with_bad(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """BAD with nothing of the first cell appended: Spark refuses plans that read no column beside it."""
+    nothing = F.substring(F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), 1, 0) if columns else F.lit("")
+    return raw.withColumn(BAD, F.concat(BAD, nothing))
+
+
+def read_statement(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``scan_statement`` that have a cell for each column."""
+    return scan_statement(spark, paths, columns).filter(F.col(BAD).isNull()).drop(BAD)
+
+
+def bad_rows(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """LINEAGE and text of the rows that ``read_statement`` leaves out."""
+    return scan_statement(spark, paths, columns).filter(F.col(BAD).isNotNull()).select(*LINEAGE, BAD)
 
 
 def statement_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -75,14 +108,14 @@ def statement_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 
 
 def read_statements(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, DataFrame]:
-    """Files of mixed layouts: one DataFrame per distinct header line.
+    """Files of mixed layouts: all their rows, one DataFrame per distinct header line.
 
     Spark maps CSV columns by position, so files are grouped by header first. The
     caller normalises each layout and unions the results by name.
     """
     headers = statement_headers(spark, paths)
     groups = headers.groupBy("header").agg(F.collect_list("source_file").alias("files"))
-    return {row["header"]: read_statement(spark, row["files"]) for row in groups.toLocalIterator()}
+    return {row["header"]: scan_statement(spark, row["files"], header_names(row["header"])) for row in groups.toLocalIterator()}
 
 
 @dataclass(frozen=True)
@@ -114,14 +147,16 @@ def find_roles(columns: Sequence[str], spec: Mapping[str, Named | Holding]) -> d
     return {role: rule.find(columns) for role, rule in spec.items()}
 
 
-def resolve_columns(df: DataFrame, spec: Mapping[str, Named | Holding]) -> tuple[DataFrame, dict[str, str | None]]:
-    """One projection from file columns to roles; absent roles are NULL. Reads no data."""
+def resolve_columns(
+    df: DataFrame, spec: Mapping[str, Named | Holding], keep: Mapping[str, Column] | None = None
+) -> tuple[DataFrame, dict[str, str | None]]:
+    """One projection from file columns to roles, and the columns ``keep``; absent roles are NULL. Reads no data."""
     roles = find_roles(statement_columns(df), spec)
     lineage = [F.col(c) for c in LINEAGE if c in df.columns]
     picked = [
         (F.col(f"`{name}`") if name else F.lit(None).cast("string")).alias(role) for role, name in roles.items()
     ]
-    return df.select(*lineage, *picked), roles
+    return df.select(*lineage, *[c.alias(name) for name, c in (keep or {}).items()], *picked), roles
 
 
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:

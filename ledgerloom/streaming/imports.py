@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.imports import import_frames
 from ledgerloom.schemas import ACCOUNTS
-from ledgerloom.sources.statements import clean_header, statement_schema, with_lineage, with_missing_as_null
+from ledgerloom.sources.statements import CSV_OPTIONS, BAD, clean_header, statement_schema, with_bad, with_missing_as_null
 from ledgerloom.sources.tables import write_transactions
 
 
@@ -20,11 +20,11 @@ def stream_statements(spark: SparkSession, folder: str, columns: Sequence[str],
     A file whose header doesn't name these columns in this order stops the stream with an error.
     """
     raw = (
-        spark.readStream.schema(statement_schema(columns))
-        .options(header=True, enforceSchema=False, encoding="UTF-8", quote='"', escape='"', maxFilesPerTrigger=files_per_batch)
+        spark.readStream.schema(statement_schema([*columns, BAD]))
+        .options(**{**CSV_OPTIONS, "enforceSchema": False, "maxFilesPerTrigger": files_per_batch})
         .csv(folder)
     )
-    return with_missing_as_null(raw, columns).withColumnsRenamed({c: clean_header(c) for c in columns}).select(
+    return with_missing_as_null(with_bad(raw, columns), columns).withColumnsRenamed({c: clean_header(c) for c in columns}).select(
         "*",
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("source_block"),

@@ -2,16 +2,18 @@
 
 import datetime as dt
 import hashlib
+import re
 from decimal import Decimal
 
 import pytest
 
 from ledgerloom.operators import normalise
+from ledgerloom.operators.maintain import new_rows
 from ledgerloom.plans.imports import import_statements
 from ledgerloom.schemas import ACCOUNTS, CHILD_CATEGORIES, RULES
 from ledgerloom.sources.statements import read_statement, read_statements
 from ledgerloom.streaming.imports import import_stream
-from ledgerloom.sources.tables import load_ledger
+from ledgerloom.sources.tables import load_ledger, write_transactions
 
 
 def write(folder, name, text):
@@ -180,6 +182,83 @@ def test_import_twice_adds_nothing(spark, tmp_path):
     assert again.added.count() == 0
 
 
+BROKEN = """Date,Description,Amount,Type
+2025-01-01,"two
+lines",10,x
+2025-01-02,ok,5,y
+2025-01-03,short
+2025-01-04,long,1,x,more
+nodate,odd,3,x
+2025-01-05,wide,12345678901234567890,x
+,none,4,x
+"""
+
+
+def test_no_row_is_lost(spark, tmp_path):
+    accounts, children, rules = tables(spark)
+    path = write(tmp_path, "s.csv", BROKEN)
+    empty = spark.createDataFrame([], "id BIGINT, hash STRING")
+    done = import_statements(spark, {"Rogers Mastercard": path}, empty, accounts, children, rules)
+    assert [(r["description"], r["amount"]) for r in done.added.collect()] == [("ok", Decimal("-5.00"))]
+    rejected = {tuple(r["cells"]): r["reason"] for r in done.rejected.collect()}
+    assert {k for k, v in rejected.items() if v.startswith("more or fewer")} == {
+        ('2025-01-01,"two',), ('lines",10,x',), ("2025-01-03,short",), ("2025-01-04,long,1,x,more",)
+    }
+    assert {k[1] for k, v in rejected.items() if v.startswith("unreadable")} == {"odd", "wide"}
+    assert "FileScan csv" not in done.summary()._jdf.queryExecution().toString()
+
+
+def test_sums_too_wide_are_rejected(spark, tmp_path):
+    wide = "9999999999999999.00"
+    cash = f"Date,Description,Withdrawals,Deposits\n2025-01-01,a,-{wide},{wide}\n2025-01-02,b,1,2\n"
+    loan = f"Date,Description,Principal,Interest\n2025-01-01,a,{wide},{wide}\n2025-01-02,b,1,2\n"
+    for name, text in (("Wealthsimple Cash", cash), ("CIBC Mortgage", loan)):
+        rows = normalise.normalise_statement(read_statement(spark, write(tmp_path, "w.csv", text)), name)
+        fits, rejects = normalise.split_rejects(rows)
+        assert (rows_of(fits, "description"), rows_of(rejects, "description")) == ([("b",)], [("a",)])
+
+
+def test_repeated_header_names(spark, tmp_path):
+    text = "Date,Description,Date,Amount,Amount,Type\n2025-01-01,a,x,5,7,y\n"
+    df = read_statement(spark, write(tmp_path, "w.csv", text))
+    assert df.columns[:6] == ["Date", "Description", "Date.1", "Amount", "Amount.1", "Type"]
+    rows = normalise.normalise_statement(df, "Rogers Mastercard")
+    assert rows_of(rows, "description", "amount") == [("a", Decimal("-5.00"))]
+
+
+def test_given_accounts(spark, tmp_path):
+    accounts, children, rules = tables(spark)
+    paths = [write(tmp_path, name, STATEMENT) for name in ("a.csv", "b.csv")]
+    empty = spark.createDataFrame([], "id BIGINT, hash STRING")
+    given = spark.createDataFrame([(f"file:{paths[1]}", "My card", "****1111")], "source_file string, account_name string, account_number string")
+    done = import_statements(spark, {"Rogers Mastercard": paths}, empty, accounts, children, rules, given)
+    assert {(r["name"], r["account_number"]) for r in done.accounts.collect()} == {("Old", "****4321"), ("My card", "****1111")}
+    assert {r["account_id"] for r in done.added.collect()} == {7, 8}
+
+
+def test_stream_refuses_swapped_columns(spark, tmp_path):
+    accounts, children, rules = tables(spark)
+    folder, ledger, stored, state = (str(tmp_path / n) for n in ("in", "ledger", "accounts", "state"))
+    (tmp_path / "in").mkdir()
+    accounts.write.parquet(stored)
+    spark.createDataFrame([], "id BIGINT, date DATE, hash STRING, month STRING").write.partitionBy("month").parquet(ledger)
+    write(tmp_path / "in", "a.csv", "Description,Date,Amount,Type\na,2025-01-01,5,x\n")
+    columns = ["Date", "Description", "Amount", "Type"]
+    with pytest.raises(Exception, match="(?i)header"):
+        import_stream(spark, folder, columns, "Rogers Mastercard", ledger, stored, children, rules, state).awaitTermination()
+
+
+def test_dedupe_reads_the_batch_months_only(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = [(1, dt.date(2025, 1, 5), "a"), (2, dt.date(2025, 2, 5), "b"), (3, dt.date(2025, 3, 5), "c")]
+    ledger = spark.createDataFrame(rows, "id BIGINT, date DATE, hash STRING")
+    write_transactions(ledger, path)
+    batch = spark.createDataFrame([(dt.date(2025, 2, 5), "b"), (dt.date(2025, 2, 6), "x")], "date DATE, hash STRING")
+    fresh = new_rows(batch, spark.read.parquet(path), order=["date"])
+    assert [r["hash"] for r in fresh.collect()] == ["x"]
+    assert re.search(r"PartitionFilters: [^]]*2025-02", fresh._jdf.queryExecution().toString())
+
+
 def test_stream_stores_accounts_and_rows_once(spark, tmp_path):
     accounts, children, rules = tables(spark)
     folder, ledger, stored, state = (str(tmp_path / n) for n in ("in", "ledger", "accounts", "state"))
