@@ -88,6 +88,29 @@ def _(f):
     return budgets.budget_performance(*frames(f), MONTH)
 
 
+# Two households share the categories; the second one's budgets are doubled and its rows are the odd ones.
+def household(day):
+    rows = performance(day)
+    for h in (0, 1):
+        own = rows.replace("f_transactions", f"(SELECT * FROM f_transactions WHERE id % 2 = {h})")
+        own = own.replace("f_budgets", f"(SELECT id, child_category_id, month_year, CAST(amount * {h + 1} AS DECIMAL(18,2)) AS amount, carry_forward_type FROM f_budgets)")
+        yield f"SELECT {h} AS household, * FROM ({own})"
+
+
+@check(
+    "budget_performance_by_household",
+    f"""SELECT household, category, CAST(coalesce(budget, 0) AS DOUBLE) AS budgeted, CAST(coalesce(spent, 0) AS DOUBLE) AS spent,
+    CAST(coalesce(budget, 0) - coalesce(spent, 0) AS DOUBLE) AS remaining
+    FROM ({' UNION ALL '.join(household('1998-07-01'))}) WHERE coalesce(budget, 0) > 0 OR coalesce(spent, 0) > 0""",
+)
+def _(f):
+    txns = f.txns.withColumn("household", (F.col("id") % 2).cast("int"))
+    doubled = f.budgets.withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    both = f.budgets.withColumn("household", F.lit(0)).unionByName(doubled.withColumn("household", F.lit(1)))
+    rows = budgets.budget_performance(both, txns, f.children, f.parents, MONTH, by=["household"])
+    return rows.drop("carry_forward_type", "pct", "band")
+
+
 @check(
     "budget_totals",
     f"""WITH b AS (SELECT coalesce(sum(amount), 0) AS b FROM ({asof('1998-07-01')})),

@@ -93,6 +93,16 @@ def _(f):
     return reports.net_worth(f.accounts)
 
 
+@check(
+    "net_worth_by_household",
+    f"""SELECT household, CAST(sum(CASE WHEN kind = 'asset' THEN value ELSE 0 END) AS DOUBLE) AS assets,
+    CAST(sum(CASE WHEN kind = 'liability' THEN -value ELSE 0 END) AS DOUBLE) AS liabilities,
+    CAST(sum(value) AS DOUBLE) AS net_worth FROM ({BRIDGE.replace('SELECT name,', 'SELECT institution AS household, name,')}) GROUP BY 1""",
+)
+def _(f):
+    return reports.net_worth(f.accounts.withColumn("household", F.col("institution")), by=["household"])
+
+
 @check(
     "list_summary",
     """SELECT count(*) AS row_count, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS income,
@@ -141,7 +151,7 @@ TRANSFERS = """SELECT t.*, d.name AS to_account, d.type AS to_type, a.name AS fr
     CAST(sum(abs(amount)) AS DOUBLE) AS total FROM ({TRANSFERS}) GROUP BY 1""",
 )
 def _(f):
-    return reports.contributions_by_category(views.transfers(f.txns, f.accounts))
+    return reports.contributions_by_category(f.txns, f.accounts)
 
 
 @check(

@@ -231,14 +231,15 @@ def unused_tags(txns: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return sets.select("tags", F.array_except(known, parse_tags("tags")).alias("unused"))
 
 
-def net_worth_parts(accounts: DataFrame) -> DataFrame:
-    """Accounts that count: assets with their balance, liabilities negated."""
+def net_worth_parts(accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accounts that count: assets with their balance, liabilities negated; the columns ``by`` stay."""
     zero = F.lit(0).cast(MONEY)
     asset = F.col("type").isin("checking", "investment") & (F.coalesce("balance", zero) > 0)
     debt = F.col("type").isin("credit", "mortgage")
     value = F.when(asset, F.col("balance")).when(debt, -F.abs(F.coalesce("balance", zero)))
     kind = F.when(asset, F.lit("asset")).when(debt, F.lit("liability"))
-    return accounts.select("id", "name", kind.alias("kind"), value.cast(MONEY).alias("value")).filter(kind.isNotNull())
+    counted = accounts.filter(kind.isNotNull())
+    return counted.select(*by, "id", "name", kind.alias("kind"), value.cast(MONEY).alias("value"))
 
 
 def net_worth_bridge(accounts: DataFrame) -> DataFrame:

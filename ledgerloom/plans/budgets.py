@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def _defaults(budgets: DataFrame) -> DataFrame:
     )
 
 
-def budgets_asof(budgets: DataFrame, children: DataFrame, month: Month | Column) -> DataFrame:
-    """Per category the budget row with the latest month at or before the asked one.
+def budgets_asof(budgets: DataFrame, children: DataFrame, month: Month | Column, by: Sequence[str] = ()) -> DataFrame:
+    """Per category, and value of ``by``, the budget row with the latest month at or before the asked one.
 
     A filter and one map-side aggregate; no self join.
     """
@@ -35,9 +36,9 @@ def budgets_asof(budgets: DataFrame, children: DataFrame, month: Month | Column)
     latest = (
         _defaults(budgets)
         .filter(F.col("month_year") <= asked)
-        .groupBy("child_category_id")
+        .groupBy(*by, "child_category_id")
         .agg(F.max_by(row, "month_year").alias("b"))
-        .select("child_category_id", "b.*")
+        .select(*by, "child_category_id", "b.*")
     )
     names = children.select(F.col("id").alias("child_category_id"), F.col("name").alias("category"))
     return latest.join(names, "child_category_id")
@@ -69,9 +70,11 @@ def budgets_asof_months(budgets: DataFrame, children: DataFrame, months: DataFra
     )
 
 
-def _month_spending(txns: DataFrame, children: DataFrame, parents: DataFrame, first: Column) -> DataFrame:
-    sums = category_totals(txns, children, parents, first, F.last_day(first), False, ())
-    return sums.groupBy("category").agg(F.sum("total").cast("decimal(38,2)").alias("spent"))
+def _month_spending(
+    txns: DataFrame, children: DataFrame, parents: DataFrame, first: Column, by: Sequence[str] = ()
+) -> DataFrame:
+    sums = category_totals(txns, children, parents, first, F.last_day(first), False, by)
+    return sums.groupBy(*by, "category").agg(F.sum("total").cast("decimal(38,2)").alias("spent"))
 
 
 def budget_effective(
@@ -114,25 +117,29 @@ def budget_effective(
 
 
 def _performance(
-    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month
+    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Every expense category with its budget and spending of the month, NULL where there is none."""
+    """Expense categories with a budget or spending in the month, NULL for what there isn't; per value of ``by``."""
     first = month_start(month)
-    budget = budgets_asof(budgets, children, first).select("child_category_id", F.col("amount").alias("budget"), "carry_forward_type")
-    spent = _month_spending(txns, children, parents, first)
-    expense = children.filter(F.coalesce("is_income", F.lit(0)) == 0)
-    return (
-        expense.select(F.col("id").alias("child_category_id"), F.col("name").alias("category"))
-        .join(budget, "child_category_id", "left")
-        .join(spent, "category", "left")
+    budget = budgets_asof(budgets, children, first, by).select(
+        *by, "child_category_id", F.col("amount").alias("budget"), "carry_forward_type"
+    )
+    spent = _month_spending(txns, children, parents, first, by)
+    expense = children.filter(F.coalesce("is_income", F.lit(0)) == 0).select(
+        F.col("id").alias("child_category_id"), F.col("name").alias("category")
     )
+    keys = [*by, "child_category_id", "category"]
+    return budget.join(expense, "child_category_id").join(spent.join(expense, "category"), keys, "full")
 
 
 def budget_performance(
-    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month
+    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Expense categories with a budget or spending: percent used, rest and band."""
-    rows = _performance(budgets, txns, children, parents, month)
+    """Expense categories with a budget or spending: percent used, rest and band.
+
+    ``by`` names columns of both budgets and transactions, a household for instance.
+    """
+    rows = _performance(budgets, txns, children, parents, month, by)
     zero = F.lit(0).cast("decimal(38,2)")
     rows = rows.withColumns({"budgeted": F.coalesce("budget", zero), "spent": F.coalesce("spent", zero)})
     pct = F.when(F.col("budgeted") == 0, F.lit(100.0)).otherwise(ratio_pct(F.col("spent"), F.col("budgeted")))
@@ -141,6 +148,7 @@ def budget_performance(
         rows.filter((F.col("budgeted") > 0) | (F.col("spent") > 0))
         .withColumn("pct", pct)
         .select(
+            *by,
             "category",
             F.coalesce("carry_forward_type", F.lit("none")).alias("carry_forward_type"),
             money_out("budgeted").alias("budgeted"),
@@ -149,7 +157,7 @@ def budget_performance(
             "pct",
             band.alias("band"),
         )
-        .orderBy(F.col("pct").desc(), "category")
+        .orderBy(*by, F.col("pct").desc(), "category")
     )
 
 
@@ -170,11 +178,11 @@ def budget_totals(
 
 
 def unbudgeted_spend(
-    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month
+    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month, by: Sequence[str] = ()
 ) -> DataFrame:
-    rows = _performance(budgets, txns, children, parents, month)
+    rows = _performance(budgets, txns, children, parents, month, by)
     return rows.filter(F.col("budget").isNull() & (F.col("spent") > 0)).select(
-        "category", money_out("spent").alias("spent")
+        *by, "category", money_out("spent").alias("spent")
     )
 
 

@@ -22,9 +22,11 @@ from ledgerloom.operators.filters import (
     PAGE_SIZE,
     between_dates,
     exclude_transfers,
+    only_transfers,
     top_n,
 )
 from ledgerloom.operators.views import category_names, net_worth_parts
+from ledgerloom.session import stored
 
 Day = Column | dt.date
 
@@ -212,11 +214,12 @@ def category_month_pivot(
 ) -> DataFrame:
     """Rows: a parent's subtotal, then its categories; one column per month present, plus Total.
 
-    Only the list of month names reaches the driver.
+    The facts are read once: the sums per month and category are written, and give both
+    the list of month names, which alone reaches the driver, and the cells. A month is
+    present if any transaction of a category of the tree falls into it.
     """
-    period = between_dates(exclude_transfers(txns), start, end).filter(F.col("child_category_id").isNotNull())
-    months = [r["month"] for r in period.select(month_key("date").alias("month")).distinct().orderBy("month").collect()]
-    long = category_month_long(txns, children, parents, start, end, by)
+    long = stored(category_month_long(txns, children, parents, start, end, by), "month-totals")
+    months = [r["month"] for r in long.select("month").distinct().orderBy("month").collect()]
     wide = long.groupBy(*by, "parent_category", "category", "is_parent").pivot("month", months).agg(F.sum("total"))
     none = F.lit(0).cast("decimal(38,2)")
     filled = [F.coalesce(F.col(f"`{m}`"), none) for m in months]
@@ -360,15 +363,16 @@ def accounts_by_type(accounts: DataFrame) -> DataFrame:
     )
 
 
-def net_worth(accounts: DataFrame) -> DataFrame:
-    """Assets, liabilities and their difference; overdrawn asset accounts do not count."""
-    parts = net_worth_parts(accounts)
+def net_worth(accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Assets, liabilities and their difference, per value of ``by``; overdrawn asset accounts do not count."""
+    parts = net_worth_parts(accounts, by)
     zero = F.lit(0).cast(MONEY)
-    sums = parts.agg(
+    sums = parts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "asset", F.col("value"))), zero).alias("assets"),
         F.coalesce(F.sum(F.when(F.col("kind") == "liability", -F.col("value"))), zero).alias("liabilities"),
     )
-    return sums.select(_out("assets"), _out("liabilities"), money_out(F.col("assets") - F.col("liabilities")).alias("net_worth"))
+    net = money_out(F.col("assets") - F.col("liabilities")).alias("net_worth")
+    return sums.select(*by, _out("assets"), _out("liabilities"), net)
 
 
 def category_sizes(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -386,10 +390,19 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def contributions_by_category(transfer_rows: DataFrame) -> DataFrame:
-    """Absolute sum of transfers per investment category, else destination account, else "General"."""
-    label = F.coalesce(F.nullif("inv_category", F.lit("")), F.nullif("to_account", F.lit("")), F.lit("General"))
-    return transfer_rows.groupBy(label.alias("category")).agg(money_out(F.sum(F.abs("amount"))).alias("total"))
+def contributions_by_category(
+    txns: DataFrame, accounts: DataFrame, start: Day | None = None, end: Day | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Absolute sum of transfers per investment category, else destination account, else "General".
+
+    Sums per category text and destination id come first; account names join that small result.
+    """
+    keys = [*by, "transfer_investment_cat", "transfer_to_account_id"]
+    sums = between_dates(only_transfers(txns), start, end).groupBy(*keys).agg(F.sum(F.abs("amount")).alias("total"))
+    names = accounts.select(F.col("id").alias("transfer_to_account_id"), F.col("name").alias("to_account"))
+    label = F.coalesce(F.nullif("transfer_investment_cat", F.lit("")), F.nullif("to_account", F.lit("")), F.lit("General"))
+    named = sums.join(names, "transfer_to_account_id", "left")
+    return named.groupBy(*by, label.alias("category")).agg(money_out(F.sum("total")).alias("total"))
 
 
 # --- splits and imports --------------------------------------------------------

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default category tree, parent -> children. Colours and icons are left to the caller.
+# Colour and icon of the default parents. Children have none of their own and get the view's defaults.
+PARENT_LOOKS = {
+    "Income": ("#22c55e", "💵"), "Housing": ("#3b82f6", "🏠"), "Utilities": ("#0ea5e9", "💡"),
+    "Food & Dining": ("#f59e0b", "🍽️"), "Transportation": ("#8b5cf6", "🚗"), "Health & Medical": ("#ef4444", "🏥"),
+    "Personal Care": ("#a78bfa", "🧴"), "Shopping": ("#ec4899", "🛍️"), "Entertainment": ("#06b6d4", "🎬"),
+    "Travel": ("#14b8a6", "✈️"), "Education": ("#fbbf24", "📚"), "Children & Family": ("#fb923c", "👶"),
+    "Pets": ("#84cc16", "🐾"), "Gifts & Donations": ("#f87171", "🎁"), "Subscriptions": ("#7c3aed", "📱"),
+    "Cell Phone": ("#0284c7", "📱"), "Financial": ("#64748b", "💳"), "Investments": ("#10b981", "📈"),
+    "Taxes": ("#dc2626", "🏛️"), "Business Expenses": ("#78716c", "🏢"), "Uncategorized": ("#6b7280", "❓"),
+}
+
+# Default category tree, parent -> children.
 CATEGORY_TREE = {
     "Income": [
         "Salary & Wages", "Employment Income", "Bonus & Commission", "Freelance", "Dividends",
@@ -93,8 +104,8 @@ DEFAULT_BUDGET_DATE = "2024-01-01"
 
 
 def default_parents(spark: SparkSession) -> DataFrame:
-    rows = [(name, int(name in INCOME_PARENTS)) for name in CATEGORY_TREE]
-    return spark.createDataFrame(rows, "name STRING, is_income INT")
+    rows = [(name, int(name in INCOME_PARENTS), *PARENT_LOOKS[name]) for name in CATEGORY_TREE]
+    return spark.createDataFrame(rows, "name STRING, is_income INT, color STRING, icon STRING")
 
 
 def default_children(spark: SparkSession) -> DataFrame:
