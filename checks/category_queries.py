@@ -6,6 +6,7 @@ from checks.registry import check
 from ledgerloom.functions.money import money_out
 from ledgerloom.operators import categorise, views
 from ledgerloom.operators.merchants import BUILTIN_PATTERNS
+from ledgerloom.plans import imports
 
 
 def builtin_sql() -> str:
@@ -44,6 +45,25 @@ def _(f):
     return categorise.match_user_rules(f.merchants, f.rules, f.children).select("id", "user_category", "rule_id")
 
 
+@check(
+    "import_categories",
+    f"""SELECT b.id, c.id AS child_category_id, CAST({CONFIDENCE} AS DOUBLE) AS ai_confidence, u.rule_id
+    FROM ({BUILTIN}) b LEFT JOIN ({USER}) u USING (id) LEFT JOIN f_child_categories c ON c.name = {PICK}""",
+)
+def _(f):
+    # one statement row per merchant text, its amount being the row's number
+    rows = f.merchants.select(
+        F.lit("m.csv").alias("source_file"), F.lit(0).cast("bigint").alias("source_block"), F.col("id").cast("bigint").alias("source_row"),
+        F.lit("2025-01-01").alias("Date"), F.col("description").alias("Description"), F.col("id").cast("string").alias("Amount"),
+        F.lit("Purchase").alias("Type"),
+    )
+    empty = f.txns.select("id", F.lit("").alias("hash")).filter("hash = 'x'")
+    done = imports.import_frames([(rows, "Rogers Mastercard")], empty, f.accounts, f.children, f.rules)
+    return done.added.select(
+        (-F.col("amount")).cast("bigint").alias("id"), "child_category_id", money_out("ai_confidence").alias("ai_confidence"), "rule_id"
+    )
+
+
 @check("user_category_many_lists", f"SELECT m.id, u.user_category, u.rule_id FROM f_merchants m LEFT JOIN ({USER}) u USING (id)")
 def _(f):
     return categorise.match_user_rules(f.merchants, f.rules, f.children, per_list=3).select("id", "user_category", "rule_id")

@@ -127,11 +127,12 @@ def _(f):
     "ledger_view",
     f"""SELECT id, account_id, date, description, CAST(amount AS DOUBLE) AS amount, is_split, is_transfer,
        transfer_to_account_id, transfer_investment_cat, currency, {TAGS_SQL} AS tags, account_name, account_number,
-       parent_cat_name, child_cat_name, category FROM f_ledger""",
+       parent_cat_name, child_cat_name, category, CAST(NULL AS VARCHAR) AS original_desc, CAST(NULL AS VARCHAR) AS memo,
+       CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS DOUBLE) AS ai_confidence FROM f_ledger""",
 )
 def _(f):
-    return f.view.drop("original_desc", "memo", "notes", "ai_confidence").withColumns(
-        {"amount": money_out("amount"), "tags": text_of(F.col("tags"))}
+    return f.view.withColumns(
+        {"ai_confidence": F.col("ai_confidence").cast("double"), "original_desc": F.col("original_desc").cast("string"), "memo": F.col("memo").cast("string"), "notes": F.col("notes").cast("string"), "amount": money_out("amount"), "tags": text_of(F.col("tags"))}
     )
 
 
