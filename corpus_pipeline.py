@@ -49,11 +49,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages, each written and read again; what a stage has read is deleted when the next is written."""
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-    return docs
+    scratch, before = Scratch(spark, "pipeline"), None
+    for _, stage in STAGES[:-1]:
+        after = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)

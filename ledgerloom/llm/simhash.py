@@ -240,11 +240,11 @@ def keep_first(
         found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     )
     once = kept.filter("rows = 1").select(F.col("doc_id").alias("kept_id"))
-    on = docs[id_col] == F.col("kept_id")
-    out = docs.join(once, on, "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
+    out = docs.join(once, docs[id_col] == once["kept_id"], "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
     more = kept.filter("rows > 1").select(F.col("doc_id").alias("kept_id"))
     if not more.isEmpty():
-        out = out.unionAll(_one_of_each(docs.join(more, on, "left_semi"), id_col, text_col))
+        repeated = docs.join(more, docs[id_col] == more["kept_id"], "left_semi")
+        out = out.unionAll(_one_of_each(repeated, id_col, text_col))
     return out
 
 
