@@ -66,7 +66,7 @@ def _(f):
 
 @check("user_category_many_lists", f"SELECT m.id, u.user_category, u.rule_id FROM f_merchants m LEFT JOIN ({USER}) u USING (id)")
 def _(f):
-    return categorise.match_user_rules(f.merchants, f.rules, f.children, per_list=3).select("id", "user_category", "rule_id")
+    return categorise.match_user_rules(f.merchants, f.rules, f.children, key_chars=2).select("id", "user_category", "rule_id")
 
 
 # Rules taken from the part names: one per distinct name, of four kinds and one unknown kind.

@@ -1,11 +1,11 @@
 """Categories for transactions: built-in patterns, user rules and learning from corrections.
 
-Matching is map-only: patterns and rules are ordered array values that each row
-searches for its first hit, so no row is paired with a rule by a join and nothing
-is shuffled. The arrays are searched by a higher-order function because a CASE
-chain of this length becomes one generated method too large for the JIT compiler
-(measured at three to six times the cost). A built-in regular expression runs only
-on rows that hold its literal part.
+Each distinct text is matched once. User rules stay a table and meet texts by equi-join
+on the first characters of their pattern; only regular expressions become part of the
+plan. Built-in patterns are one ordered array value that a text searches for its first
+hit, by a higher-order function, because a CASE chain of this length becomes one
+generated method too large for the JIT compiler (measured at three to six times the
+cost). A built-in regular expression runs only on texts that hold its literal part.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import UNCATEGORIZED
 from ledgerloom.operators.merchants import BUILTIN_PATTERNS
-from ledgerloom.operators.numbering import assign_ids, row_index
+from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.operators.views import category_ids, rules_view
 
 # Confidence of each way to get a category.
@@ -31,8 +31,9 @@ STOP_WORDS = [
 ]
 LEARNED_PRIORITY = 10
 
-# User rules in one array value. More rules make more arrays, searched in order.
-RULES_PER_LIST = 1000
+# Characters of a rule's join key. Longer keys meet fewer texts that don't match, and make more keys per text.
+KEY_CHARS = 5
+_HIT = "struct<rank:struct<p:bigint,u:bigint,i:bigint>,category:string>"
 
 _LOW = "_low_description"
 _PLAIN = re.compile(r"^[\w &/'-]+$")
@@ -50,44 +51,101 @@ def _literal_part(regex: str) -> str:
     return max(parts, key=len).replace("\0", ".").replace("\1", "+")
 
 
-def _first_hit(low: Column, rows: list[dict]) -> Column:
-    """The first of these rules that matches, as a struct with its id and category; NULL without one.
+def _usable(spark: SparkSession, pattern: str) -> str | None:
+    """What is wrong with a regular expression, None if nothing is."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # Java says what it doesn't understand
+        return str(e).strip().splitlines()[-1]
+    return None
 
-    Words are searched in one constant array. Regular expressions stay literals of
-    their own, since only a literal one is compiled once per task. Of the two results
-    the one with the lower place ``at`` wins. An unknown match type never matches.
-    """
-    fields = "at:int,id:bigint,category:string,match_type:string,pattern:string"
-    words = [
-        {k: r[k] for k in ("at", "id", "category", "match_type", "pattern")}
-        for r in rows
-        if r["match_type"] in ("contains", "startswith", "exact")
-    ]
-
-    def matches(r: Column) -> Column:
-        kind, pattern = r["match_type"], r["pattern"]
-        return (
-            F.when(kind == "contains", low.contains(pattern))
-            .when(kind == "startswith", low.startswith(pattern))
-            .otherwise(low == pattern)
-        )
-
-    # JSON keeps the array one expression however long it is.
-    listed = F.from_json(F.lit(json.dumps(words)), f"array<struct<{fields}>>")
-    by_word = F.get(F.filter(listed, matches), F.lit(0))
+
+def _regex_rules(rules: DataFrame) -> list[Row]:
+    """The rules that are regular expressions, in matching order. People write few of them: these alone come to the driver."""
+    order = [F.col("priority").desc(), F.col("use_count").desc(), "id"]
+    found = rules.filter((F.col("match_type") == "regex") & F.col("pattern").isNotNull())
+    return found.orderBy(*order).select("id", "pattern", "category", "priority", "use_count").collect()
+
+
+def bad_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
+    """(id, pattern, problem) of regular expressions that can't be compiled; matching passes over them."""
+    spark = rules.sparkSession
+    found = [(r["id"], r["pattern"], _usable(spark, r["pattern"])) for r in _regex_rules(_lower_rules(rules, children))]
+    return spark.createDataFrame([r for r in found if r[2]], "id BIGINT, pattern STRING, problem STRING")
+
+
+def _lower_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
+    return rules_view(rules, children).withColumn("pattern", F.lower("pattern"))
+
+
+def _rank(priority: Column, uses: Column, rule_id: Column) -> Column:
+    """Smaller is better: priority, then use count, then the older rule. No priority comes last."""
+    worst = F.lit(-(2**31)).cast("bigint")
+    return F.struct(
+        (-F.coalesce(priority.cast("bigint"), worst)).alias("p"), (-uses.cast("bigint")).alias("u"), rule_id.cast("bigint").alias("i")
+    )
+
+
+def _by_regex(text: Column, rows: list[Row]) -> Column:
+    """The first regular expression that matches. Each is a literal of its own, so it is compiled once a task."""
+    none = F.lit(None).cast(_HIT)
     chain = None
     for r in rows:
-        if r["match_type"] != "regex":
-            continue
-        found = low.rlike(r["pattern"])
-        value = F.struct(
-            F.lit(r["at"]).alias("at"), F.lit(r["id"]).cast("bigint").alias("id"), F.lit(r["category"]).alias("category"),
-            F.lit("regex").alias("match_type"), F.lit(r["pattern"]).alias("pattern"),
-        )
-        chain = F.when(found, value) if chain is None else chain.when(found, value)
-    if chain is None:
-        return by_word
-    return F.least(by_word, chain.cast(f"struct<{fields}>"))
+        rank = _rank(F.lit(r["priority"]), F.lit(r["use_count"]), F.lit(r["id"]))
+        hit = F.struct(rank.alias("rank"), F.lit(r["category"]).alias("category")).cast(_HIT)
+        found = text.rlike(r["pattern"])
+        chain = F.when(found, hit) if chain is None else chain.when(found, hit)
+    return none if chain is None else chain.otherwise(none)
+
+
+def _part_at(text: Column, size: int):
+    return lambda at: F.concat(F.lit("*"), F.substring(text, at, F.lit(size)))
+
+
+def _by_words(texts: DataFrame, rules: DataFrame, key_chars: int) -> DataFrame:
+    """(_text, hit): the best contains, startswith or exact rule of each text that has one.
+
+    Rules meet texts by equi-join on a key: the whole text, its start, or each part of it of
+    the length of the rule's key, which is the pattern's first ``key_chars`` characters.
+    Any number of rules is searched without a pass over all of them. An unknown match
+    type never matches.
+    """
+    size = F.least(F.length("pattern"), F.lit(key_chars))
+    part = F.substring(F.col("pattern"), F.lit(1), size)
+    keyed = rules.filter(F.col("match_type").isin("contains", "startswith", "exact") & F.col("pattern").isNotNull()).select(
+        "pattern", "match_type", size.alias("size"),
+        F.when(F.col("match_type") == "exact", F.concat(F.lit("="), F.col("pattern"))).otherwise(F.concat(F.lit("*"), part)).alias("rule_key"),
+        F.struct(_rank(F.col("priority"), F.col("use_count"), F.col("id")).alias("rank"), "category").alias("hit"),
+    )
+    # At most key_chars + 1 lengths.
+    sizes = [r[0] for r in keyed.filter("match_type <> 'exact'").select("size").distinct().collect()]
+    text = F.col("_text")
+    keys = [F.array(F.concat(F.lit("="), text))]
+    for n in sizes:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        parts = F.transform(places, _part_at(text, n))
+        keys.append(parts if n else F.array(F.lit("*")))
+    listed = texts.select("_text", F.explode(F.array_distinct(F.concat(*keys))).alias("text_key"))
+    kind, pattern = F.col("match_type"), F.col("pattern")
+    holds = (
+        F.when(kind == "contains", text.contains(pattern))
+        .when(kind == "startswith", text.startswith(pattern))
+        .otherwise(text == pattern)
+    )
+    met = listed.join(keyed, F.col("text_key") == F.col("rule_key")).filter(holds)
+    return met.groupBy("_text").agg(F.min("hit").alias("hit"))
+
+
+def _user_hits(texts: DataFrame, rules: DataFrame, children: DataFrame, key_chars: int) -> DataFrame:
+    """(_text, user_category, rule_id) of all texts."""
+    spark, lower = rules.sparkSession, _lower_rules(rules, children)
+    regex = [r for r in _regex_rules(lower) if not _usable(spark, r["pattern"])]
+    words = _by_words(texts, lower, key_chars).withColumnRenamed("_text", "_word_text")
+    joined = texts.join(words, F.col("_text") == F.col("_word_text"), "left")
+    best = F.least(F.col("hit").cast(_HIT), _by_regex(F.col("_text"), regex))
+    return joined.withColumn("_best", best).select(
+        "_text", F.col("_best.category").alias("user_category"), F.col("_best.rank.i").alias("rule_id")
+    )
 
 
 def _builtin_list() -> Column:
@@ -110,43 +168,25 @@ def builtin_category(low: Column) -> Column:
     return F.get(hits, F.lit(0))["category"]
 
 
-def _rule_lists(rules: DataFrame, children: DataFrame, size: int) -> list[list[dict]]:
-    """The rules in matching order, ``size`` at a time.
-
-    Rules are a settings table that becomes part of the plan; no task gathers more
-    than ``size`` of them.
-    """
-    order = [F.col("priority").desc(), F.col("use_count").desc(), F.col("id")]
-    view = rules_view(rules, children).withColumn("pattern", F.lower("pattern"))
-    total = view.count()
-    placed = view.withColumn("_at", F.lit(0)) if total <= size else row_index(view, order, "_at")
-    lists = []
-    for start in range(0, max(total, 1), size):
-        chunk = placed.filter(F.col("_at").between(start, start + size - 1)).orderBy(*order)
-        rows = chunk.select("id", "pattern", "match_type", "category").collect()
-        lists.append([{**r.asDict(), "at": i} for i, r in enumerate(rows)])
-    return lists
-
-
 def _with_low(df: DataFrame, description: str) -> DataFrame:
     return df.withColumn(_LOW, F.lower(F.coalesce(F.col(description), F.lit(""))))
 
 
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.filter(F.col(_LOW).isNotNull()).select(F.col(_LOW).alias("_text")).distinct()
+
+
 def match_user_rules(
-    df: DataFrame, rules: DataFrame, children: DataFrame, description: str = "description", per_list: int = RULES_PER_LIST
+    df: DataFrame, rules: DataFrame, children: DataFrame, description: str = "description", key_chars: int = KEY_CHARS
 ) -> DataFrame:
     """Adds user_category and rule_id of the best matching rule.
 
-    Order: priority, then use count, then id. Any number of rules is searched.
+    Order: priority, then use count, then id. Any number of rules is searched; each
+    distinct description once.
     """
-    lists = _rule_lists(rules, children, per_list)
-    first = F.coalesce(*[_first_hit(F.col(_LOW), rows) for rows in lists])
-    return (
-        _with_low(df, description)
-        .withColumn("_rule", first)
-        .withColumns({"user_category": F.col("_rule.category"), "rule_id": F.col("_rule.id")})
-        .drop("_rule", _LOW)
-    )
+    keyed = _with_low(df, description)
+    hits = _user_hits(_texts(keyed), rules, children, key_chars)
+    return keyed.join(hits, F.col(_LOW) == F.col("_text"), "left").drop(_LOW, "_text")
 
 
 def match_builtin(df: DataFrame, description: str = "description") -> DataFrame:
@@ -161,14 +201,8 @@ def _matched(df: DataFrame, low: Column, rules: DataFrame, children: DataFrame)
     and the result is joined back. Texts repeat far more often than they differ.
     """
     keyed = df.withColumn(_LOW, low)
-    texts = keyed.filter(F.col(_LOW).isNotNull()).select(F.col(_LOW).alias("_text")).distinct()
-    first = F.coalesce(*[_first_hit(F.col("_text"), rows) for rows in _rule_lists(rules, children, RULES_PER_LIST)])
-    found = texts.withColumn("_rule", first).select(
-        "_text",
-        F.col("_rule.category").alias("user_category"),
-        F.col("_rule.id").alias("rule_id"),
-        F.when(F.col("_rule").isNull(), builtin_category(F.col("_text"))).alias("builtin_category"),
-    )
+    hits = _user_hits(_texts(keyed), rules, children, KEY_CHARS)
+    found = hits.withColumn("builtin_category", F.when(F.col("rule_id").isNull(), builtin_category(F.col("_text"))))
     return keyed.join(found, F.col(_LOW) == F.col("_text"), "left").drop(_LOW, "_text")
 
 

@@ -208,3 +208,30 @@ def test_period_filter_prunes_partitions(spark, f, tmp_path):
     tables.write_transactions(f.txns, path)
     plan = tables.load_ledger(spark, path, dt.date(1998, 1, 1), dt.date(1998, 3, 31))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*month", plan) and "PushedFilters: [IsNotNull(date)" in plan
+
+
+def test_bad_patterns_are_reported_and_passed_over(spark):
+    from ledgerloom.operators.categorise import bad_rules, match_user_rules
+    from ledgerloom.schemas import CHILD_CATEGORIES, RULES
+
+    children = spark.createDataFrame([(1, 1, "A", None, None, 0), (2, 1, "B", None, None, 0)], CHILD_CATEGORIES)
+    rules = spark.createDataFrame(
+        [(1, "(broken", 1, "regex", 9, 0), (2, "sh[ao]p", 2, "regex", 5, 0), (3, "corner", 1, "contains", 5, 3), (4, "", 2, "contains", 1, 0)], RULES
+    )
+    texts = spark.createDataFrame([(1, "Corner shop"), (2, "a shap"), (3, "zz"), (4, ""), (5, None)], "id INT, description STRING")
+    got = {r["id"]: r["rule_id"] for r in match_user_rules(texts, rules, children).collect()}
+    assert got == {1: 3, 2: 2, 3: 4, 4: 4, 5: 4}
+    assert [r["id"] for r in bad_rules(rules, children).collect()] == [1]
+
+
+def test_rules_do_not_reach_the_plan(spark):
+    """Ten thousand rules: the same plan as for ten, and each text finds the rule of its own number."""
+    from ledgerloom.operators.categorise import match_user_rules
+    from ledgerloom.schemas import CHILD_CATEGORIES, RULES
+
+    children = spark.createDataFrame([(1, 1, "A", None, None, 0)], CHILD_CATEGORIES)
+    rules = spark.createDataFrame([(n, f"shop {n} ", 1, ["contains", "startswith"][n % 2], 5, 0) for n in range(10_000)], RULES)
+    texts = spark.createDataFrame([(n, f"SHOP {n} street") for n in range(0, 10_000, 7)], "id INT, description STRING")
+    matched = match_user_rules(texts, rules, children)
+    assert all(r["id"] == r["rule_id"] for r in matched.collect())
+    assert "shop 4321" not in matched._jdf.queryExecution().toString()
