@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
@@ -27,16 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shipped(df: DataFrame) -> DataFrame:
     """Gives the executors this package, once a session, so that Python inside tasks finds it wherever it is installed.
 
-    Spark itself serves the archive to the executors; the file is the driver's alone.
+    The archive lies in the shared folder, from where Spark hands it to every executor.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not getattr(context, "_llm_shipped", False):
         root = Path(__file__).resolve().parents[2]
-        archive = os.path.join(tempfile.mkdtemp(), "ledgerloom_tasks.zip")
+        archive = io.BytesIO()
         with zipfile.ZipFile(archive, "w") as out:
             for path in sorted((root / "ledgerloom").rglob("*.py")):
                 out.write(path, path.relative_to(root))
-        context.addPyFile(archive)
+        name = f"{shared_folder(spark, 'ledgerloom')}.zip"
+        target = spark._jvm.org.apache.hadoop.fs.Path(name)
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        stream.write(bytearray(archive.getvalue()))
+        stream.close()
+        context.addPyFile(name)
         context._llm_shipped = True
     return df
 

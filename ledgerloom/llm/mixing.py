@@ -5,8 +5,9 @@ sources above that are clamped and the excess goes to the others by weight, roun
 until none is above. A target is then met by whole repetitions of all documents of the source
 and, for the fraction left over, by documents in a seeded order until the fraction is filled.
 
-The order inside a source is by hash bucket, so only one count per bucket is summed up, and rows
-are ranked in the one bucket of each source where the fraction ends. No task sees a whole source.
+The order inside a source is that of a hash, whose first digits are a bucket, so only one sum per
+bucket is added up, and rows are ranked in the one bucket of each source where the fraction ends.
+No task sees a whole source.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MAX_EPOCHS = 2.0
 SEED = 17
-BUCKETS = 1 << 14
+BUCKET_DIGITS = 3
 
 
 def ranked_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -76,8 +77,9 @@ def mix(
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
-    draw = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
-    bucket = F.shiftrightunsigned("draw", 64 - BUCKETS.bit_length() + 1).cast("int")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "size")]
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    bucket = F.conv(F.substring("draw", 1, BUCKET_DIGITS), 16, 10).cast("int")
     rows = scratch.keep(sized.withColumn("draw", draw).withColumn("bucket", bucket))
     return _placed(rows, scratch, weights, budget, max_epochs)
 
@@ -103,7 +105,7 @@ def _placed(rows: DataFrame, scratch: Scratch, weights, budget: float, max_epoch
     both = plan.join(ends.withColumnRenamed("plan_source", "end_source"), F.col("plan_source").eqNullSafe(F.col("end_source")), "left")
     plan = scratch.keep(both.drop("end_source"))
     joined = rows.join(plan, same)
-    last = F.coalesce("end_bucket", F.lit(BUCKETS))
+    last = F.coalesce("end_bucket", F.lit(16**BUCKET_DIGITS))
     outside = joined.filter(F.col("bucket") != last).withColumn("extra", (F.col("bucket") < last) & (F.col("left_over") > 0))
     order = Window.partitionBy("source").orderBy("draw", "doc_id", "size")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("end_before")

@@ -126,6 +126,34 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Blanks are x20 and x09 to x0D; letters outside ASCII keep their case.
 UPPER, LOWER = linededup.UPPER, linededup.LOWER
 
+# Sources above the water level are those before the first, by cap and weight, that the rest of the budget doesn't fill.
+ORACLE["op4_mixing"] = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM sources),
+levelled AS (
+    SELECT *, row_number() OVER o AS nth, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+water AS (
+    SELECT arg_min(level, nth) AS level FROM levelled WHERE weight * level <= cap),
+planned AS (
+    SELECT source, source_size, least(cap, weight * (SELECT level FROM water)) AS target FROM weighed),
+left_over AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM planned),
+ordered AS (
+    SELECT s.doc_id, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+           sum(s.size) OVER (PARTITION BY s.source
+               ORDER BY md5(concat_ws('|', '17', coalesce(CAST(s.doc_id AS VARCHAR), ''), coalesce(s.source, ''), CAST(s.size AS VARCHAR))), s.doc_id, s.size
+               ROWS UNBOUNDED PRECEDING) AS upto
+    FROM sized s JOIN left_over p ON s.source IS NOT DISTINCT FROM p.source),
+taken AS (
+    SELECT *, whole + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END AS repeats FROM ordered)
+SELECT doc_id, size, source_size, target, repeats * size AS taken, CAST(repeats AS BIGINT) AS repeats FROM taken"""
+
 ORACLE["op7_line_dedup"] = f"""
 WITH rows AS (
     SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -141,3 +141,13 @@ def test_rerun_is_equal(spark, result):
 def test_oracle_names():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert json.dumps(sorted(queries.QUERIES))
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_sql_gives_the_same_rows(result, name):
+    from checks.harness import compare, duck
+
+    con = duck(FOLDER)
+    con.execute(queries.ORACLE[name])
+    rows = result(name)
+    assert compare(rows[0].__fields__, rows, [d[0] for d in con.description], con.fetchall()) is None
