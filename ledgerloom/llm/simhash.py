@@ -159,7 +159,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` of linked nodes; the root is the smallest node of the component.
+    """``(node, label)`` of linked nodes, written; the label is the smallest node of the component.
 
     Each round lowers a node's label to the smallest among its neighbours, hooks the old
     label's own node onto it and halves the paths by one jump, so long chains take a
@@ -186,7 +186,7 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
         labels = jumped
         if not moved:
             scratch.drop(edges)
-            return labels.select("node", F.col("label").alias("root"))
+            return labels
 
 
 def near_duplicates(
@@ -209,13 +209,14 @@ def near_duplicates(
     classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes, max_bits), scratch)
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "first", F.coalesce("label", "fp").alias("root")
     )
     firsts = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
     # Written, so that the join below meets two plain tables and AQE may split a hot fingerprint.
     named = scratch.keep(
         rooted.join(firsts, F.col("root") == F.col("of")).select(F.col("fp").alias("class_fp"), "root", "component_id")
     )
+    scratch.drop(classes, roots)
     return fps.join(named, F.col("fp") == F.col("class_fp")).select(
         "doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id", hexed(F.col("root")).alias("component_fp")
     )

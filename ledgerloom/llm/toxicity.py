@@ -190,8 +190,9 @@ def train(chosen: DataFrame) -> Model:
         .distinct()
     )
     known = scored.filter("certain").select("unit", "odds").unionAll(below)
-    model = Model({r["unit"]: r["odds"] for r in known.collect()})
-    return _calibrated(samples, model)
+    model = _calibrated(samples, Model({r["unit"]: r["odds"] for r in known.collect()}))
+    scratch.drop(samples, scored)
+    return model
 
 
 def _calibrated(samples: DataFrame, model: Model) -> Model:

@@ -42,7 +42,7 @@ def test_links_and_components(spark):
     got = {frozenset((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1)) for r in simhash.links(frame).collect()}
     assert got == {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
     scratch = common.Scratch(spark, "test")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(frame), scratch).collect()}
+    roots = {r.node: r.label for r in simhash.components(simhash.links(frame), scratch).collect()}
     up = {f: f for f in fps}
 
     def root(f):
