@@ -138,7 +138,8 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), row.alias("row"))
     return (
-        rows.join(drawn, F.col("row_id").eqNullSafe(F.col("drawn_id")))
+        # merged at any size, as the ids grow with the rows
+        rows.join(drawn.hint("merge"), F.col("row_id").eqNullSafe(F.col("drawn_id")))
         .select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
         .select("row.*")
     )

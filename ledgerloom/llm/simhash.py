@@ -240,9 +240,11 @@ def keep_first(
     kept = scratch.keep(
         found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     )
-    once = kept.filter("rows = 1").select(F.col("doc_id").alias("kept_id"))
+    # The ids grow with the documents, so both sides are always sorted and merged: a broadcast that fits a
+    # small corpus is another plan than the one that a large corpus gets.
+    once = kept.filter("rows = 1").select(F.col("doc_id").alias("kept_id")).hint("merge")
     out = docs.join(once, docs[id_col] == once["kept_id"], "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
-    more = kept.filter("rows > 1").select(F.col("doc_id").alias("kept_id"))
+    more = kept.filter("rows > 1").select(F.col("doc_id").alias("kept_id")).hint("merge")
     if not more.isEmpty():
         repeated = docs.join(more, docs[id_col] == more["kept_id"], "left_semi")
         out = out.unionAll(_one_of_each(repeated, id_col, text_col))
