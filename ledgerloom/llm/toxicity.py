@@ -7,8 +7,8 @@ support scores, and every word costs a small drift, so that a run of ordinary wo
 maximal segments of positive score. By Karlin and Altschul's statistics the number of
 segments of score S in n clean tokens is about ``K n exp(-lambda S)``; a segment is significant if
 that is small, and ``lambda S - ln(K n)`` is its evidence whatever the document's length. A
-document's segments are judged together by the sum statistic of the best r of them, and a logistic
-curve fitted on the training rows turns that evidence into a probability.
+document's segments are judged together by the Poisson count of those as good as the r-th best, for
+every r, and a logistic curve fitted on the training rows turns that evidence into a probability.
 """
 
 from __future__ import annotations
@@ -66,16 +66,14 @@ class Model:
     def together(self, scores: list[float], tokens: int) -> tuple[float, int]:
         """-ln of the chance of the best r segments for the r that has the least, and that r.
 
-        The sum of r normalised scores t has the chance ``exp(-t) t^(r-1) / (r! (r-1)!)``; trying
-        each r halves the chance that is left. 0 where no segment says more than chance.
+        Segments of evidence x or more are a Poisson count of mean ``exp(-x)`` by chance, so r of them
+        have a chance of ``exp(-r x) / r!`` at most, for every r and also where x is negative; trying
+        each r halves the chance that is left. 0 where no segments say more than chance.
         """
-        best, count, total = 0.0, 0, 0.0
+        best, count = 0.0, 0
         for r, one in enumerate(sorted((self.evidence(s, tokens) for s in scores), reverse=True), 1):
-            if one <= 0:
-                break
-            total += one
-            found = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2)
-            if total > r * (r - 1) and found > best or r == 1 and found > 0:
+            found = r * one + math.lgamma(r + 1) - r * math.log(2)
+            if found > best:
                 best, count = found, r
         return (best, count) if best >= -math.log(EXPECTED) else (0.0, 0)
 

@@ -187,6 +187,23 @@ def test_toxic_held_out(spark):
     assert sum(got[n] == bool(y) for n, _, y in rows[600:]) >= 196
 
 
+def test_many_weak_segments_count_together():
+    """One toxic word in 60: the longer the text, the weaker each hit alone and the stronger all of them."""
+    model = toxicity.Model({"zgrok$": 2.2}, scale=3.9, rate=0.2, slope=2.7, offset=-5.4)
+    scorer = toxicity.Scorer(model)
+    totals = [scorer.passages(("zgrok " + "plain " * 59) * (n // 60))[0] for n in (1_200, 6_000, 24_000, 96_000)]
+    assert totals == sorted(totals) and model.probability(totals[0]) >= toxicity.CUTOFF
+    # as many hits as chance gives in a text of this length
+    assert scorer.passages(("zgrok " + "plain " * 11_999) * 8)[0] == 0
+
+
+def test_chance_is_not_exceeded_by_trying_every_count():
+    """Chance segments: evidences are the points of a Poisson process of density exp(-x)."""
+    points = -np.log(np.cumsum(np.random.default_rng(12).exponential(size=(4_000, 100)), axis=1))
+    model = toxicity.Model({}, scale=1.0, rate=1.0)
+    assert np.mean([model.together(list(p), 1)[0] > 0 for p in points]) <= 1.5 * toxicity.EXPECTED
+
+
 def test_quality_gradients():
     net = quality.initial(1)
     rng = np.random.default_rng(2)
