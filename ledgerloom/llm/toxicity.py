@@ -122,14 +122,19 @@ class Scorer:
         return (segments(scores) if scores and max(scores) > 0 else []), len(scores)
 
     def passages(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """A document's evidence and ``(start, end, evidence)`` of its significant segments, in characters of the lower-cased text."""
+        """A document's evidence and ``(start, end, evidence)`` of its passages, in characters of the lower-cased text.
+
+        Passages are all segments whose own evidence is significant, and those that are so together.
+        """
         found, tokens = self.raw(text)
         total, count = self.model.together([s for _, _, s in found], tokens)
+        own = [self.model.evidence(s, tokens) for _, _, s in found]
+        count = max(count, sum(e >= -math.log(EXPECTED) for e in own))
         if not count:
-            return 0.0, []
-        best = sorted(sorted(found, key=lambda f: -f[2])[:count])
+            return total, []
+        best = sorted(sorted(zip(found, own, strict=True), key=lambda f: -f[1])[:count])
         places = [m.span() for m in _WORD.finditer((text or "").lower())]
-        return total, [(places[a][0], places[b - 1][1], self.model.evidence(s, tokens)) for a, b, s in best]
+        return total, [(places[a][0], places[b - 1][1], e) for (a, b, _), e in best]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, label: str = "toxic") -> DataFrame:
@@ -250,8 +255,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, passages``, one row per row.
 
-    ``passages`` are all significant segments as ``(start, end, evidence)``; null and empty
-    texts have none and the score of a text without evidence.
+    ``passages`` are all segments that are significant alone or together, as ``(start, end, evidence)``;
+    null and empty texts have none and the score of a text without evidence.
     """
     rows = shipped(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -197,6 +197,30 @@ def test_many_weak_segments_count_together():
     assert scorer.passages(("zgrok " + "plain " * 11_999) * 8)[0] == 0
 
 
+def test_passages_are_all_significant_segments():
+    """One strong and many lesser passages: all that are significant alone, and all that are so together."""
+    rng = random.Random(13)
+    scores = {"zgrok": 2.6, "vlimp": 3.4, "bruxk": 9.0, "mild": 1.2}
+    model = toxicity.Model({f"{w}$": s for w, s in scores.items()}, scale=3.9, rate=0.2)
+    scorer = toxicity.Scorer(model)
+    for size in (40, 300, 3_000, 10_000):
+        words = [rng.choice([*scores]) if rng.random() < 1 / 60 else "plain" for _ in range(size)]
+        words[size // 2] = "bruxk"
+        text = " ".join(words)
+        total, got = scorer.passages(text)
+        # the brute-force list: segments of a plain scan, each judged by itself
+        starts = [0, *np.cumsum([len(w) + 1 for w in words])]
+        own = [
+            (int(starts[a]), int(starts[b]) - 1, model.scale * s - np.log(model.rate * size))
+            for a, b, s in toxicity.segments([scores.get(w, 0) - toxicity.DRIFT for w in words])
+        ]
+        want = [(a, b) for a, b, e in own if e >= -np.log(toxicity.EXPECTED)]
+        assert want and set(want) <= {(a, b) for a, b, _ in got} and got == sorted(got)
+        _, count = model.together([s for *_, s in scorer.raw(text)[0]], size)
+        assert len(got) == max(count, len(want))
+        assert sum(e for *_, e in got) == pytest.approx(sum(sorted((e for *_, e in own), reverse=True)[: len(got)]))
+
+
 def test_chance_is_not_exceeded_by_trying_every_count():
     """Chance segments: evidences are the points of a Poisson process of density exp(-x)."""
     points = -np.log(np.cumsum(np.random.default_rng(12).exponential(size=(4_000, 100)), axis=1))
