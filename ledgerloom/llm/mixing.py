@@ -124,22 +124,41 @@ def _placed(rows: DataFrame, scratch: Scratch, weights, budget: float, max_epoch
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings
+) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows that share a doc_id are drawn together, as often as the first of them by repeats: they
-    can't be told apart by the id. Rows without a doc_id are drawn together likewise.
+    A row is known by its doc_id, source and size, on which alone the draw depends, so rows without
+    a doc_id or with a repeated one have counts of their own. Where the mix's edge falls among rows
+    that agree in all three, the first by a hash of the text are taken once more than the others.
     """
-    found = mix(docs, id_col=id_col, **settings)
+    found = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
     scratch = Scratch(docs.sparkSession, "mixed")
     drawn = scratch.keep(
-        found.groupBy(F.col("doc_id").alias("drawn_id")).agg(F.max("repeats").alias("times")).filter("times > 0")
+        found.groupBy(F.col("doc_id").alias("drawn_id"), F.col("source").alias("drawn_source"), F.col("size").alias("drawn_size"))
+        .agg(F.min("repeats").alias("times"), (F.sum("repeats") - F.min("repeats") * F.count(F.lit(1))).alias("once_more"))
+        .filter("times > 0 OR once_more > 0")
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), row.alias("row"))
-    return (
-        # merged at any size, as the ids grow with the rows
-        rows.join(drawn.hint("merge"), F.col("row_id").eqNullSafe(F.col("drawn_id")))
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth"))
-        .select("row.*")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("row_id"),
+        F.col(f"`{source_col}`").alias("row_source"),
+        word_count(text).alias("row_size"),
+        F.xxhash64(text).alias("row_hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
+
+    def met(some: DataFrame) -> DataFrame:
+        # merged at any size, as the ids grow with the rows
+        same = [F.col(f"row_{c}").eqNullSafe(F.col(f"drawn_{c}")) for c in ("id", "source", "size")]
+        return rows.join(some.hint("merge"), same)
+
+    out = met(drawn.filter("once_more = 0")).select("row", "times")
+    edges = drawn.filter("once_more > 0")
+    if not edges.isEmpty():
+        alike = Window.partitionBy("drawn_id", "drawn_source", "drawn_size").orderBy("row_hash")
+        ranked = met(edges).withColumn("nth", F.row_number().over(alike))
+        times = F.col("times") + (F.col("nth") <= F.col("once_more")).cast("long")
+        out = out.unionAll(ranked.select("row", times.alias("times")).filter("times > 0"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).select("row.*")

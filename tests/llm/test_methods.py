@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -145,6 +146,25 @@ def test_water_filling(spark):
         assert {r.source: r.target for r in rows} == pytest.approx(brute.mix_targets(sizes))
 
 
+def test_mixed_rows_keep_their_own_counts(spark):
+    """Null and repeated ids in sources of other targets, and alike rows among which the edge falls."""
+    rng = random.Random(14)
+    sizes = {"a": 10, "b": 40, "c": 90}
+    rows = [(rng.choice([None, None, 1, n]), f"{s} {n} " + "w " * rng.choice([3, 3, 7]), s) for s, k in sizes.items() for n in range(k)]
+    docs = spark.createDataFrame(rows + [(None, "w " * 5, "d"), (None, None, None)], "doc_id long, text string, source string").cache()
+    key = lambda r: (str(r.doc_id), str(r.source), len(brute.words(r.text)))
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[str(r.doc_id), str(r.source), r.size] += r.repeats
+    drawn = mixing.mixed_rows(docs).collect()
+    got.update(map(key, drawn))
+    assert +want == +got
+    copies = Counter((r.doc_id, r.source, r.text) for r in drawn)
+    for r in docs.collect():
+        most = max(n for k, n in copies.items() if key(r) == (str(k[0]), str(k[1]), len(brute.words(k[2])))) if got[key(r)] else 0
+        assert most - 1 <= copies[r.doc_id, r.source, r.text] <= most
+
+
 def best_segments(scores):
     """Maximal scoring segments by their definition: the best one, then the same left and right of it."""
     best = None
