@@ -229,29 +229,46 @@ def hexed(fp: Column) -> Column:
 def keep_first(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id names its component.
+    """One row of ``docs``, all columns, of each component: of the rows whose doc_id names it, the first by text.
 
-    Rows that repeat a doc_id are one document: the first by text stays (null first; equal
-    rows are alike). Rows without a doc_id can't be told apart by it and stay.
+    Rows that repeat a doc_id are judged by their own component each. Of a component without any
+    doc_id the first row by text stays (null first; equal rows are alike). Rows without a doc_id
+    stay beside a row that names their component.
     """
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "simhash-kept")
-    # A component's name is one of its doc_ids, so the rows of an id that name it are few unless rows repeat.
+    names = F.max(F.col("doc_id") == F.col("component_id"))
     kept = scratch.keep(
-        found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), names.alias("names")).filter("names OR doc_id IS NULL")
     )
     # The ids grow with the documents, so both sides are always sorted and merged: a broadcast that fits a
     # small corpus is another plan than the one that a large corpus gets.
     once = kept.filter("rows = 1").select(F.col("doc_id").alias("kept_id")).hint("merge")
-    out = docs.join(once, docs[id_col] == once["kept_id"], "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
-    more = kept.filter("rows > 1").select(F.col("doc_id").alias("kept_id")).hint("merge")
-    if not more.isEmpty():
-        repeated = docs.join(more, docs[id_col] == more["kept_id"], "left_semi")
-        out = out.unionAll(_one_of_each(repeated, id_col, text_col))
+    out = docs.join(once, docs[id_col] == once["kept_id"], "left_semi")
+    if not kept.filter("rows > 1 OR doc_id IS NULL").isEmpty():
+        more = kept.filter("rows > 1").select(F.col("doc_id").alias("kept_id")).hint("merge")
+        unclear = docs.join(more, docs[id_col] == more["kept_id"], "left_semi").unionAll(docs.filter(F.col(id_col).isNull()))
+        out = out.unionAll(_one_of_each(unclear, found, shingle, id_col, text_col))
     return out
 
 
-def _one_of_each(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    row = F.struct(*rows.columns).alias("row")
-    by = Window.partitionBy(F.col(f"row.{id_col}")).orderBy(F.col(f"row.{text_col}").asc_nulls_first())
-    return rows.select(row).withColumn("nth", F.row_number().over(by)).filter("nth = 1").select("row.*")
+def _one_of_each(rows: DataFrame, found: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Of rows that a doc_id doesn't tell apart, those that stay; their fingerprints lead to their components."""
+
+    @F.pandas_udf("long")
+    def fp_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signed(simhash(t, shingle)) for t in texts], dtype="int64")
+
+    text = F.col(text_col).cast("string")
+    keyed = rows.select(
+        F.struct(*rows.columns).alias("row"),
+        F.col(id_col).cast("long").alias("row_id"),
+        text.alias("row_text"),
+        hexed(fp_of(text.cast("binary"))).alias("row_fp"),
+    )
+    classes = found.select("fingerprint", "component_id", "component_fp").distinct()
+    placed = keyed.join(classes.hint("merge"), F.col("row_fp") == F.col("fingerprint"))
+    by = Window.partitionBy("component_fp").orderBy(F.col("row_text").asc_nulls_first())
+    firsts = placed.filter(F.col("row_id").eqNullSafe(F.col("component_id"))).withColumn("nth", F.row_number().over(by)).filter("nth = 1")
+    beside = placed.filter("row_id IS NULL AND component_id IS NOT NULL")
+    return firsts.select("row").unionAll(beside.select("row")).select("row.*")

@@ -59,6 +59,16 @@ def test_links_and_components(spark):
     assert all({roots.get(f, f) for f in g} == {min(g)} for g in groups.values())
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Near copies without ids are one row; rows that share an id are judged each by its own component."""
+    rng = random.Random(15)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, a.upper()), (1, b), (2, b), (2, c), (2, c), (3, d), (3, e), (None, None), (None, "")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, a.upper()), (1, b), (2, c), (3, d), (3, e), (None, None)]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_long_text_in_chunks():
     text = " ".join(str(i) for i in range(70_000))
     assert simhash.simhash(text.encode()) == brute.simhash(text)
