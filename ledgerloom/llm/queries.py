@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, digest, linededup, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
+from ledgerloom.llm import decontaminate, digest, linededup, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digested(periodic.periodic_runs(documents(spark, sf_dir), fold=True))
+
+
 # Blanks are x20 and x09 to x0D; letters outside ASCII keep their case.
 UPPER, LOWER = linededup.UPPER, linededup.LOWER
 
