@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, digest, linededup, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity
+from ledgerloom.llm import decontaminate, digest, exactdedup, linededup, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digested(periodic.periodic_runs(documents(spark, sf_dir), fold=True))
 
 
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup_exact(documents(spark, sf_dir))
+
+
 # Blanks are x20 and x09 to x0D; letters outside ASCII keep their case.
 UPPER, LOWER = linededup.UPPER, linededup.LOWER
 
@@ -173,3 +178,8 @@ judged AS (
 SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r"""
+
+ORACLE["op13_exact_dedup"] = r"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS keep_id, count(*) OVER (PARTITION BY digest) AS group_size,
+       row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST) = 1 AS kept, digest AS text_sha256
+FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS digest FROM documents)"""
