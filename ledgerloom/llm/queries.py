@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, digest, exactdedup, linededup, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity
+from ledgerloom.llm import decontaminate, digest, exactdedup, lexical, linededup, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity
 from ledgerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digested(periodic.periodic_runs(documents(spark, sf_dir), fold=True))
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lexical.MaxSketchIndex.build(docs).search(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup_exact(documents(spark, sf_dir))
@@ -135,6 +141,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Blanks are x20 and x09 to x0D; letters outside ASCII keep their case.
 UPPER, LOWER = linededup.UPPER, linededup.LOWER
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Sources above the water level are those before the first, by cap and weight, that the rest of the budget doesn't fill.
 ORACLE["op4_mixing"] = r"""
@@ -179,6 +186,29 @@ SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_d
        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY r"""
 
+ORACLE["op12_ranked_search"] = f"""
+WITH words AS (
+    SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms
+    FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+postings AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM words) GROUP BY r, term),
+stats AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS docs, sum(len(terms))::BIGINT AS total FROM words),
+lengths AS (
+    SELECT r, doc_id, 25 + (75 * len(terms) * docs) // total AS m FROM words, stats WHERE len(terms) > 0),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+scored AS (
+    SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
 ORACLE["op13_exact_dedup"] = r"""
 SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS keep_id, count(*) OVER (PARTITION BY digest) AS group_size,
        row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST) = 1 AS kept, digest AS text_sha256
