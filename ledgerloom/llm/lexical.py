@@ -61,8 +61,9 @@ def sketch(counts: dict[bytes, int], hashes: dict[bytes, int]) -> tuple[int, byt
         cells *= 2
     rows = np.zeros((2, cells), np.uint8)
     if counts:
-        for term in counts.keys() - hashes.keys():
-            hashes[term] = term_hash(term)
+        for term in counts:
+            if term not in hashes:
+                hashes[term] = term_hash(term)
         at = np.fromiter(map(hashes.__getitem__, counts), np.uint64, len(counts))
         tf = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), MOST).astype(np.uint8)
         for row, shift in enumerate((0, 32)):
