@@ -101,6 +101,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_phone",
         F.sha2(secret_scan.joined(base, pii.KINDS), 256).alias("base_sha256"),
         secret_scan.joined(F.col("spans"), pii.KINDS).alias("spans"),
+        "n_spans",
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )
 
 

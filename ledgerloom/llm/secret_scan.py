@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and character Markov models for what no pattern names.
 
 Two first-order models over characters are trained from labelled samples, one of random strings
-and one of ordinary identifiers. A candidate is a long run of token characters outside the
-pattern's spans; it is a secret if the log-likelihood ratio of the two models, per transition,
-passes a threshold. Everything is a column expression; the model is one array of
+and one of ordinary identifiers. A candidate is a run of ``LEAST_PIECE`` or more letters, digits and plus signs:
+token characters are cut at the separators ``/ = - _`` and at the patterns' spans, so that a random
+part of a path, or one beside a span, is judged on its own. It is a secret if the log-likelihood
+ratio of the two models passes a threshold, both in all, so that short pieces need clearer evidence, and per
+transition. Everything is a column expression; the model is one array of
 ``CHARS ** 2`` ratios, whatever the corpus.
 """
 
@@ -23,14 +25,18 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN_LEAST = 8
 
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+LEAST_PIECE = 12
+PIECE = rf"[A-Za-z0-9+]{{{LEAST_PIECE},}}"
+# In texts with pattern spans, pieces end where one begins, and begin where it ends, since it is consumed.
+_BEGINS = r"""(?!AKIA[A-Z0-9]{12})(?![0-9a-f]{32})(?!(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=])"""
+CUT = rf"{ASSIGN}|{ACCESS}|{HEX}|(?:{_BEGINS}[A-Za-z0-9+]){{{LEAST_PIECE},}}"
 ORDINARY = r"[A-Za-z0-9_]{6,}"
 
 # Printable ASCII; all else is one character more.
 FIRST, CHARS = 32, 96
 SAMPLE_ROWS = 20_000
 PRIOR = 0.5
-MARGIN = 0.25
+MARGIN, EVIDENCE = 0.25, 8.0
 
 
 def char_codes(text: Column) -> Column:
@@ -75,11 +81,9 @@ def train(samples: DataFrame, prior: float = PRIOR) -> list[float]:
 
 
 def llr(text: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a text's transitions; 0 where there are none."""
+    """Log-likelihood ratio of a text, the sum over its transitions; 0 where there are none."""
     ratios = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    steps = transitions(text)
-    total = F.aggregate(steps, F.lit(0.0), lambda s, t: s + F.element_at(ratios, t + 1))
-    return F.when(F.length(text) < 2, 0.0).otherwise(total / F.size(steps))
+    return F.aggregate(transitions(text), F.lit(0.0), lambda s, t: s + F.element_at(ratios, t + 1))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -123,27 +127,34 @@ def labelled_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "do
     return chosen.select(F.explode(kinds).alias("kind")).select("kind.is_random", F.explode("kind.found").alias("sample"))
 
 
-def find_secrets(docs: DataFrame, model: list[float], margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(
+    docs: DataFrame, model: list[float], margin: float = MARGIN, evidence: float = EVIDENCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``doc_id, spans, n_assign, n_access, n_hex``, one row per row; null text is empty and has no spans.
 
     ``spans`` is an array of ``(start, kind, end, score)`` by start, then kind (its place in
-    ``KINDS``); ``score`` is the mean log-likelihood ratio of the found text, for all kinds. Model
-    spans never touch a span of the patterns. Repeated rows give equal rows.
+    ``KINDS``). The patterns decide alone and have no score; a model span's is its log-likelihood ratio per
+    transition, at least ``margin``, and ``evidence`` in all. Model spans never touch a span of the patterns.
+    Repeated rows give equal rows, empty tables none. Texts of any length are searched whole.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), stringed(F.col(text_col)).alias("text"))
-    found = rows.withColumns(base_spans(text)).withColumn("long", match_spans(text, CANDIDATE))
     base = F.concat("assign", "access", "hex")
-    # a candidate meets few pattern spans: both are rare, and only documents with both compare them
-    free = F.filter("long", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("markov", F.filter(free, lambda c: llr(c["found"], model) >= margin))
+    cut = F.when(~text.rlike(PIECE), no_spans()).when(F.size(base) > 0, match_spans(text, CUT)).otherwise(match_spans(text, PIECE))
+    found = rows.withColumns(base_spans(text)).withColumn("cut", cut)
+    pieces = F.filter("cut", lambda c: c["found"].rlike(f"^{PIECE}$"))
+    judged = F.transform(pieces, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), llr(c["found"], model).alias("total")))
+    random = F.filter("judged", lambda c: (c["total"] >= evidence) & (c["total"] >= margin * (c["end"] - c["start"] - 1)))
+    # few pieces are random and few spans stand in a text, and only documents with both compare them
+    free = F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.withColumn("judged", judged).withColumn("random", random).withColumn("markov", free)
+
     def numbered(number: int, spans: str) -> Column:
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), llr(s["found"], model).alias("score")
-            ),
-        )
+        def one(s: Column) -> Column:
+            score = s["total"] / (s["end"] - s["start"] - 1) if number == 3 else F.lit(None).cast("double")
+            return F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), score.alias("score"))
+
+        return F.transform(spans, one)
 
     spans = F.array_sort(F.concat(*(numbered(n, kind) for n, kind in enumerate(KINDS))))
     counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]

@@ -132,6 +132,41 @@ def test_markov_model_tells_random_from_words(spark):
     assert all((s.start, s.end) == (4, 34) for n in range(50) for s in found[n])
 
 
+def test_random_pieces_beside_spans_and_in_paths(spark):
+    rng = random.Random(9)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: "".join(rng.choice("get set total count value index user name order line".split()) for _ in range(4))
+    samples = [(noise(30), True) for _ in range(3000)] + [(word(), False) for _ in range(3000)]
+    model = secret_scan.train(spark.createDataFrame(samples, "sample string, is_random boolean"))
+    short, key = noise(24), noise(40)
+    planted = [
+        ("key AKIA" + "QRSTUVWXYZ234567" + "/" + key + " end", key),
+        ("sum " + "0123456789abcdef" * 2 + "Z" + key, "Z" + key),
+        (key + "Z" + "0123456789abcdef" * 2, key + "Z"),
+        (f"/home/{word()}/{word()}-{word()}={short}/{word()}/{word()}", short),
+        (f"{word()}_{word()} {key} token = abcdefgh1 {word()}", key),
+        (f"{word()}/{word()}_{word()}={word()}", None),
+    ]
+    frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(planted)], "doc_id long, text string")
+    for r in secret_scan.find_secrets(frame, model).collect():
+        text, piece = planted[r.doc_id]
+        got = [text[s.start : s.end] for s in r.spans if s.kind == 3]
+        assert got == ([] if piece is None else [piece]), (r.doc_id, got)
+        assert all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+
+
+def test_bank_accounts_before_other_words(spark):
+    good = ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [f"iban {a}{tail}" for a in good for tail in ("", " BIC ABCD", " EUR", " 2024", ", or", "X", "9")] + ["iban DE00 GB82 WEST 1234 5698 7654 32 EUR", "ZZ82WEST12345698765432"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        found = [texts[r.doc_id][s.start : s.end] for s in r.spans if pii.KINDS[s.kind] == "iban"]
+        want = [a for a in good[:1] if a in texts[r.doc_id]] if r.doc_id == 35 else [good[r.doc_id // 7]] if r.doc_id < 35 and r.doc_id % 7 < 5 else []
+        assert found == want, texts[r.doc_id]
+        assert r.n_spans == len(r.spans)
+
+
 def test_checksums(spark):
     rows = [("4111111111111111", True, False), ("4111111111111112", False, False), ("", False, False), ("GB82WEST12345698765432", False, True), ("GB82WEST12345698765431", False, False)]
     frame = spark.createDataFrame([r[:1] for r in rows], "t string")
