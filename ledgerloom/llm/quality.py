@@ -26,7 +26,6 @@ HALF = 256
 KERNEL, STRIDE = 8, 2
 EMBED, FILTERS, HIDDEN = 6, 48, 24
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 4_096
 STEPS, BATCH, RATE = 560, 32, 4e-3
 CUTOFF = 0.3
 GROUP = 256
@@ -91,24 +90,28 @@ def smooth_min(logits: np.ndarray) -> tuple[float, np.ndarray]:
     return float(low - np.log(part.mean())), part / part.sum()
 
 
+def grouped(net: Arrays, numbers: np.ndarray) -> Iterator[np.ndarray]:
+    """``responses`` of a text, ``GROUP`` halves at a time."""
+    ends = KERNEL - STRIDE
+    for begin in range(0, len(numbers) - ends, GROUP * HALF):
+        yield responses(net, numbers[begin : begin + GROUP * HALF + ends])
+
+
 def logit(net: Arrays, data: bytes) -> float:
     """The document's logit, over groups of halves, so that memory stays bounded for any length."""
-    numbers = padded(data)
-    ends = KERNEL - STRIDE
-    tops = [
-        responses(net, numbers[g : g + GROUP * HALF + ends]).max(axis=1) for g in range(0, len(numbers) - ends, GROUP * HALF)
-    ]
-    halves = np.concatenate(tops)
+    halves = np.concatenate([found.max(axis=1) for found in grouped(net, padded(data))])
     top = np.tanh(by_chunk(halves) + net["bias"])
     return smooth_min(chunk_logits(net, top, chunk_lengths(len(data), len(halves)))[0])[0]
 
 
 def gradients(net: Arrays, data: bytes, label: int) -> tuple[float, Arrays]:
-    """Log loss and gradients for one document. Through the pooling only the winning windows learn."""
+    """Log loss and gradients for one whole document, its chunks in groups. Through the pooling only the winning windows learn."""
     numbers = padded(data)
-    found = responses(net, numbers)
-    best = found.argmax(axis=1)
-    halves = np.take_along_axis(found, best[:, None], axis=1)[:, 0]
+    places, tops = [], []
+    for found in grouped(net, numbers):
+        places.append(found.argmax(axis=1))
+        tops.append(np.take_along_axis(found, places[-1][:, None], axis=1)[:, 0])
+    best, halves = np.concatenate(places), np.concatenate(tops)
     starts = best * STRIDE + HALF * np.arange(len(halves))[:, None]
     if len(halves) > 1:
         starts = np.where(halves[:-1] >= halves[1:], starts[:-1], starts[1:])
@@ -189,20 +192,17 @@ def train(samples: DataFrame) -> bytes:
     return trained[0] if trained else packed(fit([]))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``(text, label)`` of at most ``rows`` labelled documents, the smallest by a seeded hash; ``learn`` is a condition on the doc_id.
-
-    Of a longer text a window of ``chars`` characters is learned from, at a seeded place.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(text, label)`` of at most ``rows`` labelled documents, whole, the smallest by a seeded hash; ``learn`` is a condition on the doc_id."""
     known = labels.filter(learn).select("doc_id", F.col("quality").cast("int").alias("label")).filter("label IS NOT NULL")
-    text = stringed(F.col("text"))
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    part = F.substr(text, F.pmod(F.xxhash64(F.lit("window"), "doc_id"), room).cast("int") + 1, F.lit(chars))
-    return texts_of(docs, sampled_ids(known, rows, "quality", "label"), part, "label").select("text", "label")
+    return texts_of(docs, sampled_ids(known, rows, "quality", "label"), stringed(F.col("text")), "label").select("text", "label")
 
 
 def score(text: Column, model: bytes) -> Column:
-    """Probability of good quality of whole texts; null is empty, and empty texts are scored too."""
+    """Probability of good quality of whole texts; null is empty, and empty texts are scored too.
+
+    A text of any length is scored in groups of chunks. Equal texts have equal scores; an empty table has none.
+    """
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
