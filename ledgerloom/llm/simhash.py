@@ -232,8 +232,8 @@ def keep_first(
     """One row of ``docs``, all columns, of each component: of the rows whose doc_id names it, the first by text.
 
     Rows that repeat a doc_id are judged by their own component each. Of a component without any
-    doc_id the first row by text stays (null first; equal rows are alike). Rows without a doc_id
-    stay beside a row that names their component.
+    doc_id the first row by text stays (null first; equal rows are alike). Null texts have fingerprint 0 like empty
+    ones. An empty table stays empty; other columns of any name are carried along.
     """
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "simhash-kept")
@@ -270,5 +270,4 @@ def _one_of_each(rows: DataFrame, found: DataFrame, shingle: int, id_col: str, t
     placed = keyed.join(classes.hint("merge"), F.col("row_fp") == F.col("fingerprint"))
     by = Window.partitionBy("component_fp").orderBy(F.col("row_text").asc_nulls_first())
     firsts = placed.filter(F.col("row_id").eqNullSafe(F.col("component_id"))).withColumn("nth", F.row_number().over(by)).filter("nth = 1")
-    beside = placed.filter("row_id IS NULL AND component_id IS NOT NULL")
-    return firsts.select("row").unionAll(beside.select("row")).select("row.*")
+    return firsts.select("row.*")
