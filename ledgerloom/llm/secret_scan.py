@@ -25,11 +25,12 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN_LEAST = 8
 
-LEAST_PIECE = 12
-PIECE = rf"[A-Za-z0-9+]{{{LEAST_PIECE},}}"
+LEAST_PIECE = 16
+# A word is tried at its start only.
+PIECE = rf"(?<![A-Za-z0-9+])[A-Za-z0-9+]{{{LEAST_PIECE},}}+"
 # In texts with pattern spans, pieces end where one begins, and begin where it ends, since it is consumed.
 _BEGINS = r"""(?!AKIA[A-Z0-9]{12})(?![0-9a-f]{32})(?!(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=])"""
-CUT = rf"{ASSIGN}|{ACCESS}|{HEX}|(?:{_BEGINS}[A-Za-z0-9+]){{{LEAST_PIECE},}}"
+CUT = rf"{ASSIGN}|{ACCESS}|{HEX}|(?:(?<![A-Za-z0-9+])|\G)(?:{_BEGINS}[A-Za-z0-9+]){{{LEAST_PIECE},}}"
 ORDINARY = r"[A-Za-z0-9_]{6,}"
 
 # Printable ASCII; all else is one character more.
