@@ -91,9 +91,17 @@ def part_rules(f):
     )
 
 
-PART_USER = f"""SELECT m.id, arg_min(r.category, (-r.priority, -r.use_count, r.id)) AS user_category, arg_min(r.id, (-r.priority, -r.use_count, r.id)) AS rule_id
-    FROM (SELECT *, lower(description) AS d FROM f_transactions) m
-    JOIN (SELECT r.*, c.name AS category FROM ({PART_RULES}) r JOIN f_child_categories c ON r.child_category_id = c.id) r ON {HIT} GROUP BY m.id"""
+# Each distinct text meets exact rules by equality, and the few distinct patterns of the other kinds.
+PART_USER = f"""WITH rules AS (
+        SELECT r.*, lower(pattern) AS p, c.name AS category, {{'a': -r.priority, 'b': -r.use_count, 'c': r.id}} AS place
+        FROM ({PART_RULES}) r JOIN f_child_categories c ON r.child_category_id = c.id),
+    texts AS (SELECT DISTINCT lower(description) AS d FROM f_transactions),
+    best AS (SELECT p, match_type, min(place) AS place FROM rules GROUP BY p, match_type),
+    met AS (
+        SELECT m.d, r.place FROM texts m JOIN best r ON r.match_type = 'exact' AND m.d = r.p UNION ALL
+        SELECT m.d, r.place FROM texts m JOIN (SELECT *, p AS pattern FROM best WHERE match_type <> 'exact') r ON {HIT}),
+    won AS (SELECT d, min(place).c AS rule_id FROM met GROUP BY d)
+    SELECT m.id, r.category AS user_category, r.id AS rule_id FROM f_transactions m JOIN won ON lower(m.description) = won.d JOIN rules r ON r.id = won.rule_id"""
 
 
 @check("user_category_parts", f"SELECT m.id, u.user_category, u.rule_id FROM f_transactions m LEFT JOIN ({PART_USER}) u USING (id)")

@@ -62,19 +62,21 @@ SQL = {
                CASE WHEN c_custkey % 3 <> 0
                     THEN concat('****', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')) END AS account_number,
                'CAD' AS currency, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer""",
+    # One row, joined before the rest, so that no count stands in a join's condition.
+    "f_sizes": "SELECT (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM customer) AS customers",
     "f_transactions": """
         SELECT o_orderkey AS id, o_custkey AS account_id, CAST(o_orderdate AS DATE) AS date, p_name AS description,
                CAST(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(18,2)) AS amount,
                CASE WHEN o_orderkey % 50 <> 49 THEN o_orderkey % 25 END AS child_category_id,
                CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS is_split,
                CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS is_transfer,
-               CASE WHEN o_orderpriority = '5-LOW' THEN (o_custkey + 7) % (SELECT count(*) FROM customer) END AS transfer_to_account_id,
+               CASE WHEN o_orderpriority = '5-LOW' THEN (o_custkey + 7) % customers END AS transfer_to_account_id,
                CASE WHEN o_orderpriority = '5-LOW'
                     THEN CASE o_orderkey % 3 WHEN 0 THEN 'RRSP' WHEN 1 THEN '' END END AS transfer_investment_cat,
                CASE WHEN o_orderkey % 20 = 0 THEN 'USD' ELSE 'CAD' END AS currency,
                CASE WHEN o_orderkey % 4 <> 0
                     THEN concat('["', o_orderpriority, '","', o_orderstatus, '"]') END AS tags
-        FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
+        FROM (SELECT orders.*, customers, o_orderkey % parts AS part_key FROM orders CROSS JOIN f_sizes) o JOIN part ON p_partkey = part_key""",
     "f_split_transactions": """
         SELECT t.id * 2 + k.k AS id, t.id AS transaction_id, (t.id + k.k) % 25 AS child_category_id,
                CASE WHEN k.k = 0 THEN CAST(t.amount * 0.6 AS DECIMAL(18,2))

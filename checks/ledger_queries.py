@@ -213,7 +213,7 @@ def _(f):
        LEFT JOIN f_accounts d ON t.transfer_to_account_id = d.id WHERE t.is_transfer = 1 AND {IN_PERIOD}""",
 )
 def _(f):
-    rows = views.transfers(f.txns, f.accounts, START, END).orderBy(F.col("date").desc())
+    rows = views.transfers(f.txns, f.accounts, START, END)
     return rows.select("id", "date", "from_account", "to_account", "inv_category", money_out("amount").alias("amount"))
 
 
@@ -324,7 +324,7 @@ def _(f):
        count(*) OVER () AS n FROM f_transactions) WHERE place >= ((n + 24) // 25 - 1) * 25""",
 )
 def _(f):
-    rows = filters.page(f.txns, 10**9, key="amount", top_k_rows=100)
+    rows = filters.page(f.txns, 10**9, key="amount", sort_rows=100)
     return rows.select("id", "date", money_out("amount").alias("amount"))
 
 
@@ -333,7 +333,7 @@ def _(f):
     "SELECT id, date, CAST(amount AS DOUBLE) AS amount FROM f_transactions ORDER BY amount, date DESC, id DESC LIMIT 25 OFFSET 500",
 )
 def _(f):
-    rows = filters.page(f.txns, 21, key="amount", descending=False, top_k_rows=100)
+    rows = filters.page(f.txns, 21, key="amount", descending=False, sort_rows=100)
     return rows.select("id", "date", money_out("amount").alias("amount"))
 
 

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from ledgerloom.functions.money import money_out
 from ledgerloom.operators import maintain
+from ledgerloom.plans import jobs
+from ledgerloom.session import shared_folder
+from ledgerloom.sources import tables
 
 HASH = "md5(concat_ws('|', CAST(date AS VARCHAR), description, CAST(amount AS VARCHAR)))"
 
@@ -149,40 +152,66 @@ CHANGES = """SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) * 1000000000
     CASE WHEN l_linenumber % 2 = 1 THEN concat('seen ', CAST(l_linenumber AS VARCHAR)) END AS notes FROM lineitem WHERE l_returnflag = 'R'"""
 
 
-@check(
-    "apply_corrections",
-    f"""WITH c AS (SELECT c.*, k.id AS child FROM ({CHANGES}) c LEFT JOIN f_child_categories k ON k.name = c.category),
+CORRECTED = f"""WITH c AS (SELECT c.*, k.id AS child FROM ({CHANGES}) c LEFT JOIN f_child_categories k ON k.name = c.category),
     f AS (SELECT id, arg_max(child, seq) FILTER (child IS NOT NULL) AS child, arg_max(tags, seq) FILTER (tags IS NOT NULL) AS tags,
           arg_max(notes, seq) FILTER (notes IS NOT NULL) AS notes FROM c GROUP BY id)
     SELECT t.id, coalesce(f.child, t.child_category_id) AS child_category_id, coalesce(f.tags, t.tags) AS tags, f.notes
-    FROM f_transactions t LEFT JOIN f ON f.id = t.id""",
-)
-def _(f):
+    FROM f_transactions t LEFT JOIN f ON f.id = t.id"""
+
+
+def changes(f):
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
-    changes = f.table("lineitem").filter("l_returnflag = 'R'").select(
+    return f.table("lineitem").filter("l_returnflag = 'R'").select(
         key.alias("id"), (line.cast("bigint") * 1_000_000_000 + F.col("l_partkey")).alias("seq"),
         F.when(line % 3 != 0, F.concat(F.lit("NATION_"), (F.col("l_suppkey") % 30).cast("string"))).alias("category"),
         F.when((key + line) % 2 == 0, F.concat(F.lit('["'), line.cast("string"), F.lit('"]'))).alias("tags"),
         F.when(line % 2 == 1, F.concat(F.lit("seen "), line.cast("string"))).alias("notes"),
     )
-    return maintain.apply_corrections(f.txns, changes, f.children).select("id", "child_category_id", "tags", "notes")
 
 
-@check(
-    "mark_transfers",
-    """WITH m AS (SELECT l_orderkey AS id, arg_max(l_suppkey, (l_linenumber, l_partkey)) AS dest, arg_max(l_linenumber, (l_linenumber, l_partkey)) AS line
+def stored_ledger(f):
+    path = shared_folder(f.spark, "ledger")
+    tables.write_transactions(f.txns, path)
+    return path
+
+
+@check("apply_corrections", CORRECTED)
+def _(f):
+    return maintain.apply_corrections(f.txns, changes(f), f.children).select("id", "child_category_id", "tags", "notes")
+
+
+@check("correct_ledger", CORRECTED)
+def _(f):
+    path = stored_ledger(f)
+    jobs.correct_ledger(f.spark, path, changes(f), f.children)
+    return tables.load_ledger(f.spark, path).select("id", "child_category_id", "tags", "notes")
+
+
+MARKED = """WITH m AS (SELECT l_orderkey AS id, arg_max(l_suppkey, (l_linenumber, l_partkey)) AS dest, arg_max(l_linenumber, (l_linenumber, l_partkey)) AS line
     FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
     SELECT t.id, CASE WHEN m.id IS NOT NULL THEN 1 ELSE is_transfer END AS is_transfer,
     CASE WHEN m.id IS NOT NULL THEN m.dest ELSE transfer_to_account_id END AS transfer_to_account_id,
     CASE WHEN m.id IS NULL THEN transfer_investment_cat WHEN m.line % 2 = 0 THEN 'TFSA' END AS transfer_investment_cat
-    FROM f_transactions t LEFT JOIN m ON m.id = t.id""",
-)
-def _(f):
-    marks = f.table("lineitem").filter("l_returnflag = 'A'").select(
+    FROM f_transactions t LEFT JOIN m ON m.id = t.id"""
+
+
+def marks(f):
+    return f.table("lineitem").filter("l_returnflag = 'A'").select(
         F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("dest_account_id"),
         F.when(F.col("l_linenumber") % 2 == 0, "TFSA").alias("inv_category"), F.struct("l_linenumber", "l_partkey").alias("seq"),
     )
-    return maintain.mark_transfers(f.txns, marks).select("id", "is_transfer", "transfer_to_account_id", "transfer_investment_cat")
+
+
+@check("mark_transfers", MARKED)
+def _(f):
+    return maintain.mark_transfers(f.txns, marks(f)).select("id", "is_transfer", "transfer_to_account_id", "transfer_investment_cat")
+
+
+@check("mark_ledger", MARKED)
+def _(f):
+    path = stored_ledger(f)
+    jobs.mark_ledger(f.spark, path, marks(f))
+    return tables.load_ledger(f.spark, path).select("id", "is_transfer", "transfer_to_account_id", "transfer_investment_cat")
 
 
 NEW_SPLITS = """SELECT id AS transaction_id, k AS line, concat('NATION_', CAST((id + k) % 27 AS VARCHAR)) AS category, CAST(amount / 3 AS DECIMAL(18,2)) AS amount
@@ -219,6 +248,20 @@ def _(f):
     return maintain.replace_splits(f.splits, f.txns, new, f.children)[1].select("id", "is_split")
 
 
+@check(
+    "split_ledger",
+    """SELECT t.id, CASE WHEN is_transfer = 1 THEN 1 ELSE is_split END AS is_split,
+    CASE WHEN is_transfer = 1 THEN (SELECT count(*) FROM f_child_categories c, (VALUES (0), (1), (2)) v(k) WHERE c.name = concat('NATION_', CAST((t.id + k) % 27 AS VARCHAR)))
+    WHEN is_split = 1 THEN 2 ELSE 0 END AS lines FROM f_transactions t""",
+)
+def _(f):
+    path, new = stored_ledger(f), new_splits(f).withColumnRenamed("whole", "amount")
+    table, _months = jobs.split_ledger(f.spark, path, f.splits, new, f.children)
+    lines = table.groupBy(F.col("transaction_id").alias("id")).agg(F.count(F.lit(1)).alias("lines"))
+    rows = tables.load_ledger(f.spark, path).join(lines, "id", "left")
+    return rows.select("id", "is_split", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
 @check(
     "auto_balance",
     """SELECT id * 2 + k AS id, CAST(CASE WHEN k = 0 THEN CAST(amount * 0.6 AS DECIMAL(18,2)) ELSE amount - CAST(amount * 0.6 AS DECIMAL(18,2)) END AS DOUBLE) AS amount

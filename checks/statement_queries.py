@@ -105,8 +105,7 @@ WHOLE = "concat_ws(',', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHA
     f"""SELECT {WHOLE} AS line, 'good' AS kind FROM lineitem WHERE l_linenumber NOT IN (2, 5, 6)
     UNION ALL SELECT concat({WHOLE}, ',extra'), 'bad' FROM lineitem WHERE l_linenumber = 2
     UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'bad' FROM lineitem WHERE l_linenumber = 5
-    UNION ALL SELECT concat(CAST(l_orderkey AS VARCHAR), ',"broken'), 'bad' FROM lineitem WHERE l_linenumber = 6
-    UNION ALL SELECT concat('line",', CAST(l_suppkey AS VARCHAR)), 'bad' FROM lineitem WHERE l_linenumber = 6""",
+    UNION ALL SELECT concat_ws(',', CAST(l_orderkey AS VARCHAR), 'broken' || chr(10) || 'line', CAST(l_suppkey AS VARCHAR)), 'good' FROM lineitem WHERE l_linenumber = 6""",
 )
 def _(f):
     path = shared_folder(f.spark, "statement")

@@ -1,8 +1,9 @@
 """Categories for transactions: built-in patterns, user rules and learning from corrections.
 
-Each distinct text is matched once. User rules stay a table and meet texts by equi-join
-on the first characters of their pattern; only regular expressions become part of the
-plan. Built-in patterns are one ordered array value that a text searches for its first
+Each distinct text is matched once. User rules stay a table and meet texts by equi-join on a key: a few characters
+that every text the rule matches holds, the rarest there are in the pattern, or in what each match of a
+regular expression must hold. A bitmap of all keys, of bounded size, keeps those parts of a text that are no key
+out of the join. Only regular expressions without such a part become part of the plan. Built-in patterns are one ordered array value that a text searches for its first
 hit, by a higher-order function, because a CASE chain of this length becomes one
 generated method too large for the JIT compiler (measured at three to six times the
 cost). A built-in regular expression runs only on texts that hold its literal part.
@@ -13,13 +14,16 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import regexes
 from ledgerloom.functions.text import UNCATEGORIZED
 from ledgerloom.operators.merchants import BUILTIN_PATTERNS
 from ledgerloom.operators.numbering import assign_ids
-from ledgerloom.operators.views import category_ids, rules_view
+from ledgerloom.operators.views import category_ids, named_rules
+from ledgerloom.session import carried, stored
 
 # Confidence of each way to get a category.
 USER_CONFIDENCE, BUILTIN_CONFIDENCE, PRESET_CONFIDENCE = 0.90, 0.75, 0.80
@@ -31,11 +35,18 @@ STOP_WORDS = [
 ]
 LEARNED_PRIORITY = 10
 
-# Characters of a rule's join key. Longer keys meet fewer texts that don't match, and make more keys per text.
+# Characters of a rule's join key at most. Longer keys meet fewer texts that don't match.
 KEY_CHARS = 5
+# Texts that are looked at to tell rare keys from frequent ones; which key a rule has changes no result.
+SAMPLE_TEXTS = 10_000
+# Bits of the key bitmap for each key, and at most. Beyond that more parts that are no key reach the join.
+KEY_BITS, MOST_BITS = 32, 1 << 21
+# Rules without a key that can be listed: regular expressions whose matches need hold no text.
+MOST_LISTED = 500
 _HIT = "struct<rank:struct<p:bigint,u:bigint,i:bigint>,category:string>"
 
 _LOW = "_low_description"
+carried(regexes)
 _PLAIN = re.compile(r"^[\w &/'-]+$")
 
 
@@ -51,31 +62,22 @@ def _literal_part(regex: str) -> str:
     return max(parts, key=len).replace("\0", ".").replace("\1", "+")
 
 
-def _usable(spark: SparkSession, pattern: str) -> str | None:
-    """What is wrong with a regular expression, None if nothing is."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as e:  # Java says what it doesn't understand
-        return str(e).strip().splitlines()[-1]
-    return None
+def _lower_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
+    """Rules with category names and lower-case patterns, without those that can't match: no pattern, or one that can't be compiled."""
+    lower = named_rules(rules, children).withColumn("pattern", F.lower("pattern")).filter("pattern IS NOT NULL")
+    return lower.filter((F.col("match_type") != "regex") | _compiled(F.col("pattern")).isNotNull())
 
 
-def _regex_rules(rules: DataFrame) -> list[Row]:
-    """The rules that are regular expressions, in matching order. People write few of them: these alone come to the driver."""
-    order = [F.col("priority").desc(), F.col("use_count").desc(), "id"]
-    found = rules.filter((F.col("match_type") == "regex") & F.col("pattern").isNotNull())
-    return found.orderBy(*order).select("id", "pattern", "category", "priority", "use_count").collect()
+def _compiled(pattern: Column) -> Column:
+    """NULL for what isn't a regular expression."""
+    return F.call_function("try_reflect", F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
 
 
 def bad_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
     """(id, pattern, problem) of regular expressions that can't be compiled; matching passes over them."""
-    spark = rules.sparkSession
-    found = [(r["id"], r["pattern"], _usable(spark, r["pattern"])) for r in _regex_rules(_lower_rules(rules, children))]
-    return spark.createDataFrame([r for r in found if r[2]], "id BIGINT, pattern STRING, problem STRING")
-
-
-def _lower_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
-    return rules_view(rules, children).withColumn("pattern", F.lower("pattern"))
+    lower = named_rules(rules, children).withColumn("pattern", F.lower("pattern"))
+    bad = lower.filter((F.col("match_type") == "regex") & F.col("pattern").isNotNull() & _compiled(F.col("pattern")).isNull())
+    return bad.select(F.col("id").cast("bigint").alias("id"), "pattern", F.lit("not a regular expression").alias("problem"))
 
 
 def _rank(priority: Column, uses: Column, rule_id: Column) -> Column:
@@ -86,8 +88,8 @@ def _rank(priority: Column, uses: Column, rule_id: Column) -> Column:
     )
 
 
-def _by_regex(text: Column, rows: list[Row]) -> Column:
-    """The first regular expression that matches. Each is a literal of its own, so it is compiled once a task."""
+def _listed(text: Column, rows: list[Row]) -> Column:
+    """The best of the listed rules that matches. Each is a literal of its own, so it is compiled once a task."""
     none = F.lit(None).cast(_HIT)
     chain = None
     for r in rows:
@@ -98,51 +100,131 @@ def _by_regex(text: Column, rows: list[Row]) -> Column:
     return none if chain is None else chain.otherwise(none)
 
 
-def _part_at(text: Column, size: int):
-    return lambda at: F.concat(F.lit("*"), F.substring(text, at, F.lit(size)))
+def _grams(text: Column, size: int) -> Column:
+    """All parts of ``size`` characters, none of a shorter text."""
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    parts = F.transform(places, lambda at: F.concat(F.lit("*"), F.substring(text, at, F.lit(size))))
+    return F.when(F.length(text) >= size, parts).otherwise(F.array().cast("array<string>"))
 
 
-def _by_words(texts: DataFrame, rules: DataFrame, key_chars: int) -> DataFrame:
-    """(_text, hit): the best contains, startswith or exact rule of each text that has one.
+def keyed_rules(rules: DataFrame, texts: DataFrame, key_chars: int = KEY_CHARS) -> DataFrame:
+    """Rules with ``rule_key``, one row for each key; NULL where there is none. Written: it is read for the bitmap and the join.
 
-    Rules meet texts by equi-join on a key: the whole text, its start, or each part of it of
-    the length of the rule's key, which is the pattern's first ``key_chars`` characters.
-    Any number of rules is searched without a pass over all of them. An unknown match
-    type never matches.
+    ``rules`` are lower-case, ``texts`` has ``_text``. An exact rule's key is its pattern, a startswith rule's the start of
+    it. A contains rule has the rarest of its parts, a regular expression the rarest part of each text of
+    which its matches hold one. Unknown match types have no row.
     """
-    size = F.least(F.length("pattern"), F.lit(key_chars))
-    part = F.substring(F.col("pattern"), F.lit(1), size)
-    keyed = rules.filter(F.col("match_type").isin("contains", "startswith", "exact") & F.col("pattern").isNotNull()).select(
-        "pattern", "match_type", size.alias("size"),
-        F.when(F.col("match_type") == "exact", F.concat(F.lit("="), F.col("pattern"))).otherwise(F.concat(F.lit("*"), part)).alias("rule_key"),
-        F.struct(_rank(F.col("priority"), F.col("use_count"), F.col("id")).alias("rank"), "category").alias("hit"),
-    )
-    # At most key_chars + 1 lengths.
-    sizes = [r[0] for r in keyed.filter("match_type <> 'exact'").select("size").distinct().collect()]
-    text = F.col("_text")
-    keys = [F.array(F.concat(F.lit("="), text))]
-    for n in sizes:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        parts = F.transform(places, _part_at(text, n))
-        keys.append(parts if n else F.array(F.lit("*")))
-    listed = texts.select("_text", F.explode(F.array_distinct(F.concat(*keys))).alias("text_key"))
     kind, pattern = F.col("match_type"), F.col("pattern")
+
+    @F.pandas_udf("array<string>")
+    def required(patterns: pd.Series) -> pd.Series:
+        return patterns.map(regexes.required_texts)
+
+    words = rules.filter(kind.isin("contains", "startswith", "exact")).withColumn("needed", F.array("pattern"))
+    regex = rules.filter(kind == "regex").withColumn("needed", required("pattern"))
+    every = words.unionByName(regex).withColumn("hit", F.struct(_rank(F.col("priority"), F.col("use_count"), F.col("id")).alias("rank"), "category"))
+    held = ["id", "pattern", "match_type", "priority", "use_count", "category", "hit"]
+    part = every.select(*held, F.explode_outer("needed").alias("needed"))
+
+    def sized(size: Column) -> Column:
+        return F.when(size >= key_chars, key_chars).otherwise(size)
+
+    length = sized(F.length("needed"))
+    places = F.sequence(F.lit(1), F.length("needed") - length + 1)
+    grams = F.transform(places, lambda at: F.concat(F.lit("*"), F.substring(F.col("needed"), at, length)))
+    own = (
+        F.when(kind == "exact", F.array(F.concat(F.lit("="), pattern)))
+        .when(F.length("needed") == 0, F.array().cast("array<string>"))
+        .when(kind == "startswith", F.array(F.concat(F.lit("^"), F.substring(pattern, F.lit(1), sized(F.length(pattern))))))
+        .otherwise(grams)
+    )
+    offered = stored(part.withColumn("place", F.monotonically_increasing_id()).withColumn("offers", own), "rule-parts")
+    offer = offered.select("place", F.posexplode("offers").alias("nth", "offer"))
+    sizes = [r[0] for r in offer.filter("offer LIKE '*%'").select((F.length("offer") - 1).alias("size")).distinct().collect()]
+    sample = texts.orderBy(F.xxhash64("_text"), "_text").limit(SAMPLE_TEXTS)
+    seen = sample.select(F.explode(F.concat(F.array().cast("array<string>"), *(_grams(F.col("_text"), n) for n in sizes))).alias("gram"))
+    wanted = offer.select(F.col("offer").alias("wanted")).distinct()
+    counts = seen.join(wanted, F.col("gram") == F.col("wanted"), "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    rarest = (
+        offer.join(counts, F.col("offer") == F.col("gram"), "left")
+        .groupBy(F.col("place").alias("of"))
+        .agg(F.min(F.struct(F.coalesce("times", F.lit(0)), "nth", "offer")).alias("best"))
+        .select("of", F.col("best.offer").alias("rule_key"))
+    )
+    chosen = offered.join(rarest, F.col("place") == F.col("of"), "left").select(*held, "rule_key")
+    return stored(chosen, "rule-keys")
+
+
+def key_bitmap(keyed: DataFrame, count: int) -> tuple[int, str]:
+    """(bits, words) of a bitmap of the hashes of ``count`` keys: at most MOST_BITS whatever the number of rules."""
+    bits = 1 << 10
+    while bits < min(KEY_BITS * count, MOST_BITS):
+        bits *= 2
+    words = keyed.filter("rule_key IS NOT NULL").select(_bit(F.col("rule_key"), bits).alias("at"))
+    words = words.selectExpr("at >> 5 AS word", "1L << (at & 31) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = {r["word"]: r["bits"] for r in words.collect()}
+    return bits, ",".join(str(found.get(w, 0)) for w in range(bits >> 5))
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(bits - 1)).cast("int")
+
+
+def key_shapes(keyed: DataFrame) -> dict[tuple[str | None, int | None], int]:
+    """Keys by kind (exact, start, part; None for rules without one) and length: at most ``2 * key_chars + 2`` entries."""
+    kind = F.substring("rule_key", 1, 1)
+    size = F.when(kind != "=", F.length("rule_key") - 1)
+    rows = keyed.groupBy(kind.alias("kind"), size.alias("size")).agg(F.count(F.lit(1)).alias("rules")).collect()
+    return {(r["kind"], r["size"]): r["rules"] for r in rows}
+
+
+def text_keys(text: Column, keyed: DataFrame, shapes: dict[tuple[str | None, int | None], int]) -> Column:
+    """The parts of a text that are keys of rules, by the bitmap: the text, its starts and its parts of the keys' lengths."""
+    bits, words = key_bitmap(keyed, sum(n for (kind, _), n in shapes.items() if kind))
+    bitmap = F.split(F.lit(words), ",").cast("array<bigint>")
+    keys = [F.array().cast("array<string>")]
+    for kind, size in sorted((k, n or 0) for k, n in shapes if k):
+        if kind == "*":
+            keys.append(_grams(text, size))
+        else:
+            keys.append(F.array(F.concat(F.lit(kind), text if kind == "=" else F.substring(text, 1, size))))
+
+    def is_key(key: Column) -> Column:
+        word = F.get(bitmap, F.shiftright(_bit(key, bits), 5))
+        return F.getbit(word, _bit(key, bits).bitwiseAND(F.lit(31))) == 1
+
+    return F.array_distinct(F.filter(F.concat(*keys), is_key))
+
+
+def _by_keys(texts: DataFrame, keyed: DataFrame, shapes: dict[tuple[str | None, int | None], int]) -> DataFrame:
+    """(_text, hit): the best rule with a key of each text that has one, whatever the number of rules."""
+    text, kind, pattern = F.col("_text"), F.col("match_type"), F.col("pattern")
+    listed = texts.select("_text", F.explode(text_keys(text, keyed, shapes)).alias("text_key"))
+    rules = keyed.filter("rule_key IS NOT NULL").select("rule_key", "match_type", "pattern", "hit")
     holds = (
         F.when(kind == "contains", text.contains(pattern))
         .when(kind == "startswith", text.startswith(pattern))
+        .when(kind == "regex", F.rlike(text, pattern))
         .otherwise(text == pattern)
     )
-    met = listed.join(keyed, F.col("text_key") == F.col("rule_key")).filter(holds)
+    met = listed.join(rules, F.col("text_key") == F.col("rule_key")).filter(holds)
     return met.groupBy("_text").agg(F.min("hit").alias("hit"))
 
 
 def _user_hits(texts: DataFrame, rules: DataFrame, children: DataFrame, key_chars: int) -> DataFrame:
     """(_text, user_category, rule_id) of all texts."""
-    spark, lower = rules.sparkSession, _lower_rules(rules, children)
-    regex = [r for r in _regex_rules(lower) if not _usable(spark, r["pattern"])]
-    words = _by_words(texts, lower, key_chars).withColumnRenamed("_text", "_word_text")
+    keyed = keyed_rules(_lower_rules(rules, children), texts, key_chars)
+    shapes = key_shapes(keyed)
+    rows: list[Row] = []
+    if bare := shapes.get((None, None), 0):
+        if bare > MOST_LISTED:
+            raise ValueError(f"{bare} rules whose matches need hold no text; at most {MOST_LISTED} can be listed")
+        order = [F.col("priority").desc(), F.col("use_count").desc(), "id"]
+        anything = F.when(F.col("match_type") == "regex", F.col("pattern")).otherwise("")
+        rows = keyed.filter("rule_key IS NULL").withColumn("pattern", anything).orderBy(*order).collect()
+    words = _by_keys(texts, keyed, shapes).withColumnRenamed("_text", "_word_text")
     joined = texts.join(words, F.col("_text") == F.col("_word_text"), "left")
-    best = F.least(F.col("hit").cast(_HIT), _by_regex(F.col("_text"), regex))
+    best = F.least(F.col("hit").cast(_HIT), _listed(F.col("_text"), rows))
     return joined.withColumn("_best", best).select(
         "_text", F.col("_best.category").alias("user_category"), F.col("_best.rank.i").alias("rule_id")
     )
@@ -194,15 +276,16 @@ def match_builtin(df: DataFrame, description: str = "description") -> DataFrame:
     return _with_low(df, description).withColumn("builtin_category", builtin_category(F.col(_LOW))).drop(_LOW)
 
 
-def _matched(df: DataFrame, low: Column, rules: DataFrame, children: DataFrame) -> DataFrame:
+def _matched(df: DataFrame, low: Column, rules: DataFrame, children: DataFrame, always: bool = False) -> DataFrame:
     """Adds user_category, rule_id and builtin_category for the lower-case text ``low``; none where it is NULL.
 
-    Each distinct text is matched once, built-in patterns only where no user rule hits,
+    Each distinct text is matched once, built-in patterns only where no user rule hits or with ``always``,
     and the result is joined back. Texts repeat far more often than they differ.
     """
     keyed = df.withColumn(_LOW, low)
     hits = _user_hits(_texts(keyed), rules, children, KEY_CHARS)
-    found = hits.withColumn("builtin_category", F.when(F.col("rule_id").isNull(), builtin_category(F.col("_text"))))
+    builtin = builtin_category(F.col("_text"))
+    found = hits.withColumn("builtin_category", builtin if always else F.when(F.col("rule_id").isNull(), builtin))
     return keyed.join(found, F.col(_LOW) == F.col("_text"), "left").drop(_LOW, "_text")
 
 
@@ -247,7 +330,7 @@ def categorise_batch(df: DataFrame, rules: DataFrame, children: DataFrame, descr
 
 def suggest(df: DataFrame, rules: DataFrame, children: DataFrame, description: str = "description") -> DataFrame:
     """Adds suggestions: ARRAY<STRUCT<category, confidence>>, best first, at most three."""
-    matched = match_builtin(match_user_rules(df, rules, children, description), description)
+    matched = _matched(df, F.lower(F.coalesce(F.col(description), F.lit(""))), rules, children, always=True)
     user, builtin = F.col("user_category"), F.col("builtin_category")
 
     def entry(name: Column, confidence: float) -> Column:

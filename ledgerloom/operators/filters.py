@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import UNCATEGORIZED, no_tags
-from ledgerloom.operators.numbering import row_index
 
 # Fixed values.
 PAGE_SIZE = 25
 NOT_INCOME_OR_EXPENSE = ("Transfer", "Credit Card Payment")
 
-# Rows that a top-k may hold per task; deeper pages go through row_index.
-TOP_K_ROWS = 100_000
+# A page's part of the rows is narrowed until it has so many at most, each time into so many ranges.
+SORT_ROWS = 20_000
+RANGES = 64
 
 
 def _lit(value: Column | dt.date) -> Column:
@@ -105,22 +105,68 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = ()
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
-def _reversed(order: Sequence[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).asc() if desc else F.col(c).desc() for c, desc in order]
+def _place(df: DataFrame, column: str) -> Column:
+    """A number that never falls along the column's order; for texts, from their first bytes."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind in ("string", "binary"):
+        start = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(start, 16, 10).cast("double")
+    return F.col(column).cast("double")
+
+
+def _range_number(place: Column, bounds: Sequence[float], first: int = 0) -> Column:
+    """How many of the rising bounds lie below the place; NULL where there is none."""
+    if not bounds:
+        return F.when(place.isNotNull(), F.lit(first))
+    mid = len(bounds) // 2
+    return F.when(place <= bounds[mid], _range_number(place, bounds[:mid], first)).otherwise(
+        _range_number(place, bounds[mid + 1 :], first + mid + 1)
+    )
+
+
+def _parts_of_page(
+    df: DataFrame, keys: Sequence[tuple[str, bool]], where: Column, skip: int, take: int, rows: int, sort_rows: int
+) -> list[tuple[Column, int, int]]:
+    """(condition, rows to skip, rows to take) of the parts of the sorted rows that hold a page, each of ``sort_rows`` rows at most.
+
+    One aggregate finds ranges of the first key with like numbers of rows, and one counts them; of the
+    few that hold the page each is narrowed further, by the next key where it is a single value.
+    """
+    if rows <= sort_rows or not keys:
+        return [(where, skip, take)]
+    column, descending = keys[0]
+    part, place = df.filter(where), _place(df, column)
+    shares = [n / RANGES for n in range(RANGES)]
+    found = part.agg(F.percentile_approx(place, shares, 1000).alias("bounds")).first()["bounds"]
+    number = _range_number(place, sorted(set(found or [])))
+    counts = part.groupBy(number.alias("number")).agg(F.count(F.lit(1)).alias("rows"), F.min(column).alias("low"), F.max(column).alias("high"))
+    ranges = counts.collect()  # RANGES + 1 rows at most
+    if len(ranges) == 1 and ranges[0]["low"] != ranges[0]["high"]:
+        return [(where, skip, take)]
+    # an ascending order has NULL first, a descending one last
+    ranges.sort(key=lambda r: -1 if r["number"] is None else r["number"], reverse=descending)
+    parts, before = [], 0
+    for r in ranges:
+        begin, end = max(skip, before), min(skip + take, before + r["rows"])
+        if begin < end:
+            single = r["low"] == r["high"]
+            inside = F.col(column).isNull() if r["low"] is None else F.col(column).between(F.lit(r["low"]), F.lit(r["high"]))
+            parts += _parts_of_page(df, keys[1:] if single else keys, where & inside, begin - before, end - begin, r["rows"], sort_rows)
+        before += r["rows"]
+    return parts
 
 
 def page(
-    df: DataFrame,
-    number: int,
-    size: int = PAGE_SIZE,
-    key: str = "date",
-    descending: bool = True,
-    top_k_rows: int = TOP_K_ROWS,
+    df: DataFrame, number: int, size: int = PAGE_SIZE, key: str = "date", descending: bool = True, sort_rows: int = SORT_ROWS
 ) -> DataFrame:
     """Page ``number`` (from 1, capped at the last page) of the sorted rows.
 
-    A page near either end is a top-k. A page deep in the middle would make every
-    task keep all rows above it, so there the rows are numbered by one range sort.
+    The ranges of the sort keys that hold the page are found by counting, and only their rows are sorted,
+    wherever the page lies and however often a key repeats.
     """
     total = df.count()
     pages = max(1, -(-total // size))
@@ -128,10 +174,11 @@ def page(
     take = min(size, total - skip)
     keys = [(key, descending), ("id", True)] if key == "date" else [(key, descending), ("date", True), ("id", True)]
     order = sort_order(key, descending)
-    if skip + size <= top_k_rows:
-        return df.orderBy(*order).offset(skip).limit(size)
-    behind = total - skip - take
-    if behind + take <= top_k_rows:
-        return df.orderBy(*_reversed(keys)).offset(behind).limit(take).orderBy(*order)
-    numbered = row_index(df, order, "_at_row")
-    return numbered.filter(F.col("_at_row").between(skip, skip + take - 1)).drop("_at_row").orderBy(*order)
+    parts = [
+        df.filter(where).orderBy(*order).offset(before).limit(rows)
+        for where, before, rows in _parts_of_page(df, keys, F.lit(True), skip, take, total, sort_rows)
+    ]
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionAll(other)
+    return out.orderBy(*order)

@@ -128,7 +128,14 @@ def recent_transactions(
 def transfers(
     txns: DataFrame, accounts: DataFrame, start: Column | dt.date | None = None, end: Column | dt.date | None = None
 ) -> DataFrame:
-    """Transfer rows with the names of both accounts and the destination's type."""
+    """Transfer rows with the names of both accounts and the destination's type, newest first."""
+    return transfer_rows(txns, accounts, start, end).orderBy(F.col("date").desc(), F.col("id").desc())
+
+
+def transfer_rows(
+    txns: DataFrame, accounts: DataFrame, start: Column | dt.date | None = None, end: Column | dt.date | None = None
+) -> DataFrame:
+    """The rows of ``transfers`` in no order."""
     source = accounts.select(F.col("id").alias("account_id"), F.col("name").alias("from_account"))
     target = accounts.select(
         F.col("id").alias("transfer_to_account_id"), F.col("name").alias("to_account"), F.col("type").alias("to_type")
@@ -171,10 +178,15 @@ def unresolved_categories(df: DataFrame, children: DataFrame) -> DataFrame:
     return used.filter(F.col("category").isNotNull()).join(category_ids(children), "category", "left_anti")
 
 
+def named_rules(rules: DataFrame, children: DataFrame) -> DataFrame:
+    """Rules with category names, in no order."""
+    child = children.select(F.col("id").alias("child_category_id"), F.col("name").alias("category"))
+    return rules.join(child, "child_category_id").withColumn("use_count", F.coalesce("use_count", F.lit(0)))
+
+
 def rules_view(rules: DataFrame, children: DataFrame) -> DataFrame:
     """Rules with category names in matching order."""
-    child = children.select(F.col("id").alias("child_category_id"), F.col("name").alias("category"))
-    view = rules.join(child, "child_category_id").withColumn("use_count", F.coalesce("use_count", F.lit(0)))
+    view = named_rules(rules, children)
     return view.orderBy(F.col("priority").desc(), F.col("use_count").desc(), "id")
 
 

@@ -12,7 +12,7 @@ from ledgerloom.functions.dates import month_start, previous_month
 from ledgerloom.functions.money import MONEY, money_out, ratio_pct
 from ledgerloom.functions.text import clip
 from ledgerloom.operators.numbering import assign_ids
-from ledgerloom.operators.views import category_ids, transfers
+from ledgerloom.operators.views import category_ids, transfer_rows
 from ledgerloom.plans.reports import category_totals
 
 Month = str | dt.date
@@ -258,7 +258,7 @@ def investment_transfers(
     txns: DataFrame, accounts: DataFrame, start: Column | dt.date, end: Column | dt.date
 ) -> DataFrame:
     """Transfers into an investment account or with an investment category."""
-    rows = transfers(txns, accounts, start, end)
+    rows = transfer_rows(txns, accounts, start, end)
     wanted = (F.coalesce("to_type", F.lit("")) == "investment") | (F.coalesce("inv_category", F.lit("")) != "")
     return rows.filter(wanted).select(
         "id",

@@ -81,6 +81,27 @@ def _file_accounts(held: DataFrame, columns: list[str], institution: str, given:
     return joined.withColumn("account_label", label).select(found.columns)
 
 
+def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: DataFrame) -> DataFrame:
+    """All rows but those without a date cell, with account, fingerprint and ``reason``, NULL for rows that fit; rejects keep their cells."""
+    dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
+    readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file")))
+    fits, broken = check_constraints(
+        resolve_category(readable, children), ["account_id", "date", "description", "amount"],
+        {"account_id": accounts.select("id"), "child_category_id": children.select("id")},
+    )
+    told = "CAST(NULL AS STRING) AS reason"
+    columns = [*LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"]
+    good = fits.selectExpr(*columns, told, f"CAST(NULL AS ARRAY<STRING>) AS {CELLS}")
+    bad = [
+        unreadable.withColumn("reason", F.lit("unreadable date or amount")),
+        broken,
+        every.filter(F.col(BAD).isNotNull())
+        .withColumn("reason", F.lit("more or fewer cells than the header")).withColumn(CELLS, F.array(BAD)),
+    ]
+    out = union_all([good, *[df.select(*LINEAGE, "reason", CELLS) for df in bad]])
+    return out.withColumn("amount", F.col("amount").cast(MONEY))
+
+
 def import_frames(
     frames: Sequence[tuple[DataFrame, str]], ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame,
     given: DataFrame | None = None,
@@ -88,7 +109,8 @@ def import_frames(
     """(statement rows, institution) pairs to new ledger rows.
 
     Each file is parsed once: the normalised rows are written with all their cells, and
-    accounts, counts, duplicates and rejects are taken from that table. Duplicates are
+    accounts are taken from that table. Each row is judged once, and written with its fingerprint and the
+    reason why it is rejected; months, counts, duplicates and rejects are scans of that. Duplicates are
     dropped before categories are looked for, so a file that comes again costs no
     matching. ``given`` has the account_name and account_number (or NULL) of files
     (source_file) for which they are not to be found out. Rejects hold all cells of
@@ -98,25 +120,11 @@ def import_frames(
     files = stored(union_all([_file_accounts(held, columns, name, given) for held, columns, name in parsed]), "files")
     account_table, ids = link_accounts(files, accounts)
     every = union_all([held for held, _, _ in parsed])
-    malformed = every.filter(F.col(BAD).isNotNull())
-    dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
-    readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file")))
-    named_children = resolve_category(readable, children)
-    fits, broken = check_constraints(
-        named_children, ["account_id", "date", "description", "amount"],
-        {"account_id": account_table.select("id"), "child_category_id": children.select("id")},
-    )
-    batch = fits.select(
-        *LINEAGE, "account_id", "date", "description", "original_desc", F.col("amount").cast(MONEY).alias("amount"),
-        "category", "memo", "currency", "hash",
-    )
-    rejected = union_all(
-        [
-            unreadable.select(*LINEAGE, F.lit("unreadable date or amount").alias("reason"), CELLS),
-            broken.select(*LINEAGE, "reason", CELLS),
-            malformed.select(*LINEAGE, F.lit("more or fewer cells than the header").alias("reason"), F.array(BAD).alias(CELLS)),
-        ]
+    judged = stored(_judged(every, ids, account_table, children), "judged")
+    batch = judged.filter("reason IS NULL").select(
+        *LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"
     )
+    rejected = judged.filter("reason IS NOT NULL").select(*LINEAGE, "reason", CELLS)
     fresh = new_rows(batch, ledger)
     named = resolve_category(categorise_batch(fresh, rules, children), children)
     added = named.select(
@@ -135,6 +143,8 @@ def import_statements(
 ) -> Imported:
     """Files by institution, whatever their column order; ``given`` as in ``import_frames``."""
     frames = [
-        (df, institution) for institution, paths in sources.items() for df in read_statements(spark, paths).values()
+        (df, institution)
+        for institution, paths in sources.items()
+        for df in read_statements(spark, paths, layout_of(institution).spec).values()
     ]
     return import_frames(frames, ledger, accounts, children, rules, given)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffle partitions, turns small sides into broadcasts at run time and
@@ -27,6 +29,11 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def carried(module: ModuleType) -> None:
+    """Functions of a module of plain helpers travel with the job, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(module)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import carried, stored
+from ledgerloom.sources import firsts
+from ledgerloom.sources.records import joined_records, opens_quotes
+
+carried(firsts)
+
 # Cell texts read as missing.
 MISSING_WORDS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -68,16 +77,36 @@ def scan_statement(spark: SparkSession, paths: str | Sequence[str], columns: Seq
     """All rows of statement files of one layout, with LINEAGE and BAD. Malformed UTF-8 bytes become U+FFFD.
 
     Cells stay STRING (no inference pass), the usual words for a missing cell become
-    NULL. Large files are split across tasks, so a line break inside quotes ends a row;
-    both halves then lack cells and are BAD. Without ``columns`` one header line is read.
+    NULL. Large files are split across tasks. Files in which a quoted cell goes over the end of a line are found by one scan;
+    their records are joined (``joined_records``), all others are parsed straight away. A record that
+    lacks cells or has too many is BAD. Without ``columns`` one header line is read.
     Files whose columns differ in order go through ``read_statements``.
     """
     paths = list(paths) if not isinstance(paths, str) else paths
     if columns is None:
-        first = spark.read.text(paths).first()
-        columns = header_names(first[0] if first else "")
+        first = statement_headers(spark, paths).agg(F.min_by("header", "source_file")).first()
+        columns = header_names((first and first[0]) or "")
     raw = spark.read.options(**CSV_OPTIONS).schema(statement_schema([*columns, BAD])).csv(paths)
-    return with_missing_as_null(with_lineage(with_bad(raw, columns)), columns)
+    rows = with_lineage(with_bad(raw, columns))
+    lines = with_lineage(spark.read.text(paths))
+    open_files = stored(lines.filter(opens_quotes(F.col("value"))).select(F.col("source_file").alias("open_file")).distinct(), "open-files")
+    if not open_files.isEmpty():
+        same = F.col("source_file") == F.col("open_file")
+        records = joined_records(stored(lines.join(open_files, same, "left_semi"), "open-lines"))
+        rows = rows.join(open_files, same, "left_anti").unionAll(_parsed(records, columns).select(rows.columns))
+    return with_missing_as_null(rows, columns)
+
+
+def _parsed(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of whole records, without the first record of each file, which is the header, and without blank ones."""
+    place = F.struct("source_block", "source_row")
+    text = records.filter(F.trim("record") != "")
+    header = text.groupBy(F.col("source_file").alias("header_file")).agg(F.min(place).alias("header_place"))
+    body = text.join(header, F.col("source_file") == F.col("header_file")).filter(place != F.col("header_place"))
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    names = ", ".join("`" + c.replace("`", "``") + "` STRING" for c in [*columns, BAD])
+    cells = F.from_csv("record", names, options)
+    return body.select(*LINEAGE, cells.alias("cells")).select(*LINEAGE, "cells.*")
 
 
 def with_bad(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,25 +126,60 @@ def bad_rows(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[
 
 
 def statement_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(source_file, header line), one row per file.
+    """(source_file, header record), one row per file that isn't empty.
 
-    Only first splits can hold a header, and the minimum is taken map-side, so one
-    short row per file is shuffled.
+    A job over the file list: its tasks open their files and read from the start until the first record is whole, so
+    the bytes read don't grow with the files. Only paths and sizes are listed, no content. Files in a store that pyarrow doesn't
+    reach are read by Spark's text scan instead, of which first splits alone can hold a header.
     """
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
-    first = with_lineage(lines).filter(F.col("source_block") == 0)
-    return first.groupBy("source_file").agg(F.min_by("value", "source_row").alias("header"))
-
-
-def read_statements(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, DataFrame]:
-    """Files of mixed layouts: all their rows, one DataFrame per distinct header line.
-
-    Spark maps CSV columns by position, so files are grouped by header first. The
-    caller normalises each layout and unions the results by name.
+    listed = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths).select(F.col("_metadata.file_path").alias("path"))
+    files = listed.repartition(F.xxhash64("path"))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                try:
+                    store, place = fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(place, compression=None) as stream:
+                        found.append((path, firsts.first_record(iter(lambda s=stream: s.read(firsts.HEADER_BYTES), b""))))
+                except (OSError, ValueError):
+                    found.append((path, None))
+            yield pd.DataFrame(found, columns=["source_file", "header"])
+
+    read_here = stored(files.mapInPandas(read, "source_file string, header string"), "headers")
+    if read_here.filter("header IS NULL").isEmpty():
+        return read_here
+    lines = with_lineage(spark.read.text(list(paths) if not isinstance(paths, str) else paths)).filter(F.col("source_block") == 0)
+    return lines.filter(F.trim("value") != "").groupBy("source_file").agg(F.min_by("value", "source_row").alias("header"))
+
+
+def layout_key(names: Sequence[str], spec: Mapping[str, Named | Holding] | None) -> tuple:
+    """What files that can be read alike share: the names, or with ``spec`` the places of its roles and of account columns."""
+    if spec is None:
+        return tuple(names)
+    places = {c: i for i, c in enumerate(names)}
+    roles = tuple((role, places.get(found)) for role, found in find_roles(names, spec).items())
+    accounts = tuple((i, re.sub("[ _]", "", c.lower())) for i, c in enumerate(names) if "acc" in c.lower() or "card" in c.lower())
+    return len(names), roles, accounts
+
+
+def read_statements(
+    spark: SparkSession, paths: str | Sequence[str], spec: Mapping[str, Named | Holding] | None = None
+) -> dict[str, DataFrame]:
+    """Files of mixed layouts: all their rows, one DataFrame per layout, by a header of it.
+
+    Spark maps CSV columns by position, so files are grouped by what stands where: without ``spec`` by their cleaned column names,
+    with it by the places of its roles. A byte-order mark, blanks, or the case and names of other columns make no
+    group of their own then. The caller normalises each layout and unions the results by name.
     """
-    headers = statement_headers(spark, paths)
-    groups = headers.groupBy("header").agg(F.collect_list("source_file").alias("files"))
-    return {row["header"]: scan_statement(spark, row["files"], header_names(row["header"])) for row in groups.toLocalIterator()}
+    groups: dict[tuple, tuple[str, list[str]]] = {}
+    for row in statement_headers(spark, paths).orderBy("source_file").toLocalIterator():
+        header = row["header"] or ""
+        groups.setdefault(layout_key(header_names(header), spec), (header, []))[1].append(unquote(row["source_file"]))
+    return {header: scan_statement(spark, files, header_names(header)) for header, files in groups.values()}
 
 
 @dataclass(frozen=True)

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom import schemas
 from ledgerloom.functions.money import MONEY
 from ledgerloom.functions.text import tags_json
 from ledgerloom.operators.numbering import assign_ids
+from ledgerloom.session import stored
 
 # The columns of an export, in order.
 EXPORT_COLUMNS = [
     "date", "description", "category", "amount", "currency", "account_name", "memo", "tags", "is_split",
 ]
 
+# The folder of a ledger's high-water marks; scans pass over names that begin like this.
+HIGH_WATER = "_high_water"
+
 TABLES = {
     "parent_categories": schemas.PARENT_CATEGORIES,
     "child_categories": schemas.CHILD_CATEGORIES,
@@ -35,10 +42,61 @@ def write_transactions(df: DataFrame, path: str, mode: str = "append") -> None:
     The rebalance hint lets AQE split a month that holds most rows into files of the
     advisory size and merge the small ones.
     """
-    keyed = df.withColumn("month", F.date_format("date", "yyyy-MM"))
+    keyed = completed(df).withColumn("month", F.date_format("date", "yyyy-MM"))
     keyed.hint("rebalance", F.col("month")).write.mode(mode).partitionBy("month").parquet(path)
 
 
+def completed(df: DataFrame) -> DataFrame:
+    """``df`` with all columns of the fact table; those it lacks are NULL."""
+    schema = StructType.fromDDL(schemas.TRANSACTIONS)
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns})
+
+
+def rewrite_months(spark: SparkSession, path: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Replaces the months of the ledger at ``path`` that hold one of ``ids`` (id) by what ``change`` makes of them.
+
+    One scan of the id column finds the months. Only those partitions are read and
+    overwritten, others keep their files. The new rows are written aside first, as a folder can't be
+    overwritten while it is read. ``change`` keeps rows in their month. One writer at a time.
+    """
+    ledger = spark.read.parquet(path)
+    wanted = ids.select(F.col("id").alias("changed_id")).distinct()
+    found = ledger.select("id", "month").join(wanted, F.col("id") == F.col("changed_id"), "left_semi").select("month").distinct()
+    months = sorted(r["month"] for r in found.collect())
+    if months:
+        part = completed(ledger.filter(F.col("month").isin(months)))
+        changed = stored(change(part), "rewritten")
+        rows = changed.hint("rebalance", F.col("month")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("month").parquet(path)
+    return months
+
+
+def high_water(spark: SparkSession, path: str) -> int:
+    """The highest id that the ledger at ``path`` has given out: from its small table, which a first call makes by one scan."""
+    marks = f"{path}/{HIGH_WATER}"
+    try:
+        return spark.read.schema("high BIGINT").parquet(marks).agg(F.max("high")).first()[0] or 0
+    except AnalysisException:
+        high = spark.read.schema("id BIGINT, month STRING").parquet(path).agg(F.max("id")).first()[0] or 0
+        spark.createDataFrame([(high,)], "high BIGINT").coalesce(1).write.parquet(marks)
+        return high
+
+
+def append_transactions(rows: DataFrame, path: str, keys: Sequence[str] = ("hash",)) -> None:
+    """Appends written rows without ids to the ledger at ``path``; their ids follow its high-water mark.
+
+    The ids are reserved before the rows are written, so an append that fails leaves a gap at most and no id is given twice.
+    One append at a time.
+    """
+    spark = rows.sparkSession
+    high, count = high_water(spark, path), rows.count()
+    if count:
+        marks = spark.createDataFrame([(high + count,)], "high BIGINT").coalesce(1)
+        marks.write.mode("append").parquet(f"{path}/{HIGH_WATER}")
+        start = spark.createDataFrame([(high,)], "high BIGINT")
+        write_transactions(assign_ids(rows, keys, start, digits=4), path)
+
+
 def load_ledger(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Scan of the fact table. The period becomes a partition filter and a file filter."""
     ledger = spark.read.parquet(path)

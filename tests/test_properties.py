@@ -55,7 +55,7 @@ def test_sorted_pages_cover_all_rows(f):
     for limit in (10_000, 60):
         seen = []
         for number in (1, 2, 30, 60):
-            seen.append([r["id"] for r in filters.page(f.txns, number, 25, "amount", False, top_k_rows=limit).collect()])
+            seen.append([r["id"] for r in filters.page(f.txns, number, 25, "amount", False, sort_rows=limit).collect()])
         assert seen == [order[(n - 1) * 25 : n * 25] for n in (1, 2, 30, 60)]
     empty = f.txns.filter("id < 0")
     assert filters.page(empty, 3).count() == 0
