@@ -54,21 +54,24 @@ class Scratch:
         self.root = shared_folder(spark, purpose)
         self._made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """Writes a frame, in a folder for each value of ``by``, and reads it back."""
         self._made += 1
         path = f"{self.root}/{self._made}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
 
     def drop(self, *kept: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.remove(df._scratch_path)
+
+    def remove(self, folder: str) -> None:
+        """Deletes a folder below the shared one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sampled_ids(rows: DataFrame, count: int, seed: str, *more: str) -> DataFrame:

@@ -350,3 +350,52 @@ def test_runs_are_levelled(spark):
         dropped.append(sorted(r.at for r in runs.add(scratch.keep(linededup.lines_of(rows))).collect()))
         assert [len(level) for level in runs.levels] == [int(b) for b in reversed(f"{n + 1:b}")]
     assert dropped == [[], [0, 2], [0], [0, 2], [0]]
+
+
+def line_rows(spark, first, last, words=9):
+    rows = [(i, f"line number {i % words} of all\nonly here {i}\nline number {(i * 7) % words} of all") for i in range(first, last)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.xxhash64("text"))
+
+
+def test_runs_are_merged_without_exchange_or_sort(spark):
+    """Batches and runs meet a run's sorted buckets as they lie."""
+    runs, scratch = linededup.LineRuns(spark, fanout=4, buckets=8), common.Scratch(spark, "test-lines")
+    for n in range(3):
+        runs.add(scratch.keep(linededup.lines_of(line_rows(spark, 40 * n, 40 * n + 40))))
+    names = runs.levels[0]
+    assert len(names) == 3
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with linededup._sorted_buckets(spark):
+            plan = runs.merged(names[:2])._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and plan.count("Bucketed: true") == 2
+            lines = scratch.keep(linededup.lines_of(line_rows(spark, 200, 240)))
+            owned = lines.groupBy("high", "low").agg(F.min("doc_id").alias("owner"))
+            plan = runs.unknown(owned)._jdf.queryExecution().executedPlan().toString()
+            # one exchange, that of the batch's own aggregate, and one sort of what comes out of it
+            assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    runs.close()
+
+
+@pytest.mark.parametrize("buckets", [8, 3])
+def test_another_session_adds_a_batch(spark, buckets):
+    """Batches added through the manifest drop the lines that one go over all of them drops."""
+    scratch, path, dropped = common.Scratch(spark, "test-lines"), None, []
+    for n in range(5):
+        runs = linededup.LineRuns.open(spark, path) if path else linededup.LineRuns(spark, fanout=2, buckets=buckets)
+        path = runs.path
+        drops = runs.add(scratch.keep(linededup.lines_of(line_rows(spark, 30 * n, 30 * n + 30))))
+        dropped += [(r.doc_id, r.at) for r in drops.collect()]
+    assert [len(level) for level in runs.levels] == [1, 0, 1] and runs.buckets == buckets
+    owners, want = {}, []
+    rows = [(r.doc_id, r.text.split("\n")) for r in line_rows(spark, 0, 150).collect()]
+    for i, lines in rows:
+        for line in lines:
+            owners[line] = min(i, owners.get(line, i))
+    want = [(i, at) for i, lines in rows for at, line in enumerate(lines) if owners[line] != i]
+    assert sorted(dropped) == sorted(want)
+    hashes = runs.run(runs.levels[2][0]).unionAll(runs.run(runs.levels[0][0]))
+    assert hashes.count() == hashes.select("high", "low").distinct().count() == len(owners)
