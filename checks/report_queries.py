@@ -7,6 +7,7 @@ from checks.registry import check
 from ledgerloom.functions.money import money_out
 from ledgerloom.operators import filters, views
 from ledgerloom.plans import reports
+from ledgerloom.sources.seeds import CATEGORY_TREE
 
 CATEGORY = "n.category, n.parent_category"
 JOINED = "f_transactions t JOIN f_names n ON t.child_category_id = n.child_category_id"
@@ -225,6 +226,36 @@ def _(f):
     return reports.tax_report(*args(f), START, END, words=["nation_1", "_7"])
 
 
+# Child names from the default tree, so that the default words meet names they were made for.
+DEFAULT_NAMES = [name for names in CATEGORY_TREE.values() for name in names]
+DEFAULT_NAMES = sorted(dict.fromkeys(DEFAULT_NAMES), key=lambda n: not any(w in n.lower() for w in reports.TAX_WORDS))[:25][::-1]
+NAMED = f"([{', '.join(chr(39) + n.replace(chr(39), chr(39) * 2) + chr(39) for n in DEFAULT_NAMES)}])[CAST(substr(category, 8) AS INTEGER) + 1]"
+DEFAULT_LIKE = " OR ".join(f"contains(lower(category), '{w}')" for w in reports.TAX_WORDS)
+DEFAULT_SPENT = f"SELECT * FROM (SELECT {NAMED} AS category, parent_category, total FROM ({SPENT})) WHERE {DEFAULT_LIKE}"
+
+
+def named_children(f):
+    names = F.array(*[F.lit(n) for n in DEFAULT_NAMES])
+    return f.children.withColumn("name", F.element_at(names, (F.col("id") + 1).cast("int")))
+
+
+@check(
+    "tax_report_default_words",
+    f"SELECT category, parent_category, CAST(total AS DOUBLE) AS total, CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE) * 100 AS share FROM ({DEFAULT_SPENT})",
+)
+def _(f):
+    return reports.tax_report(f.txns, named_children(f), f.parents, START, END)
+
+
+@check(
+    "tax_totals_default_words",
+    f"""WITH i AS (SELECT sum(total) AS i FROM ({EARNED})), x AS (SELECT sum(total) AS x FROM ({DEFAULT_SPENT}))
+    SELECT CAST(i AS DOUBLE) AS income_total, CAST(x AS DOUBLE) AS tax_total, CAST(x AS DOUBLE) / CAST(i AS DOUBLE) * 100 AS deductible_rate FROM i, x""",
+)
+def _(f):
+    return reports.tax_totals(f.txns, named_children(f), f.parents, START, END)
+
+
 @check(
     "tax_totals",
     f"""WITH i AS (SELECT sum(total) AS i FROM ({EARNED})), x AS (SELECT sum(total) AS x FROM ({SPENT}) WHERE {TAX_LIKE})

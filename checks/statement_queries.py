@@ -11,10 +11,11 @@ from ledgerloom.operators import normalise
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.plans import imports
 from ledgerloom.session import shared_folder
-from ledgerloom.sources import statements, tables
+from ledgerloom.sources import seeds, statements, tables
 from ledgerloom.streaming.imports import import_stream
 
 KEY = "l_orderkey, l_linenumber"
+SEEDED = [(p, c, *look) for p, names in seeds.CATEGORY_TREE.items() for c, look in zip(names, seeds.CHILD_LOOKS[p], strict=True)]
 WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -198,6 +199,22 @@ def _(f):
     return children.select("id", "parent_id", "name", "is_income").unionByName(top)
 
 
+@check(
+    "seed_looks",
+    """SELECT t.id, c.child, c.look FROM f_transactions t JOIN (VALUES """
+    + ", ".join(f"({n}, '{parent} > {child}', '{color} {icon}')" for n, (parent, child, color, icon) in enumerate(SEEDED))
+    + f") c(n, child, look) ON c.n = t.id % {len(SEEDED)}",
+)
+def _(f):
+    # every transaction under one of the default children, shown with its look
+    parents, children = tables.seed_categories(seeds.default_parents(f.spark), seeds.default_children(f.spark))
+    order = f.spark.createDataFrame([(n, *row[:2]) for n, row in enumerate(SEEDED)], "n INT, parent STRING, name STRING")
+    owners = parents.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    placed = children.join(owners, "parent_id").join(order, ["parent", "name"])
+    rows = f.txns.select("id", (F.col("id") % len(SEEDED)).alias("n")).join(placed.drop("id"), "n")
+    return rows.select("id", F.concat_ws(" > ", "parent", "name").alias("child"), F.concat_ws(" ", "color", "icon").alias("look"))
+
+
 @check(
     "seed_budgets",
     f"""SELECT row_number() OVER (ORDER BY {SEED_ORDER.format(keys='parent_category, category')}) AS id, child_category_id,

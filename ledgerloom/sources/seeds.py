@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Colour and icon of the default parents. Children have none of their own and get the view's defaults.
+# Colour and icon of the default parents.
 PARENT_LOOKS = {
     "Income": ("#22c55e", "💵"), "Housing": ("#3b82f6", "🏠"), "Utilities": ("#0ea5e9", "💡"),
     "Food & Dining": ("#f59e0b", "🍽️"), "Transportation": ("#8b5cf6", "🚗"), "Health & Medical": ("#ef4444", "🏥"),
@@ -73,6 +73,78 @@ CATEGORY_TREE = {
     ],
     "Uncategorized": ["Uncategorized", "Uncategorized Item"],
 }
+
+# Colour and icon of each default child, in the order of the tree.
+CHILD_LOOKS = {
+    "Income": [
+        ("#15803d", "💰"), ("#1a9850", "💼"), ("#14532d", "🏆"), ("#22c55e", "💻"), ("#4ade80", "💹"), ("#16a34a", "🏦"), ("#15803d", "📊"),
+        ("#166534", "🏠"), ("#34d399", "🇨🇦"), ("#10b981", "🤝"), ("#059669", "👶"), ("#047857", "📋"), ("#6b7280", "💰"), ("#22c55e", "💵"),
+    ],
+    "Housing": [
+        ("#2563eb", "🏦"), ("#60a5fa", "🔑"), ("#3b82f6", "🏛️"), ("#2563eb", "🛡️"), ("#1d4ed8", "🏢"), ("#1e40af", "🔧"), ("#bfdbfe", "🛋️"),
+    ],
+    "Utilities": [
+        ("#0284c7", "⚡"), ("#0369a1", "🔥"), ("#075985", "💧"), ("#0c4a6e", "🌐"), ("#082f49", "📡"),
+    ],
+    "Food & Dining": [
+        ("#d97706", "🛒"), ("#b45309", "🍴"), ("#92400e", "🍔"), ("#78350f", "☕"), ("#c2410c", "🍷"), ("#f97316", "🛵"), ("#b45309", "🍽️"),
+    ],
+    "Transportation": [
+        ("#7c3aed", "⛽"), ("#6d28d9", "🛡️"), ("#5b21b6", "🚘"), ("#4c1d95", "🔩"), ("#a855f7", "🅿️"), ("#c084fc", "🛣️"), ("#d8b4fe", "🚌"),
+        ("#e9d5ff", "🚕"), ("#7c3aed", "🚗"), ("#9333ea", "🚿"), ("#6d28d9", "🔧"),
+    ],
+    "Health & Medical": [
+        ("#dc2626", "👨‍⚕️"), ("#b91c1c", "🦷"), ("#991b1b", "👓"), ("#7f1d1d", "💊"), ("#fca5a5", "🧠"), ("#f87171", "🦴"), ("#b91c1c", "🛡️"),
+        ("#991b1b", "🏋️"),
+    ],
+    "Personal Care": [
+        ("#8b5cf6", "💇"), ("#7c3aed", "💆"), ("#6d28d9", "💄"), ("#5b21b6", "👕"),
+    ],
+    "Shopping": [
+        ("#db2777", "📦"), ("#be185d", "📱"), ("#f9a8d4", "🏡"), ("#f472b6", "🏬"), ("#ec4899", "🖥️"), ("#db2777", "🏪"), ("#ec4899", "🛍️"),
+    ],
+    "Entertainment": [
+        ("#0891b2", "📺"), ("#0e7490", "🎥"), ("#155e75", "🎤"), ("#67e8f9", "📚"), ("#22d3ee", "🎯"), ("#06b6d4", "🎮"), ("#06b6d4", "🎬"),
+    ],
+    "Travel": [
+        ("#0f766e", "🛫"), ("#0d9488", "🏨"), ("#115e59", "🛡️"), ("#134e4a", "🚙"),
+    ],
+    "Education": [
+        ("#f59e0b", "🎓"), ("#b45309", "📝"), ("#92400e", "💻"), ("#78350f", "📖"), ("#f59e0b", "📚"),
+    ],
+    "Children & Family": [
+        ("#f97316", "🧒"), ("#ea580c", "🍼"), ("#c2410c", "⚽"), ("#9a3412", "🧸"), ("#fb923c", "👧"),
+    ],
+    "Pets": [
+        ("#65a30d", "🦴"), ("#4d7c0f", "🐶"), ("#3f6212", "🛡️"), ("#365314", "✂️"),
+    ],
+    "Gifts & Donations": [
+        ("#ef4444", "🎀"), ("#dc2626", "❤️"), ("#b91c1c", "⛪"), ("#ef4444", "🎁"),
+    ],
+    "Subscriptions": [
+        ("#6d28d9", "📺"), ("#5b21b6", "🎵"), ("#4c1d95", "💻"), ("#3b0764", "📰"), ("#7c3aed", "🎮"),
+    ],
+    "Cell Phone": [
+        ("#0369a1", "📡"), ("#075985", "📱"),
+    ],
+    "Financial": [
+        ("#475569", "💳"), ("#334155", "🏦"), ("#1e293b", "📊"), ("#94a3b8", "↔️"), ("#64748b", "💰"), ("#94a3b8", "📄"), ("#475569", "💸"),
+        ("#64748b", "⚖️"), ("#94a3b8", "💵"),
+    ],
+    "Investments": [
+        ("#059669", "🏦"), ("#047857", "💹"), ("#065f46", "🎓"), ("#22c55e", "📈"), ("#16a34a", "💹"), ("#15803d", "📉"), ("#166534", "₿"),
+        ("#14532d", "🔒"), ("#166534", "🏦"), ("#16a34a", "🤖"),
+    ],
+    "Taxes": [
+        ("#b91c1c", "🇨🇦"), ("#991b1b", "🏛️"), ("#ef4444", "📋"), ("#dc2626", "💰"), ("#dc2626", "🏛️"),
+    ],
+    "Business Expenses": [
+        ("#57534e", "🖊️"), ("#44403c", "✈️"), ("#292524", "🍽️"), ("#57534e", "⚖️"), ("#78716c", "🛡️"),
+    ],
+    "Uncategorized": [
+        ("#6b7280", "❓"), ("#6b7280", "❓"),
+    ],
+}
 INCOME_PARENTS = ["Income"]
 
 # Default monthly budgets, parent -> child -> amount.
@@ -110,9 +182,11 @@ def default_parents(spark: SparkSession) -> DataFrame:
 
 def default_children(spark: SparkSession) -> DataFrame:
     rows = [
-        (parent, child, int(parent in INCOME_PARENTS)) for parent, names in CATEGORY_TREE.items() for child in names
+        (parent, child, int(parent in INCOME_PARENTS), *look)
+        for parent, names in CATEGORY_TREE.items()
+        for child, look in zip(names, CHILD_LOOKS[parent], strict=True)
     ]
-    return spark.createDataFrame(rows, "parent STRING, name STRING, is_income INT")
+    return spark.createDataFrame(rows, "parent STRING, name STRING, is_income INT, color STRING, icon STRING")
 
 
 def default_budgets(spark: SparkSession) -> DataFrame:
