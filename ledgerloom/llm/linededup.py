@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import BLANKS, Scratch, stringed
-from ledgerloom.session import shared_folder
+from ledgerloom.session import settings, shared_folder
 
 LEAST_CHARS = 10
 FANOUT = 2
@@ -119,10 +118,8 @@ class LineRuns:
 
         A null doc_id owns a hash only if no other document of the batch holds it.
         """
-        with _sorted_buckets(self.spark):
+        with sorted_buckets(self.spark, self.buckets):
             owned = lines.groupBy("high", "low").agg(F.min("doc_id").alias("owner"))
-            if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
-                owned = owned.repartition(self.buckets, "high", "low")
             fresh = self._write(self.unknown(owned))
             mine = self.run(fresh).select(F.col("high").alias("run_high"), F.col("low").alias("run_low"), "owner")
             same = (
@@ -163,16 +160,9 @@ class LineRuns:
         self.levels = []
 
 
-@contextmanager
-def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """Lets scans of one sorted file a bucket say that they are sorted."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def sorted_buckets(spark: SparkSession, buckets: int) -> AbstractContextManager[None]:
+    """Shuffles into as many partitions as there are buckets, and lets scans of one sorted file a bucket say that they are sorted."""
+    return settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__shuffle__partitions=str(buckets))
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -367,7 +367,7 @@ def test_runs_are_merged_without_exchange_or_sort(spark):
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        with linededup._sorted_buckets(spark):
+        with linededup.sorted_buckets(spark, 8):
             plan = runs.merged(names[:2])._jdf.queryExecution().executedPlan().toString()
             assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan and plan.count("Bucketed: true") == 2
             lines = scratch.keep(linededup.lines_of(line_rows(spark, 200, 240)))
