@@ -7,11 +7,14 @@ import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import filters
 from ledgerloom.plans import jobs
 from ledgerloom.schemas import CHILD_CATEGORIES, SPLITS
+from ledgerloom.session import settings
 from ledgerloom.sources import tables
+from ledgerloom.sources.ledger import Ledger
 
 
 @pytest.fixture
@@ -93,3 +96,28 @@ def test_a_page_sorts_few_rows(spark):
     df = spark.range(100_000).selectExpr("id", "DATE '2000-01-01' + CAST(id % 5000 AS INT) AS date")
     parts = filters._parts_of_page(df, [("date", True), ("id", True)], filters.F.lit(True), 50_000, 25, 100_000, 500)
     assert sum(df.filter(where).count() for where, _, _ in parts) <= 1000
+
+
+@pytest.mark.parametrize("buckets", [None, 5])
+def test_batches_meet_the_ledger_as_it_lies(spark, tmp_path, buckets):
+    """No exchange and no scan of other months on the ledger's side; ids go on in another session."""
+    path = str(tmp_path / "ledger")
+    ledger = Ledger.create(spark, path, buckets)
+
+    def batch(first, last):
+        rows = [(dt.date(2025, 1 + n % 4, 1), f"row {n}", f"hash {n % 148}", Decimal(n)) for n in range(first, last)]
+        return spark.createDataFrame(rows, "date DATE, description STRING, hash STRING, amount DECIMAL(18,2)").withColumn("source_row", F.col("amount"))
+
+    assert ledger.append(ledger.new_rows(batch(0, 100)).drop("source_row")) == 100
+    ledger = Ledger.open(spark, path)
+    some = batch(80, 200).filter("date = DATE '2025-02-01'")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions=str(ledger.buckets)):
+        plan = ledger.unknown(some)._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("FileScan parquet") :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in side
+    assert "Bucketed: true" in side and re.search(r"PartitionFilters: [^]]*month[^]]*2025-02", side) and "2025-03" not in side
+    assert sorted(r["hash"] for r in ledger.new_rows(some).collect()) == sorted({f"hash {n}" for n in range(100, 148) if n % 4 == 1})
+    assert ledger.append(ledger.new_rows(batch(80, 260)).drop("source_row")) == 48
+    rows = tables.load_ledger(spark, path).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1, 149)) and len({r["hash"] for r in rows}) == 148
+    assert ledger.append(ledger.new_rows(batch(0, 260)).drop("source_row")) == 0
