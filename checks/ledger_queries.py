@@ -368,7 +368,39 @@ def _(f):
        WHERE NOT list_contains(CAST(CAST(s.tags AS JSON) AS VARCHAR[]), k.tag) GROUP BY s.tags""",
 )
 def _(f):
-    return views.unused_tags(f.txns).select("tags", text_of(F.col("unused")).alias("unused"))
+    return views.unused_tags(f.txns, f.txns).select("tags", text_of(F.col("unused")).alias("unused"))
+
+
+# Households whose tags differ: the account's number, and each has tags of a month of its own.
+HOUSE_TAGS = """SELECT account_id % 7 AS household, date, CASE WHEN tags IS NOT NULL AND month(date) % 7 <= account_id % 7
+    THEN concat('["m', CAST(month(date) AS VARCHAR), '",', substr(tags, 2)) ELSE tags END AS tags FROM f_transactions"""
+
+
+def house_tags(f):
+    house, month = F.col("account_id") % 7, F.month("date")
+    own = F.concat(F.lit('["m'), month.cast("string"), F.lit('",'), F.substr("tags", F.lit(2)))
+    return f.txns.select(house.alias("household"), "date", F.when(F.col("tags").isNotNull() & (month % 7 <= house), own).otherwise(F.col("tags")).alias("tags"))
+
+
+@check(
+    "all_tags_by_household",
+    f"""SELECT DISTINCT household, unnest(CAST(CAST(tags AS JSON) AS VARCHAR[])) AS tag FROM ({HOUSE_TAGS})""",
+)
+def _(f):
+    return views.all_tags(house_tags(f), ["household"])
+
+
+@check(
+    "unused_tags_by_household",
+    f"""WITH t AS ({HOUSE_TAGS}), s AS (SELECT DISTINCT household, coalesce(tags, '[]') AS tags FROM t WHERE date >= DATE '1998-01-01'),
+       k AS (SELECT DISTINCT household, unnest(CAST(CAST(tags AS JSON) AS VARCHAR[])) AS tag FROM t)
+       SELECT s.household, s.tags, coalesce(string_agg(k.tag, ',' ORDER BY k.tag) FILTER (NOT list_contains(CAST(CAST(s.tags AS JSON) AS VARCHAR[]), k.tag)), '') AS unused
+       FROM s LEFT JOIN k ON k.household = s.household GROUP BY s.household, s.tags""",
+)
+def _(f):
+    rows = house_tags(f)
+    asked = rows.filter("date >= DATE '1998-01-01'")
+    return views.unused_tags(rows, asked, ["household"]).select("household", "tags", text_of(F.col("unused")).alias("unused"))
 
 
 BRIDGE = """SELECT name, CASE WHEN type IN ('checking', 'investment') THEN 'asset' ELSE 'liability' END AS kind,

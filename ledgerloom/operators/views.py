@@ -225,22 +225,28 @@ def drilldown(view: DataFrame, report: DataFrame, kind: str) -> DataFrame:
     return filters.by_flow(view, kind).join(names, "category", "left_semi")
 
 
-def all_tags(txns: DataFrame) -> DataFrame:
-    """Distinct non-empty tags. Equal tag texts collapse map-side before they are parsed."""
-    texts = txns.select("tags").filter(F.col("tags").isNotNull() & (F.col("tags") != "[]")).distinct()
-    tags = texts.select(F.explode(parse_tags("tags")).alias("tag"))
-    return tags.filter(F.col("tag").isNotNull() & (F.col("tag") != "")).distinct().orderBy("tag")
+def all_tags(txns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-empty tags, for each of the columns ``by``. Equal tag texts collapse map-side before they are parsed."""
+    texts = txns.select(*by, "tags").filter(F.col("tags").isNotNull() & (F.col("tags") != "[]")).distinct()
+    tags = texts.select(*by, F.explode(parse_tags("tags")).alias("tag"))
+    return tags.filter(F.col("tag").isNotNull() & (F.col("tag") != "")).distinct().orderBy(*by, "tag")
 
 
-def unused_tags(txns: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """Per distinct tag text of ``of`` (default: all rows): the known tags it lacks, sorted.
+def unused_tags(txns: DataFrame, of: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct tag text of the transactions ``of``: the known tags it lacks, sorted.
 
-    The known tags are one small sorted list, found once; each distinct tag text is
-    compared with it once, however many rows carry it.
+    With ``by``, the columns of a household, the known tags are its own: one sorted list a household, found
+    once. Each distinct tag text is compared with it once, however many rows carry it.
     """
-    known = all_tags(txns).agg(F.array_sort(F.collect_set("tag"))).scalar()
-    sets = (of if of is not None else txns).select(F.coalesce("tags", F.lit("[]")).alias("tags")).distinct()
-    return sets.select("tags", F.array_except(known, parse_tags("tags")).alias("unused"))
+    listed = F.array_sort(F.collect_list("tag")).alias("known")
+    sets = of.select(*by, F.coalesce("tags", F.lit("[]")).alias("tags")).distinct()
+    if not by:
+        known = all_tags(txns).agg(listed).scalar()
+    else:
+        own = all_tags(txns, by).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(listed)
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        sets, known = sets.join(own, same, "left"), F.coalesce("known", F.array().cast("array<string>"))
+    return sets.select(*by, "tags", F.array_except(known, parse_tags("tags")).alias("unused"))
 
 
 def net_worth_parts(accounts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -335,9 +335,9 @@ def period_kpis(
     return sums.select(*by, _out("income"), _out("expenses"), _out("savings"), rate)
 
 
-def list_summary(rows: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
-    """Count, income, expenses and number of pages of a filtered list, in one pass."""
-    return rows.agg(
+def list_summary(rows: DataFrame, size: int = PAGE_SIZE, by: Sequence[str] = ()) -> DataFrame:
+    """Count, income, expenses and number of pages of a filtered list, or of each list by the columns ``by``, in one pass."""
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
         money_out(F.sum(income_part("amount"))).alias("income"),
         money_out(F.sum(expense_part("amount"))).alias("expenses"),
