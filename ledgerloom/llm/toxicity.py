@@ -146,8 +146,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, rows: int =
 def train(chosen: DataFrame) -> Model:
     """Fits the model on ``(text, label)``, a bounded sample, which is written once and read twice.
 
-    The driver gets the significant units and one number per sample row. Without rows of both
-    labels no unit is significant and every score is the share of toxic rows.
+    The driver gets the significant units, and for each row of the sample the scores of its segments, some
+    hundreds for a long text; the sample's bound (``training_rows``) bounds both. Null texts don't occur, as the sample has
+    them empty; an empty sample, or one without rows of both labels, gives a model without units, whose every score
+    is the share of toxic rows. Texts of any length are read whole.
     """
     scratch = Scratch(chosen.sparkSession, "toxicity")
     samples = scratch.keep(shipped(chosen).repartition(chosen.sparkSession.sparkContext.defaultParallelism))
