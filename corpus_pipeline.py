@@ -1,4 +1,8 @@
-"""A training corpus from the documents: five stages, each an operator over all that the one before kept."""
+"""A training corpus from the documents: five stages, each an operator over all that the one before kept.
+
+All stages take tables with further columns of any name, and empty ones, which stay empty. Null texts are empty texts. Rows
+that repeat others, or have no doc_id, are rows like any other where a stage doesn't say otherwise.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,34 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the labelled rows of four folds."""
+    """Documents that the quality classifier doesn't reject. It learns from the labelled rows of four folds.
+
+    Equal texts are judged alike. Without labelled rows of both kinds every score is one half and all stay.
+    """
     model = quality.train(quality.sampled(docs, table(spark, sf_dir, "labels"), fold(5) != 0))
     return docs.filter(quality.score(F.col("text"), model) >= quality.CUTOFF)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
+    """The document with the smallest doc_id of each group of near copies; one of those that repeat it or have none.
+
+    Texts without words are a group.
+    """
     return simhash.keep_first(docs, shingle=3, max_bits=2)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; with an empty benchmark all."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. A null source is a source; documents without words are taken whole times only."""
     return mixing.mixed_rows(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and the slot of each row."""
+    """The shard and the slot of each row. Rows without a doc_id share a shard."""
     return sharding.assign(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
