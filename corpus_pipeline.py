@@ -20,7 +20,8 @@ ORACLE_SQL = None
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. It learns from the labelled rows of four folds.
 
-    Equal texts are judged alike. Without labelled rows of both kinds every score is one half and all stay.
+    Equal texts are judged alike. Without labelled rows every score is one half and all stay; with rows of one
+    label alone all are judged by its share.
     """
     model = quality.train(quality.sampled(docs, table(spark, sf_dir, "labels"), fold(5) != 0))
     return docs.filter(quality.score(F.col("text"), model) >= quality.CUTOFF)
@@ -40,7 +41,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. A null source is a source; documents without words are taken whole times only."""
+    """Documents as often as the mix takes them. A null source is a source of its own."""
     return mixing.mixed_rows(docs)
 
 
