@@ -116,9 +116,11 @@ def keyed_rules(rules: DataFrame, texts: DataFrame, key_chars: int = KEY_CHARS)
     """
     kind, pattern = F.col("match_type"), F.col("pattern")
 
+    required_texts = regexes.required_texts
+
     @F.pandas_udf("array<string>")
     def required(patterns: pd.Series) -> pd.Series:
-        return patterns.map(regexes.required_texts)
+        return patterns.map(required_texts)
 
     words = rules.filter(kind.isin("contains", "startswith", "exact")).withColumn("needed", F.array("pattern"))
     regex = rules.filter(kind == "regex").withColumn("needed", required("pattern"))

@@ -135,6 +135,8 @@ def statement_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     listed = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths).select(F.col("_metadata.file_path").alias("path"))
     files = listed.repartition(F.xxhash64("path"))
 
+    first_record, size = firsts.first_record, firsts.HEADER_BYTES
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
@@ -143,8 +145,8 @@ def statement_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
             for path in frame["path"]:
                 try:
                     store, place = fs.FileSystem.from_uri(path)
-                    with store.open_input_stream(place, compression=None) as stream:
-                        found.append((path, firsts.first_record(iter(lambda s=stream: s.read(firsts.HEADER_BYTES), b""))))
+                    with store.open_input_stream(place) as stream:
+                        found.append((path, first_record(iter(lambda s=stream: s.read(size), b""))))
                 except (OSError, ValueError):
                     found.append((path, None))
             yield pd.DataFrame(found, columns=["source_file", "header"])

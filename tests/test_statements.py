@@ -2,6 +2,7 @@
 
 import csv
 import datetime as dt
+import gzip
 import hashlib
 import io
 import random
@@ -337,8 +338,9 @@ def test_headers_read_the_first_record_only(spark, tmp_path):
     write(tmp_path, "a b%.csv", big)
     write(tmp_path, "c.csv", "\n \nDate , Description,AMOUNT\r\n1,2,3")
     write(tmp_path, "d.csv", "")
+    write(tmp_path, "e.csv.gz", gzip.compress(big.encode()))
     got = {r["source_file"].rsplit("/", 1)[1]: r["header"] for r in statements.statement_headers(spark, str(tmp_path)).collect()}
-    assert got == {"a%20b%25.csv": 'Date,"De\nsc",Amount', "c.csv": "Date , Description,AMOUNT"}
+    assert got == {"a%20b%25.csv": 'Date,"De\nsc",Amount', "c.csv": "Date , Description,AMOUNT", "e.csv.gz": 'Date,"De\nsc",Amount'}
     taken = []
 
     def parts():
@@ -390,3 +392,20 @@ def test_stream_of_mixed_layouts(spark, tmp_path):
         assert sorted(r["id"] for r in rows) == list(range(1, len(rows) + 1))
         names = {(r["name"], r["account_number"]) for r in spark.read.parquet(held).collect()}
         assert names == {(r["name"], r["account_number"]) for r in done.accounts.collect()} and ("My card", "****1111") in names
+
+
+def test_helpers_travel_without_the_package(tmp_path):
+    """What tasks call is sent with the job: it runs where this package isn't installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from ledgerloom.functions.regexes import required_texts
+
+    first, needed = first_record, required_texts
+    sent = tmp_path / "job"
+    sent.write_bytes(cloudpickle.dumps(lambda: (first(iter([b'a,"b\nc"\n1'])), needed("sh[ao]p|corner"))))
+    code = "import sys, pickle; print(pickle.load(open(sys.argv[1], 'rb'))(), 'ledgerloom' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code, str(sent)], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.strip() == f"{('a,' + chr(34) + 'b' + chr(10) + 'c' + chr(34), ['sh', 'corner'])} False"
