@@ -97,6 +97,13 @@ def household(day):
         yield f"SELECT {h} AS household, * FROM ({own})"
 
 
+def households(f):
+    txns = f.txns.withColumn("household", (F.col("id") % 2).cast("int"))
+    doubled = f.budgets.withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
+    both = f.budgets.withColumn("household", F.lit(0)).unionByName(doubled.withColumn("household", F.lit(1)))
+    return both, txns
+
+
 @check(
     "budget_performance_by_household",
     f"""SELECT household, category, CAST(coalesce(budget, 0) AS DOUBLE) AS budgeted, CAST(coalesce(spent, 0) AS DOUBLE) AS spent,
@@ -104,9 +111,7 @@ def household(day):
     FROM ({' UNION ALL '.join(household('1998-07-01'))}) WHERE coalesce(budget, 0) > 0 OR coalesce(spent, 0) > 0""",
 )
 def _(f):
-    txns = f.txns.withColumn("household", (F.col("id") % 2).cast("int"))
-    doubled = f.budgets.withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)"))
-    both = f.budgets.withColumn("household", F.lit(0)).unionByName(doubled.withColumn("household", F.lit(1)))
+    both, txns = households(f)
     rows = budgets.budget_performance(both, txns, f.children, f.parents, MONTH, by=["household"])
     return rows.drop("carry_forward_type", "pct", "band")
 
@@ -121,6 +126,33 @@ def _(f):
     return budgets.budget_totals(*frames(f), MONTH)
 
 
+@check(
+    "budget_totals_by_household",
+    f"""WITH p AS ({' UNION ALL '.join(household('1998-07-01'))}),
+    b AS (SELECT 0 AS household, sum(amount) AS b FROM ({asof('1998-07-01')}) UNION ALL SELECT 1, 2 * sum(amount) FROM ({asof('1998-07-01')})),
+    s AS (SELECT household, sum(spent) AS s FROM p WHERE budget IS NOT NULL GROUP BY household)
+    SELECT household, CAST(b AS DOUBLE) AS budgeted, CAST(coalesce(s, 0) AS DOUBLE) AS spent, CAST(b - coalesce(s, 0) AS DOUBLE) AS remaining
+    FROM b LEFT JOIN s USING (household)""",
+)
+def _(f):
+    both, txns = households(f)
+    return budgets.budget_totals(both, txns, f.children, f.parents, MONTH, by=["household"])
+
+
+@check(
+    "budgets_asof_months_by_household",
+    """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month FROM f_transactions),
+    h AS (SELECT 0 AS household, id, child_category_id, month_year, amount FROM f_budgets UNION ALL SELECT 1, id, child_category_id, month_year, 2 * amount FROM f_budgets)
+    SELECT h.household, m.month, c.name AS category, h.id, CAST(h.amount AS DOUBLE) AS amount FROM m
+    JOIN h ON h.month_year <= m.month JOIN f_child_categories c ON c.id = h.child_category_id
+    QUALIFY row_number() OVER (PARTITION BY m.month, h.household, h.child_category_id ORDER BY h.month_year DESC) = 1""",
+)
+def _(f):
+    months = f.txns.select(F.trunc("date", "MM").cast("date").alias("month")).distinct()
+    rows = budgets.budgets_asof_months(households(f)[0], f.children, months, ["household"])
+    return rows.select("household", "month", "category", "id", money_out("amount").alias("amount"))
+
+
 @check(
     "unbudgeted_spend",
     f"SELECT category, CAST(spent AS DOUBLE) AS spent FROM ({performance('1995-06-01').replace('FROM f_budgets b', 'FROM (SELECT * FROM f_budgets WHERE id % 3 = 0) b').replace('FROM f_budgets x', 'FROM (SELECT * FROM f_budgets WHERE id % 3 = 0) x')}) WHERE budget IS NULL AND spent > 0",

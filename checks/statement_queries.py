@@ -289,6 +289,16 @@ def _(f):
     return f.txns.select("id", text.fingerprint(ref, "date", "description", "amount").alias("hash"))
 
 
+@check(
+    "fingerprint_float_text",
+    """SELECT id, md5(concat_ws('|', concat('acc_', CAST(account_id AS VARCHAR)), CAST(date AS VARCHAR), description, CAST(CAST(amount AS DOUBLE) AS VARCHAR)))
+    AS hash FROM f_transactions""",
+)
+def _(f):
+    ref = F.concat(F.lit("acc_"), F.col("account_id").cast("string"))
+    return f.txns.select("id", text.fingerprint(ref, "date", "description", "amount", float_amounts=True).alias("hash"))
+
+
 # Note cells: nothing on even lines, plain text on every third order, else a card number, a digit run or a short number.
 NOTE = """CASE WHEN l_linenumber % 2 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'note 77'
     WHEN l_suppkey % 4 = 1 THEN concat('card 4500-1234-5678-', lpad(CAST(l_orderkey % 10000 AS VARCHAR), 4, '0'))

@@ -40,9 +40,17 @@ def account_ref(label: Column | str, masked: Column | str) -> Column:
     return F.concat(col_of(label), F.lit("_"), F.coalesce(col_of(masked), F.lit("default")))
 
 
-def fingerprint(ref: Column | str, date: Column | str, description: Column | str, amount: Column | str) -> Column:
-    """MD5 of ``ref|date|description|amount``; the amount is its DECIMAL(18,2) text."""
-    parts = [col_of(ref), F.date_format(col_of(date), "yyyy-MM-dd"), col_of(description), plain_money(amount)]
+def float_text(amount: Column | str) -> Column:
+    """The text that a float of two decimals has: no zero at the end but the first decimal (12.5, 12.0). For up to 15 digits."""
+    return F.regexp_replace(plain_money(amount), r"(\.[0-9])0$", "$1")
+
+
+def fingerprint(
+    ref: Column | str, date: Column | str, description: Column | str, amount: Column | str, float_amounts: bool = False
+) -> Column:
+    """MD5 of ``ref|date|description|amount``; the amount is its DECIMAL(18,2) text, or with ``float_amounts`` that of a float."""
+    text = float_text(amount) if float_amounts else plain_money(amount)
+    parts = [col_of(ref), F.date_format(col_of(date), "yyyy-MM-dd"), col_of(description), text]
     return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 

@@ -374,9 +374,10 @@ def _built(rows: DataFrame, roles: Roles, layout: Layout, keep: list[str]) -> Da
     )
 
 
-def with_fingerprint(rows: DataFrame) -> DataFrame:
+def with_fingerprint(rows: DataFrame, float_amounts: bool = False) -> DataFrame:
+    """Adds ``hash``; with ``float_amounts`` that of ledgers whose fingerprints hold float texts."""
     ref = account_ref("account_label", "account_number")
-    return rows.withColumn("hash", fingerprint(ref, "date", "description", "amount"))
+    return rows.withColumn("hash", fingerprint(ref, "date", "description", "amount", float_amounts))
 
 
 def file_accounts(

@@ -44,14 +44,14 @@ def budgets_asof(budgets: DataFrame, children: DataFrame, month: Month | Column,
     return latest.join(names, "child_category_id")
 
 
-def budgets_asof_months(budgets: DataFrame, children: DataFrame, months: DataFrame) -> DataFrame:
-    """The same for many months: ``months`` has one column, ``month`` (first days).
+def budgets_asof_months(budgets: DataFrame, children: DataFrame, months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same for many months: ``months`` has one column, ``month`` (first days); for each of the columns ``by``.
 
     Each budget row is in force until the next one of its category. It is spread over
     the asked range of months and joined with the asked months on equality, so there
     is no inequality join.
     """
-    by_category = Window.partitionBy("child_category_id").orderBy("month_year")
+    by_category = Window.partitionBy(*by, "child_category_id").orderBy("month_year")
     span = months.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
     low, high = span.select("lo").scalar(), span.select("hi").scalar()
     in_force = (
@@ -66,7 +66,7 @@ def budgets_asof_months(budgets: DataFrame, children: DataFrame, months: DataFra
     return (
         monthly.join(months.select("month").distinct(), "month")
         .join(names, "child_category_id")
-        .select("month", "child_category_id", "category", "id", "month_year", "amount", "carry_forward", "carry_forward_type")
+        .select(*by, "month", "child_category_id", "category", "id", "month_year", "amount", "carry_forward", "carry_forward_type")
     )
 
 
@@ -162,15 +162,16 @@ def budget_performance(
 
 
 def budget_totals(
-    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month
+    budgets: DataFrame, txns: DataFrame, children: DataFrame, parents: DataFrame, month: Month, by: Sequence[str] = ()
 ) -> DataFrame:
-    """All budgets, the spending of budgeted expense categories, and what remains."""
+    """All budgets, the spending of budgeted expense categories, and what remains, for each of the columns ``by``."""
     zero = F.lit(0).cast("decimal(38,2)")
-    budgeted = budgets_asof(budgets, children, month).agg(F.coalesce(F.sum("amount"), zero).cast("decimal(38,2)").alias("budgeted"))
-    rows = _performance(budgets, txns, children, parents, month).filter(F.col("budget").isNotNull())
-    spent = rows.agg(F.coalesce(F.sum("spent"), zero).cast("decimal(38,2)").alias("spent"))
-    sums = budgeted.withColumn("spent", spent.scalar())
+    budgeted = budgets_asof(budgets, children, month, by).select(*by, F.col("amount").cast("decimal(38,2)").alias("budgeted"), zero.alias("spent"))
+    rows = _performance(budgets, txns, children, parents, month, by).filter(F.col("budget").isNotNull())
+    parts = budgeted.unionAll(rows.select(*by, zero, F.col("spent").cast("decimal(38,2)")))
+    sums = parts.groupBy(*by).agg(*(F.coalesce(F.sum(c), zero).cast("decimal(38,2)").alias(c) for c in ("budgeted", "spent")))
     return sums.select(
+        *by,
         money_out("budgeted").alias("budgeted"),
         money_out("spent").alias("spent"),
         money_out(F.col("budgeted") - F.col("spent")).alias("remaining"),

@@ -81,10 +81,10 @@ def _file_accounts(held: DataFrame, columns: list[str], institution: str, given:
     return joined.withColumn("account_label", label).select(found.columns)
 
 
-def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: DataFrame) -> DataFrame:
+def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: DataFrame, float_amounts: bool) -> DataFrame:
     """All rows but those without a date cell, with account, fingerprint and ``reason``, NULL for rows that fit; rejects keep their cells."""
     dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
-    readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file")))
+    readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file"), float_amounts))
     fits, broken = check_constraints(
         resolve_category(readable, children), ["account_id", "date", "description", "amount"],
         {"account_id": accounts.select("id"), "child_category_id": children.select("id")},
@@ -104,7 +104,7 @@ def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: Dat
 
 def import_frames(
     frames: Sequence[tuple[DataFrame, str]], ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame,
-    given: DataFrame | None = None,
+    given: DataFrame | None = None, float_amounts: bool = False,
 ) -> Imported:
     """(statement rows, institution) pairs to new ledger rows.
 
@@ -114,13 +114,13 @@ def import_frames(
     dropped before categories are looked for, so a file that comes again costs no
     matching. ``given`` has the account_name and account_number (or NULL) of files
     (source_file) for which they are not to be found out. Rejects hold all cells of
-    their row, a malformed row's text in one cell.
+    their row, a malformed row's text in one cell. ``float_amounts`` is for ledgers whose fingerprints hold float texts.
     """
     parsed = [(stored(parsed_rows(df, layout_of(name)), "parsed"), statement_columns(df), name) for df, name in frames]
     files = stored(union_all([_file_accounts(held, columns, name, given) for held, columns, name in parsed]), "files")
     account_table, ids = link_accounts(files, accounts)
     every = union_all([held for held, _, _ in parsed])
-    judged = stored(_judged(every, ids, account_table, children), "judged")
+    judged = stored(_judged(every, ids, account_table, children, float_amounts), "judged")
     batch = judged.filter("reason IS NULL").select(
         *LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"
     )
@@ -140,11 +140,12 @@ def import_frames(
 def import_statements(
     spark: SparkSession, sources: Mapping[str, str | Sequence[str]],
     ledger: DataFrame, accounts: DataFrame, children: DataFrame, rules: DataFrame, given: DataFrame | None = None,
+    float_amounts: bool = False,
 ) -> Imported:
-    """Files by institution, whatever their column order; ``given`` as in ``import_frames``."""
+    """Files by institution, whatever their column order; ``given`` and ``float_amounts`` as in ``import_frames``."""
     frames = [
         (df, institution)
         for institution, paths in sources.items()
         for df in read_statements(spark, paths, layout_of(institution).spec).values()
     ]
-    return import_frames(frames, ledger, accounts, children, rules, given)
+    return import_frames(frames, ledger, accounts, children, rules, given, float_amounts)
