@@ -1,9 +1,10 @@
 """CSV records that go over several lines, found without giving up the split of large files.
 
 A line either leaves open whether a quoted cell goes on (no quotes), or decides it, or turns it round. Such effects
-are combined like the lines follow each other: inside each split by a running window, then over the splits of a
-file, of which there is one short row each. So every line knows whether it begins a record, and
-only the lines of records that have several are brought together.
+are combined like the lines follow each other: inside chunks of some lines by a running window, then over the
+chunks of a file, of which there is one short row each. So every line knows whether it begins a record, and
+only the lines of records that have several are brought together. A task's windows hold a chunk at a time, however large
+files and splits are: what a window holds can't be spilled for the sake of the next one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
+# At most 2**CHUNK_BITS lines of a split have their effects combined by one window.
+CHUNK_BITS = 15
+
 # States at a place in a line: in an unquoted cell, inside quotes, right after a closing quote, at the line's start.
 _PLAIN, _INSIDE, _CLOSED, _START = 0, 1, 2, 3
 
@@ -66,54 +72,63 @@ def _state(decided: Column, turned: Column, start: Column | None) -> Column:
     return F.coalesce(known, F.pmod(start + turned, F.lit(2)))
 
 
-def joined_records(lines: DataFrame) -> DataFrame:
-    """``source_file, source_block, source_row, record`` of whole files' ``(source_file, source_block, source_row, value)``.
+def joined_records(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """``source_file, source_block, source_row, record`` of whole files' ``(source_file, source_block, source_row, value)``, written.
 
     The position is that of the record's first line; its lines are joined by a line feed. A quote that the file never
     closes ends with its line, and the lines after it are records of their own, as otherwise the rest of a
-    file would be one cell. ``lines`` is a written table: it is read for the splits' effects and for the lines.
+    file would be one cell. ``lines`` is read once: lines are written with their effects, and what follows are scans of that.
     """
     opens, stays = opens_quotes(F.col("value")).cast("int"), stays_open(F.col("value")).cast("int")
-    effects = lines.withColumns({"_opens": opens, "_stays": stays})
+    effects = lines.withColumns({"_opens": opens, "_stays": stays, "_chunk": F.shiftright("source_row", chunk_bits)})
     effects = effects.withColumns(
         {"_constant": F.when(F.col("_opens") == F.col("_stays"), F.col("_opens")), "_turns": F.when((F.col("_opens") == 1) & (F.col("_stays") == 0), 1).otherwise(0)}
     )
-    split = ["source_file", "source_block"]
-    by_row = Window.partitionBy(*split).orderBy("source_row").rowsBetween(Window.unboundedPreceding, 0)
+    chunk = ["source_file", "source_block", "_chunk"]
+    by_line = Window.partitionBy(*chunk).orderBy("source_row")
+    by_row = by_line.rowsBetween(Window.unboundedPreceding, 0)
     inside = effects.withColumn("_turned", F.sum("_turns").over(by_row))
     inside = inside.withColumn("_decided", _running("_constant", "_turns", by_row)[1])
     inside = inside.withColumn("_known", _state(F.col("_decided"), F.col("_turned"), None))
+    # before the first line of a chunk nothing has decided and nothing turned
+    inside = inside.withColumns({"_known_before": F.lag("_known").over(by_line), "_turned_before": F.coalesce(F.lag("_turned").over(by_line), F.lit(0))})
+    inside = stored(inside.select(*chunk, "source_row", "value", "_known", "_turned", "_known_before", "_turned_before"), "line-effects")
 
-    # one row a split: its effect, and over the splits of a file the state in which each begins
-    splits = inside.groupBy(*split).agg(
+    # one row a chunk: its effect, and over the chunks of a file the state in which each begins
+    chunks = inside.groupBy(*chunk).agg(
         F.max_by(F.struct(F.col("_known").alias("constant"), F.pmod("_turned", F.lit(2)).alias("turns")), "source_row").alias("_last")
     )
-    by_split = Window.partitionBy("source_file").orderBy("source_block").rowsBetween(Window.unboundedPreceding, 0)
-    next_split = Window.partitionBy("source_file").orderBy("source_block")
-    splits = splits.select(*split, F.col("_last.constant").alias("_constant"), F.when(F.col("_last.constant").isNull(), F.col("_last.turns")).otherwise(0).alias("_turns"))
-    splits = splits.withColumn("_turned", F.sum("_turns").over(by_split))
-    splits = splits.withColumn("_decided", _running("_constant", "_turns", by_split)[1])
-    splits = splits.withColumn("_end", _state(F.col("_decided"), F.col("_turned"), F.lit(0)))
-    starts = splits.select(*split, F.coalesce(F.lag("_end").over(next_split), F.lit(0)).alias("_start"))
-
-    by_line = Window.partitionBy(*split).orderBy("source_row")
-    placed = inside.join(starts, split).withColumn("_after", F.coalesce("_known", F.pmod(F.col("_start") + F.col("_turned"), F.lit(2))))
-    placed = placed.withColumn("_before", F.coalesce(F.lag("_after").over(by_line), F.col("_start")))
+    next_chunk = Window.partitionBy("source_file").orderBy("source_block", "_chunk")
+    by_chunk = next_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    chunks = chunks.select(*chunk, F.col("_last.constant").alias("_constant"), F.when(F.col("_last.constant").isNull(), F.col("_last.turns")).otherwise(0).alias("_turns"))
+    chunks = chunks.withColumn("_turned", F.sum("_turns").over(by_chunk))
+    chunks = chunks.withColumn("_decided", _running("_constant", "_turns", by_chunk)[1])
+    chunks = chunks.withColumn("_end", _state(F.col("_decided"), F.col("_turned"), F.lit(0)))
+    starts = stored(chunks.select(*chunk, F.coalesce(F.lag("_end").over(next_chunk), F.lit(0)).alias("_start")), "chunk-starts")
+
+    after = F.coalesce("_known", F.pmod(F.col("_start") + F.col("_turned"), F.lit(2)))
+    before = F.coalesce("_known_before", F.pmod(F.col("_start") + F.col("_turned_before"), F.lit(2)))
+    placed = inside.join(starts, chunk).withColumns({"_after": after, "_before": before})
     # after the last line of a file that leaves nothing open, a quote is never closed
+    last = placed.filter("_after = 0").groupBy(*chunk).agg(F.max("source_row").alias("_row"))
+    closed = last.groupBy("source_file").agg(F.max(F.struct("source_block", F.col("_row").alias("source_row"))).alias("_closed"))
+    ends = stored(starts.join(closed, "source_file", "left"), "chunk-ends")
+    placed = inside.join(ends, chunk).withColumns({"_after": after, "_before": before})
     place = F.struct("source_block", "source_row")
-    closed = placed.groupBy("source_file").agg(F.max(F.when(F.col("_after") == 0, place)).alias("_closed"))
-    placed = placed.join(closed, "source_file").withColumn("_alone", F.col("_closed").isNull() | (place > F.col("_closed")))
+    placed = placed.withColumn("_alone", F.col("_closed").isNull() | (place > F.col("_closed")))
     placed = placed.withColumn("_head", F.col("_alone") | (F.col("_before") == 0))
     single = F.col("_head") & (F.col("_alone") | (F.col("_after") == 0))
-    alone = placed.filter(single).select(*split, "source_row", F.col("value").alias("record"))
+    alone = placed.filter(single).select("source_file", "source_block", "source_row", F.col("value").alias("record"))
 
-    # a line that goes on belongs to the last head before it, in its split or an earlier one
-    heads = placed.groupBy(*split).agg(F.max(F.when(F.col("_head"), F.col("source_row"))).alias("_row"))
-    earlier = Window.partitionBy("source_file").orderBy("source_block").rowsBetween(Window.unboundedPreceding, -1)
+    # a line that goes on belongs to the last head before it, in its chunk or an earlier one; that head has several lines too
+    several = placed.filter(~single)
+    heads = several.groupBy(*chunk).agg(F.max(F.when(F.col("_head"), F.col("source_row"))).alias("_row"))
+    earlier = next_chunk.rowsBetween(Window.unboundedPreceding, -1)
     last_head = F.last(F.when(F.col("_row").isNotNull(), F.struct(F.col("source_block").alias("block"), F.col("_row").alias("row"))), True).over(earlier)
-    heads = heads.select(*split, last_head.alias("_earlier"))
+    heads = heads.select(*chunk, last_head.alias("_earlier"))
     own = F.last(F.when(F.col("_head"), F.struct(F.col("source_block").alias("block"), F.col("source_row").alias("row"))), True).over(by_row)
-    several = placed.withColumn("_own", own).filter(~single).join(heads, split).withColumn("_record", F.coalesce("_own", "_earlier"))
+    several = several.withColumn("_own", own).join(heads, chunk).withColumn("_record", F.coalesce("_own", "_earlier"))
     joined = several.groupBy("source_file", "_record").agg(F.array_sort(F.collect_list(F.struct("source_block", "source_row", "value"))).alias("_lines"))
     record = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record")
-    return alone.unionAll(joined.select("source_file", F.col("_record.block").alias("source_block"), F.col("_record.row").alias("source_row"), record))
+    whole = alone.unionAll(joined.select("source_file", F.col("_record.block").alias("source_block"), F.col("_record.row").alias("source_row"), record))
+    return stored(whole, "records")

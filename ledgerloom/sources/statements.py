@@ -92,7 +92,7 @@ def scan_statement(spark: SparkSession, paths: str | Sequence[str], columns: Seq
     open_files = stored(lines.filter(opens_quotes(F.col("value"))).select(F.col("source_file").alias("open_file")).distinct(), "open-files")
     if not open_files.isEmpty():
         same = F.col("source_file") == F.col("open_file")
-        records = joined_records(stored(lines.join(open_files, same, "left_semi"), "open-lines"))
+        records = joined_records(lines.join(open_files, same, "left_semi").select(lines.columns))
         rows = rows.join(open_files, same, "left_anti").unionAll(_parsed(records, columns).select(rows.columns))
     return with_missing_as_null(rows, columns)
 

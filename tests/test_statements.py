@@ -409,3 +409,26 @@ def test_helpers_travel_without_the_package(tmp_path):
     code = "import sys, pickle; print(pickle.load(open(sys.argv[1], 'rb'))(), 'ledgerloom' in sys.modules)"
     out = subprocess.run([sys.executable, "-c", code, str(sent)], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert out.strip() == f"{('a,' + chr(34) + 'b' + chr(10) + 'c' + chr(34), ['sh', 'corner'])} False"
+
+
+def test_records_by_small_chunks(spark):
+    """Records that go over chunks and splits, quotes that are never closed, and windows that hold no more than a chunk."""
+    from ledgerloom.sources.firsts import is_open
+    from ledgerloom.sources.records import joined_records
+
+    pieces = ["a,b", 'x,"open', 'mid "" dle', 'end",y', '"one",2', 'q,"', '"', 'it"s']
+    draw = random.Random(5)
+    files = {f"f{n}": [draw.choice(pieces) for _ in range(40)] for n in range(8)}
+    rows = [(name, i // 16 * 1000, i // 16 * 2**33 + i, line) for name, lines in files.items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "source_file STRING, source_block BIGINT, source_row BIGINT, value STRING")
+    want = []
+    for name, held in files.items():
+        at = 0
+        while at < len(held):
+            ends = [e for e in range(at, len(held)) if not is_open("\n".join(held[at : e + 1]))]
+            size = ends[0] - at + 1 if ends else 1
+            want.append((name, at // 16 * 1000, at // 16 * 2**33 + at, "\n".join(held[at : at + size])))
+            at += size
+    for bits in (1, 2, 15):
+        got = joined_records(lines, bits).select("source_file", "source_block", "source_row", "record").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
