@@ -133,3 +133,25 @@ def test_rules_without_a_key_are_bounded(spark, monkeypatch):
     with pytest.raises(ValueError, match="at most 3"):
         match_user_rules(texts, rules, children)
     assert match_user_rules(texts, rules.filter("id < 3"), children).first()["rule_id"] == 0
+
+
+def test_builtin_patterns_by_their_parts(spark):
+    """The first pattern that hits, as one search after the other finds it, over texts made of parts that overlap."""
+    from ledgerloom.operators.categorise import _builtin_rows, _trie_regex, builtin_category
+
+    assert re.compile(_trie_regex(["metro", "metrolinx", "me", "h&m"])).findall("metrol metrolinx h&m m") == ["metro", "metrolinx", "h&m"]
+    rows = _builtin_rows()
+    draw = random.Random(3)
+    words = [r["part"] for r in rows] + ["transit", "bank", "s", " ", "\n"]
+    texts = ["".join(draw.choice(words) + draw.choice(["", " "]) for _ in range(draw.randint(0, 4))) for _ in range(2000)]
+
+    def first(text):
+        found = (r["category"] for r in rows if r["part"] in text and (r["regex"] is None or re.search(r["regex"], text, re.ASCII)))
+        return next(found, None)
+
+    held = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    got = held.select("t", builtin_category(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in got} == {None: None} | {t: first(t) for t in texts}
+    # patterns are not tried one after the other
+    plan = held.select(builtin_category(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(" not in plan.lower()
