@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.money import MONEY, clean_amounts, memo_balance, memo_mortgage
 from ledgerloom.functions.text import account_label, account_ref, fingerprint
+from ledgerloom.session import stored
 from ledgerloom.sources.statements import BAD, LINEAGE, Holding, Named, resolve_columns, statement_columns
 
 Roles = Mapping[str, str | None]
@@ -281,7 +282,7 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
 
     Two scans with hash aggregates, no sort. The first finds, per file and column, the
     position of the first value (account columns) and of the first cell that looks
-    like a number. The second, only for files that have one, counts the cells before
+    like a number; that is written, so the second meets a table of known size and moves no rows where it is small. The second, only for files that have one, counts the cells before
     that position and fetches the text. At most one row per file and task is shuffled,
     so it does not matter how many rows a file has.
     """
@@ -300,7 +301,7 @@ def detect_account(df: DataFrame, hint: str = "", any_account_column: bool = Fal
 
     firsts = [F.min(F.when(cell(c).isNotNull(), F.col("_at"))).alias(f"_first_{i}") for i, c in enumerate(named)]
     hits = [F.min(F.when(F.get("_hits", F.lit(i)), F.col("_at"))).alias(f"_hit_{i}") for i in range(len(columns))]
-    marks = flagged.groupBy("source_file").agg(*firsts, *hits)
+    marks = stored(flagged.groupBy("source_file").agg(*firsts, *hits), "file-marks")
 
     found = F.array(*[F.col(f"_hit_{i}") for i in range(len(columns))])
     starts = F.array(F.lit(None).cast("decimal(38,0)"), *[F.col(f"_first_{i}") for i in range(len(named))])
@@ -404,7 +405,7 @@ def normalise_statement(
 
     ``files`` are the file_accounts rows where they are known already. Rows still hold
     date_raw, so ``split_rejects`` can put unreadable ones aside. With a given number
-    nothing is joined; else the one row per file is.
+    nothing is joined; else the one row per file is, from a written table, so that few files are sent to the rows.
     """
     rows = normalise_rows(df, layout_of(institution))
     if files is None and account_number is not None:
@@ -412,7 +413,7 @@ def normalise_statement(
         fixed = {"institution": F.lit(institution), "account_label": label, "account_number": F.lit(account_number)}
         return with_fingerprint(rows.withColumns(fixed))
     if files is None:
-        files = file_accounts(df, institution, account_number, account_name)
+        files = stored(file_accounts(df, institution, account_number, account_name), "files")
     return with_fingerprint(rows.join(files, "source_file"))
 
 

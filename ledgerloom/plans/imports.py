@@ -85,9 +85,11 @@ def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: Dat
     """All rows but those without a date cell, with account, fingerprint and ``reason``, NULL for rows that fit; rejects keep their cells."""
     dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
     readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file"), float_amounts))
+    # of the account table only the files' accounts, so that rows, most of which may be of one account, meet a small table
+    used = stored(ids.select(F.col("account_id").alias("id")).distinct().join(accounts.select("id"), "id", "left_semi"), "used-accounts")
     fits, broken = check_constraints(
         resolve_category(readable, children), ["account_id", "date", "description", "amount"],
-        {"account_id": accounts.select("id"), "child_category_id": children.select("id")},
+        {"account_id": used, "child_category_id": children.select("id")},
     )
     told = "CAST(NULL AS STRING) AS reason"
     columns = [*LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"]

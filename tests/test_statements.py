@@ -432,3 +432,23 @@ def test_records_by_small_chunks(spark):
     for bits in (1, 2, 15):
         got = joined_records(lines, bits).select("source_file", "source_block", "source_row", "record").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_meet_small_tables(spark, tmp_path, monkeypatch):
+    """Rows are judged against the files' accounts, not the account table, and joined with accounts of files that are written."""
+    from ledgerloom.plans import imports
+
+    accounts, children, rules = tables(spark)
+    path, seen = write(tmp_path, "s.csv", STATEMENT), []
+
+    def check_constraints(batch, not_null, dims):
+        seen.append([r["id"] for r in dims["account_id"].collect()])
+        return normal(batch, not_null, dims)
+
+    normal = imports.check_constraints
+    monkeypatch.setattr(imports, "check_constraints", check_constraints)
+    other = accounts.withColumns({"id": F.lit(8).cast("bigint"), "account_number": F.lit("****1111")})
+    done = import_statements(spark, {"Rogers Mastercard": path}, spark.createDataFrame([], "id BIGINT, hash STRING"), accounts.unionByName(other), children, rules)
+    assert seen == [[7]] and done.rejected.isEmpty() and {r["account_id"] for r in done.added.collect()} == {7}
+    rows = normalise.normalise_statement(read_statement(spark, path), "Rogers Mastercard")
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
