@@ -583,8 +583,9 @@ def _(f):
     f.accounts.withColumn("id", F.col("id").cast("bigint")).write.parquet(accounts)
     columns = ["Date", "Description", "Amount", "Type"]
     for _run in range(2):
-        # The second run finds the same rows in new files.
-        card_rows(f).select(*columns).write.mode("append").options(**WRITE).csv(folder)
+        # The second run finds the same rows in new files, each compressed and of at most a million rows, as none is split.
+        packed = {**WRITE, "compression": "gzip", "maxRecordsPerFile": 1_000_000}
+        card_rows(f).select(*columns).write.mode("append").options(**packed).csv(folder)
         import_stream(f.spark, folder, columns, "Rogers Mastercard", ledger, accounts, f.children, f.rules, state).awaitTermination()
     rows = tables.load_ledger(f.spark, ledger)
     ids = rows.agg((F.countDistinct("id") == F.max("id")).cast("int").alias("dense")).scalar()

@@ -305,12 +305,14 @@ def _matched(df: DataFrame, low: Column, rules: DataFrame, children: DataFrame,
     """Adds user_category, rule_id and builtin_category for the lower-case text ``low``; none where it is NULL.
 
     Each distinct text is matched once, built-in patterns only where no user rule hits or with ``always``,
-    and the result is joined back. Texts repeat far more often than they differ.
+    and the result is joined back. Texts repeat far more often than they differ, so both the texts and what is found for them
+    are written: the rows are read once for them, and meet a table of known size, few texts without being shuffled.
     """
     keyed = df.withColumn(_LOW, low)
-    hits = _user_hits(_texts(keyed), rules, children, KEY_CHARS)
+    hits = _user_hits(stored(_texts(keyed), "texts", "zstd"), rules, children, KEY_CHARS)
     builtin = builtin_category(F.col("_text"))
-    found = hits.withColumn("builtin_category", builtin if always else F.when(F.col("rule_id").isNull(), builtin))
+    matched = hits.withColumn("builtin_category", builtin if always else F.when(F.col("rule_id").isNull(), builtin))
+    found = stored(matched, "text-categories", "zstd")
     return keyed.join(found, F.col(_LOW) == F.col("_text"), "left").drop(_LOW, "_text")
 
 

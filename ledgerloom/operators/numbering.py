@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 from ledgerloom.session import cut_lineage
 
 
-def key_bucket(keys: Sequence[str], digits: int = 2) -> Column:
+def key_bucket(keys: Sequence[str | Column], digits: int = 2) -> Column:
     """The first hex digits of a key hash: a bucket that is a pure function of the keys."""
-    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    texts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
     return F.substring(F.md5(F.concat_ws("|", *texts)), 1, digits)
 
 
 def assign_ids(
-    rows: DataFrame, keys: Sequence[str], start: DataFrame | None = None, name: str = "id", digits: int = 2
+    rows: DataFrame, keys: Sequence[str | Column], start: DataFrame | None = None, name: str = "id", digits: int = 2,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Dense ids 1.. (or after the one value in ``start``) in (bucket, keys) order.
 
     The keys are unique, so the hash spreads them evenly over 16**digits buckets. Each
     bucket is numbered on its own; the offsets come from one count per bucket. Two
-    digits suit dimension tables, four suit the fact table.
+    digits suit dimension tables, four suit the fact table. ``order`` are columns that stand for keys which are made of them.
     """
     bucketed = rows.withColumn("_bucket", key_bucket(keys, digits))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
+    inside = Window.partitionBy("_bucket").orderBy(*(order or keys))
     base = F.lit(0) if start is None else F.coalesce(start.scalar(), F.lit(0))
     return (
         bucketed.withColumn("_rank", F.row_number().over(inside))

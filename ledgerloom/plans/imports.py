@@ -5,22 +5,26 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import MONEY
-from ledgerloom.functions.text import account_label
+from ledgerloom.functions.text import account_label, fingerprint_bytes
 from ledgerloom.operators.categorise import categorise_batch
-from ledgerloom.operators.maintain import account_ids, add_accounts, check_constraints, new_rows
+from ledgerloom.operators.maintain import account_ids, add_accounts, check_constraints, first_of_each, months_of
 from ledgerloom.operators.normalise import (
     CELLS, cells_of, file_accounts, institutions, layout_of, parsed_rows, split_rejects, with_fingerprint,
 )
-from ledgerloom.operators.numbering import assign_ids
+from ledgerloom.operators.numbering import assign_ids, row_index
 from ledgerloom.operators.views import resolve_category
 from ledgerloom.plans.reports import import_summary
 from ledgerloom.session import stored
 from ledgerloom.sources.statements import BAD, LINEAGE, read_statements, statement_columns
 
+# Where a row stands among the written rows of an import: its frame, which of its file's accounts it is of, and its
+# number in the frame. Unlike LINEAGE it is never NULL or repeated.
+PLACE = ["frame", "account_nth", "row_number"]
+
 
 @dataclass
 class Imported:
@@ -81,8 +85,10 @@ def _file_accounts(held: DataFrame, columns: list[str], institution: str, given:
     return joined.withColumn("account_label", label).select(found.columns)
 
 
-def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: DataFrame, float_amounts: bool) -> DataFrame:
-    """All rows but those without a date cell, with account, fingerprint and ``reason``, NULL for rows that fit; rejects keep their cells."""
+def _judged(
+    every: DataFrame, ids: DataFrame, accounts: DataFrame, children: DataFrame, float_amounts: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit, with account, fingerprint, file_number and PLACE; rejects with ``reason`` and their cells). Rows without a date cell are in neither."""
     dated = every.filter(F.col(BAD).isNull() & F.col("date_raw").isNotNull())
     readable, unreadable = split_rejects(with_fingerprint(dated.join(ids, "source_file"), float_amounts))
     # of the account table only the files' accounts, so that rows, most of which may be of one account, meet a small table
@@ -91,17 +97,45 @@ def _judged(every: DataFrame, ids: DataFrame, accounts: DataFrame, children: Dat
         resolve_category(readable, children), ["account_id", "date", "description", "amount"],
         {"account_id": used, "child_category_id": children.select("id")},
     )
-    told = "CAST(NULL AS STRING) AS reason"
-    columns = [*LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"]
-    good = fits.selectExpr(*columns, told, f"CAST(NULL AS ARRAY<STRING>) AS {CELLS}")
     bad = [
         unreadable.withColumn("reason", F.lit("unreadable date or amount")),
         broken,
         every.filter(F.col(BAD).isNotNull())
         .withColumn("reason", F.lit("more or fewer cells than the header")).withColumn(CELLS, F.array(BAD)),
     ]
-    out = union_all([good, *[df.select(*LINEAGE, "reason", CELLS) for df in bad]])
-    return out.withColumn("amount", F.col("amount").cast(MONEY))
+    rejected = union_all([df.select(*LINEAGE, "reason", CELLS) for df in bad])
+    return fits.withColumn("amount", F.col("amount").cast(MONEY)), rejected
+
+
+def _with_numbers(ids: DataFrame) -> DataFrame:
+    """Files with ``file_number``, their place in the order of names, so that rows are compared without their file's path.
+
+    A file may be read for several accounts; ``account_nth`` tells them apart.
+    """
+    numbers = row_index(ids.select("source_file").distinct(), [F.col("source_file")], "file_number")
+    nth = F.row_number().over(Window.partitionBy("source_file").orderBy("institution", "account_label", "account_number"))
+    return stored(ids.withColumn("account_nth", nth).join(numbers, "source_file"), "file-numbers")
+
+
+def first_places(batch: DataFrame, ledger: DataFrame) -> DataFrame:
+    """PLACE of the batch rows whose fingerprint is neither in the ledger nor earlier in the batch.
+
+    The rows that ``new_rows`` keeps, found from fingerprints and positions alone: nothing else of a row is sorted or shuffled.
+    Fingerprints of the batch are MD5 texts; one of the ledger that isn't is none of them.
+    """
+    order = ["file_number", "source_block", "source_row"]
+    known = months_of(batch, ledger).select(fingerprint_bytes("hash").alias("_print"))
+    prints = batch.select(F.unhex("hash").alias("_print"), *order, *PLACE)
+    return first_of_each(prints, "_print", order).join(known, "_print", "left_anti").select(PLACE)
+
+
+def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows at some places. Each word marks 64 places, so the rows meet a table far smaller than they are."""
+    *where, number = PLACE
+    words = places.selectExpr(*where, f"{number} >> 6 AS _at", f"1L << CAST({number} & 63 AS INT) AS _bit")
+    marks = stored(words.groupBy(*where, "_at").agg(F.bit_or("_bit").alias("_word")), "new-places", "zstd")
+    met = rows.withColumn("_at", F.shiftright(number, 6)).join(marks, [*where, "_at"])
+    return met.filter(f"getbit(_word, CAST({number} & 63 AS INT)) = 1").select(rows.columns)
 
 
 def import_frames(
@@ -111,23 +145,26 @@ def import_frames(
     """(statement rows, institution) pairs to new ledger rows.
 
     Each file is parsed once: the normalised rows are written with all their cells, and
-    accounts are taken from that table. Each row is judged once, and written with its fingerprint and the
-    reason why it is rejected; months, counts, duplicates and rejects are scans of that. Duplicates are
+    accounts are taken from that table. Months, counts, duplicates and rejects are scans of it, in which rows meet small
+    tables only. New rows are told by their fingerprints and positions, and read again from there. Duplicates are
     dropped before categories are looked for, so a file that comes again costs no
     matching. ``given`` has the account_name and account_number (or NULL) of files
     (source_file) for which they are not to be found out. Rejects hold all cells of
     their row, a malformed row's text in one cell. ``float_amounts`` is for ledgers whose fingerprints hold float texts.
     """
-    parsed = [(stored(parsed_rows(df, layout_of(name)), "parsed"), statement_columns(df), name) for df, name in frames]
+    frame, _, number = PLACE
+    parsed = [
+        (stored(parsed_rows(df, layout_of(name)).withColumn(number, F.monotonically_increasing_id()), "parsed", "zstd"), statement_columns(df), name)
+        for df, name in frames
+    ]
     files = stored(union_all([_file_accounts(held, columns, name, given) for held, columns, name in parsed]), "files")
     account_table, ids = link_accounts(files, accounts)
-    every = union_all([held for held, _, _ in parsed])
-    judged = stored(_judged(every, ids, account_table, children, float_amounts), "judged")
-    batch = judged.filter("reason IS NULL").select(
+    every = union_all([held.withColumn(frame, F.lit(n)) for n, (held, _, _) in enumerate(parsed)])
+    fits, rejected = _judged(every, _with_numbers(ids), account_table, children, float_amounts)
+    batch = fits.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"
     )
-    rejected = judged.filter("reason IS NOT NULL").select(*LINEAGE, "reason", CELLS)
-    fresh = new_rows(batch, ledger)
+    fresh = rows_at(fits, first_places(fits, ledger)).select(batch.columns)
     named = resolve_category(categorise_batch(fresh, rules, children), children)
     added = named.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", "amount",
@@ -135,7 +172,7 @@ def import_frames(
         F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
         F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
     )
-    added = stored(added, "added")
+    added = stored(added, "added", "zstd")
     return Imported(batch, added.select(batch.columns[:3]), added, rejected, account_table)
 
 

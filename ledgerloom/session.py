@@ -74,12 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """Writes a frame below the shared folder and reads it back.
 
     Like a checkpoint this survives lost executors; unlike one it gives the planner
     the real size, so a small table is broadcast and a large one is not.
+    ``compression`` is for frames as long as the input, else the session's codec is used.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ledgerloom import schemas
 from ledgerloom.functions.money import MONEY
-from ledgerloom.functions.text import tags_json
+from ledgerloom.functions.text import fingerprint_bytes, fingerprint_text, tags_json
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.session import stored
 
@@ -42,8 +42,27 @@ def write_transactions(df: DataFrame, path: str, mode: str = "append") -> None:
     The rebalance hint lets AQE split a month that holds most rows into files of the
     advisory size and merge the small ones.
     """
-    keyed = completed(df).withColumn("month", F.date_format("date", "yyyy-MM"))
-    keyed.hint("rebalance", F.col("month")).write.mode(mode).partitionBy("month").parquet(path)
+    keyed = _packed(completed(df)).withColumn("month", F.date_format("date", "yyyy-MM"))
+    _unpacked(keyed.hint("rebalance", F.col("month"))).write.mode(mode).partitionBy("month").parquet(path, compression="zstd")
+
+
+# The bytes of an MD5 fingerprint while rows are moved; ``hash`` holds any other text then.
+_PRINT = "_print"
+
+
+def _packed(df: DataFrame) -> DataFrame:
+    if _PRINT in df.columns or "hash" not in df.columns:
+        return df
+    packed = df.withColumn(_PRINT, fingerprint_bytes("hash"))
+    return packed.withColumn("hash", F.when(F.col(_PRINT).isNull(), F.col("hash")))
+
+
+def _whole_hash() -> Column:
+    return F.coalesce(fingerprint_text(_PRINT), F.col("hash"))
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    return df.withColumn("hash", _whole_hash()).drop(_PRINT)
 
 
 def completed(df: DataFrame) -> DataFrame:
@@ -94,7 +113,11 @@ def append_transactions(rows: DataFrame, path: str, keys: Sequence[str] = ("hash
         marks = spark.createDataFrame([(high + count,)], "high BIGINT").coalesce(1)
         marks.write.mode("append").parquet(f"{path}/{HIGH_WATER}")
         start = spark.createDataFrame([(high,)], "high BIGINT")
-        write_transactions(assign_ids(rows, keys, start, digits=4), path)
+        packed = _packed(rows)
+        whole = [_whole_hash() if k == "hash" else k for k in keys]
+        # the bytes have the order of the texts
+        order = [k for key in keys for k in ([_PRINT, key] if key == "hash" else [key])]
+        write_transactions(assign_ids(packed, whole, start, digits=4, order=order), path)
 
 
 def load_ledger(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:

@@ -452,3 +452,40 @@ def test_rows_meet_small_tables(spark, tmp_path, monkeypatch):
     assert seen == [[7]] and done.rejected.isEmpty() and {r["account_id"] for r in done.added.collect()} == {7}
     rows = normalise.normalise_statement(read_statement(spark, path), "Rogers Mastercard")
     assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_new_rows_are_found_without_moving_them(spark, tmp_path, monkeypatch):
+    """Of the rows only fingerprints and positions are shuffled; the first of equal rows stays, by file, block and row."""
+    from ledgerloom.plans import imports
+
+    accounts, children, user_rules = tables(spark)
+    text = "Date,Description,Amount,Type\n" + "".join(f"2025-01-0{1 + n % 3},shop {n % 5},{n % 5}.00,x{n}\n" for n in range(200))
+    for name in ("b.csv", "a.csv"):
+        write(tmp_path, name, text)
+    rows = read_statement(spark, str(tmp_path))
+    # places that repeat or are missing
+    rows = rows.withColumns({"source_block": F.expr("nullif(source_row % 2, 0)"), "source_row": F.lit(1).cast("bigint")})
+    ids = normalise.file_accounts(rows, "Rogers Mastercard")
+    batch = normalise.normalise_statement(rows, "Rogers Mastercard", files=ids)
+    known = [r["hash"] for r in batch.select("hash").distinct().orderBy("hash").limit(4).collect()]
+    # the upper-case text is another fingerprint, as are those that are no MD5
+    ledger = spark.createDataFrame([(h,) for h in [*known[:3], known[3].upper(), "x", None]], "hash STRING")
+    want = new_rows(batch, ledger).select("source_file", "source_block", "hash")
+    # a file that is told of twice has each row twice; none is added twice
+    name = ids.select("source_file", F.lit("Rogers Mastercard").alias("account_name"), F.lit(None).cast("string").alias("account_number"))
+    given = name.unionAll(name)
+    plans = []
+
+    def stored(df, purpose, *rest):
+        out = kept(df, purpose, *rest)
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    kept = imports.stored
+    monkeypatch.setattr(imports, "stored", stored)
+    done = imports.import_frames([(rows, "Rogers Mastercard")], ledger, accounts, children, user_rules, given)
+    got = done.added.select("source_file", "source_block", "hash")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 12
+    assert {r["source_file"].rsplit("/", 1)[1] for r in got.collect()} == {"a.csv"}
+    moved = [plan for purpose, plan in plans if purpose == "added"]
+    assert len(moved) == 1 and "Window" not in moved[0] and "getbit" in moved[0]
