@@ -148,8 +148,12 @@ def _visits(fps: DataFrame, reach: int, name: str) -> DataFrame:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(a, b)``: every pair of distinct fingerprints at most ``max_bits`` apart, once. ``fps.fp`` is unique."""
-    homes, visitors = _visits(fps, 0, "a"), _visits(fps, max_bits, "b")
+    """``(a, b)``: every pair of distinct fingerprints at most ``max_bits`` apart, once. ``fps.fp`` is unique.
+
+    Spark sizes the visits like the fingerprints that make them, some 61 times too low, so they are always
+    sorted and merged: a broadcast of them could fill the driver.
+    """
+    homes, visitors = _visits(fps, 0, "a").hint("merge"), _visits(fps, max_bits, "b").hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     joined = homes.join(
         visitors.withColumnRenamed("anchor", "visited"),

@@ -59,6 +59,13 @@ def test_links_and_components(spark):
     assert all({roots.get(f, f) for f in g} == {min(g)} for g in groups.values())
 
 
+def test_visits_are_never_broadcast(spark):
+    """Each fingerprint makes 61 visits, which Spark sizes like one row: a table just below the broadcast limit would fill the driver."""
+    frame = spark.range(5).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_one_row_of_each_component_stays(spark):
     """Near copies without ids are one row; rows that share an id are judged each by its own component."""
     rng = random.Random(15)
