@@ -10,7 +10,7 @@ from ledgerloom.functions.money import clean_amount, memo_balance, memo_mortgage
 from ledgerloom.operators import normalise
 from ledgerloom.operators.numbering import assign_ids
 from ledgerloom.plans import imports
-from ledgerloom.session import shared_folder
+from ledgerloom.session import shared_folder, shuffles_dropped
 from ledgerloom.sources import seeds, statements, tables
 from ledgerloom.streaming.imports import import_stream
 
@@ -599,8 +599,11 @@ def _(f):
 def _(f):
     folder = shared_folder(f.spark, "statement")
     rows = card_rows(f).select("Date", "Description", "Amount", "Type")
-    rows.write.options(**WRITE).csv(f"{folder}/card")
-    rows.select("Amount", "Description", "Date").write.options(**WRITE).csv(f"{folder}/invest")
+    # compressed and of at most a million rows, as no file is split
+    packed = {**WRITE, "compression": "gzip", "maxRecordsPerFile": 1_000_000}
+    with shuffles_dropped(f.spark):
+        rows.write.options(**packed).csv(f"{folder}/card")
+        rows.select("Amount", "Description", "Date").write.options(**packed).csv(f"{folder}/invest")
     empty = f.txns.select("id", F.lit("").alias("hash")).filter("hash = 'x'")
     sources = {"Rogers Mastercard": f"{folder}/card", "Wealthsimple Invest": f"{folder}/invest"}
     done = imports.import_statements(f.spark, sources, empty, f.accounts, f.children, f.rules)

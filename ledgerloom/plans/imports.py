@@ -25,6 +25,10 @@ from ledgerloom.sources.statements import BAD, LINEAGE, read_statements, stateme
 # number in the frame. Unlike LINEAGE it is never NULL or repeated.
 PLACE = ["frame", "account_nth", "row_number"]
 
+# A row of marks is of 2**BLOCK_BITS row numbers. Row numbers are counted from 2**TASK_BITS times the number of the task that writes
+# the row. New rows are found in passes, each with the marks of at most MOST_BLOCKS rows, 134 million places in some 20 MB.
+BLOCK_BITS, TASK_BITS, MOST_BLOCKS = 12, 33, 1 << 15
+
 
 @dataclass
 class Imported:
@@ -129,13 +133,55 @@ def first_places(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return first_of_each(prints, "_print", order).join(known, "_print", "left_anti").select(PLACE)
 
 
-def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The rows at some places. Each word marks 64 places, so the rows meet a table far smaller than they are."""
+def place_marks(places: DataFrame) -> DataFrame:
+    """Some places as bits, written: a row of 64 words for each 4,096 numbers of which one is among them."""
     *where, number = PLACE
     words = places.selectExpr(*where, f"{number} >> 6 AS _at", f"1L << CAST({number} & 63 AS INT) AS _bit")
-    marks = stored(words.groupBy(*where, "_at").agg(F.bit_or("_bit").alias("_word")), "new-places", "zstd")
-    met = rows.withColumn("_at", F.shiftright(number, 6)).join(marks, [*where, "_at"])
-    return met.filter(f"getbit(_word, CAST({number} & 63 AS INT)) = 1").select(rows.columns)
+    words = words.groupBy(*where, "_at").agg(F.bit_or("_bit").alias("_word"))
+    held = F.map_from_entries(F.collect_list(F.struct(F.expr("CAST(_at & 63 AS INT)"), F.col("_word"))))
+    blocks = words.groupBy(*where, F.shiftright("_at", BLOCK_BITS - 6).alias("_block")).agg(held.alias("_held"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("_held", i), F.lit(0).cast("bigint")))
+    return stored(blocks.select(*where, "_block", dense.alias("_words")), "new-places", "zstd")
+
+
+def mark_ranges(marks: DataFrame, most: int = MOST_BLOCKS) -> list[tuple[int, int]]:
+    """Ranges of row numbers, first and end, that hold all marks, each ``most`` blocks at most where no task wrote more.
+
+    A row number begins with the task that wrote the row, so one count per task comes here.
+    """
+    counts = marks.groupBy(F.shiftright("_block", TASK_BITS - BLOCK_BITS).alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    ends, held = [0], 0
+    for task, n in sorted(map(tuple, counts.collect())):
+        if held and held + n > most:
+            ends.append(task << TASK_BITS)
+            held = 0
+        held += n
+    return list(zip(ends, [*ends[1:], 2**63 - 1], strict=True))
+
+
+def rows_at(rows: DataFrame, marks: DataFrame, first: int, end: int) -> DataFrame:
+    """The rows at the marked places of a range of row numbers.
+
+    The range bounds the marks, which are an eighth of a byte per row, so they are broadcast: left to its own, Spark sizes the
+    table by its compressed files, and shuffles all rows to meet the marks of a large import.
+    """
+    *where, number = PLACE
+    some = F.broadcast(marks.filter(f"_block BETWEEN {first >> BLOCK_BITS} AND {(end - 1) >> BLOCK_BITS}"))
+    near = rows.filter(f"{number} BETWEEN {first} AND {end - 1}").withColumn("_block", F.shiftright(number, BLOCK_BITS))
+    met = near.join(some, [*where, "_block"])
+    return met.filter(f"getbit(get(_words, CAST({number} >> 6 & 63 AS INT)), CAST({number} & 63 AS INT)) = 1").select(rows.columns)
+
+
+def _added(fresh: DataFrame, rules: DataFrame, children: DataFrame) -> DataFrame:
+    """New rows with their category, written."""
+    named = resolve_category(categorise_batch(fresh, rules, children), children)
+    added = named.select(
+        *LINEAGE, "account_id", "date", "description", "original_desc", "amount",
+        F.col("child_category_id").cast("bigint").alias("child_category_id"), "memo", F.lit(0).alias("is_split"),
+        F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
+        F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
+    )
+    return stored(added, "added", "zstd")
 
 
 def import_frames(
@@ -146,7 +192,7 @@ def import_frames(
 
     Each file is parsed once: the normalised rows are written with all their cells, and
     accounts are taken from that table. Months, counts, duplicates and rejects are scans of it, in which rows meet small
-    tables only. New rows are told by their fingerprints and positions, and read again from there. Duplicates are
+    tables only. New rows are told by their fingerprints and positions, and read again from there, in passes of bounded marks. Duplicates are
     dropped before categories are looked for, so a file that comes again costs no
     matching. ``given`` has the account_name and account_number (or NULL) of files
     (source_file) for which they are not to be found out. Rejects hold all cells of
@@ -164,15 +210,10 @@ def import_frames(
     batch = fits.select(
         *LINEAGE, "account_id", "date", "description", "original_desc", "amount", "category", "memo", "currency", "hash"
     )
-    fresh = rows_at(fits, first_places(fits, ledger)).select(batch.columns)
-    named = resolve_category(categorise_batch(fresh, rules, children), children)
-    added = named.select(
-        *LINEAGE, "account_id", "date", "description", "original_desc", "amount",
-        F.col("child_category_id").cast("bigint").alias("child_category_id"), "memo", F.lit(0).alias("is_split"),
-        F.lit(0).alias("is_transfer"), "currency", F.lit("[]").alias("tags"),
-        F.col("ai_confidence").cast("decimal(5,2)").alias("ai_confidence"), "rule_id", "hash",
-    )
-    added = stored(added, "added", "zstd")
+    marks = place_marks(first_places(fits, ledger))
+    # one pass after the other, so that no more marks than those of one are in memory
+    passes = [_added(rows_at(fits, marks, *some).select(batch.columns), rules, children) for some in mark_ranges(marks)]
+    added = union_all(passes)
     return Imported(batch, added.select(batch.columns[:3]), added, rejected, account_table)
 
 

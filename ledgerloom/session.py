@@ -50,6 +50,13 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of each job inside when it ends, not when the driver happens to collect its garbage; for writes."""
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        yield
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -80,7 +87,9 @@ def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataF
     Like a checkpoint this survives lost executors; unlike one it gives the planner
     the real size, so a small table is broadcast and a large one is not.
     ``compression`` is for frames as long as the input, else the session's codec is used.
+    What was shuffled for it is deleted as soon as it is written.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path, compression=compression)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -16,6 +17,7 @@ from ledgerloom.operators import normalise
 from ledgerloom.operators.maintain import new_rows
 from ledgerloom.plans.imports import import_statements
 from ledgerloom.schemas import ACCOUNTS, CHILD_CATEGORIES, RULES
+from ledgerloom.session import settings, stored
 from ledgerloom.sources import statements
 from ledgerloom.sources.firsts import first_record
 from ledgerloom.sources.statements import read_statement, read_statements, scan_statement
@@ -489,3 +491,50 @@ def test_new_rows_are_found_without_moving_them(spark, tmp_path, monkeypatch):
     assert {r["source_file"].rsplit("/", 1)[1] for r in got.collect()} == {"a.csv"}
     moved = [plan for purpose, plan in plans if purpose == "added"]
     assert len(moved) == 1 and "Window" not in moved[0] and "getbit" in moved[0]
+
+
+@pytest.mark.parametrize("most", [1, 1 << 15])
+def test_rows_of_large_imports_meet_their_marks_in_passes(spark, tmp_path, monkeypatch, most):
+    """However many the marks are, rows aren't shuffled to meet them, and a pass has the marks of some tasks only."""
+    from ledgerloom.plans import imports
+
+    accounts, children, user_rules = tables(spark)
+    header = "Date,Description,Amount,Type\n"
+    for name in "abc":  # 300 rows in each file aren't in the file before
+        lines = [f"2025-01-01,shop {n},{n}.00,x\n" for n in range(300 * "abc".index(name), 5000 + 300 * "abc".index(name))]
+        write(tmp_path, f"{name}.csv", header + "".join(lines))
+    plans = []
+
+    def stored(df, purpose, *rest):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, purpose, *rest)
+
+    kept, ranges = imports.stored, imports.mark_ranges
+    monkeypatch.setattr(imports, "stored", stored)
+    monkeypatch.setattr(imports, "mark_ranges", lambda marks: ranges(marks, most))
+    with settings(spark, spark__sql__files__maxPartitionBytes="64k", spark__sql__files__openCostInBytes="64k", spark__sql__autoBroadcastJoinThreshold="-1"):
+        done = import_statements(spark, {"Rogers Mastercard": str(tmp_path)}, spark.createDataFrame([], "id BIGINT, hash STRING"), accounts, children, user_rules)
+        total = done.summary().filter("source_file = 'ALL FILES'").first()
+    assert (total["parsed"], total["inserted"], total["skipped"]) == (15000, 5600, 9400)
+    added = [tuple(r) for r in done.added.select(F.regexp_extract("source_file", "[a-c](?=.csv)", 0), "description").collect()]
+    assert sorted(added) == sorted([("a", f"shop {n}") for n in range(5000)] + [("b", f"shop {n}") for n in range(5000, 5300)] + [("c", f"shop {n}") for n in range(5300, 5600)])
+    moved = [plan for purpose, plan in plans if purpose == "added"]
+    assert (len(moved) > 1) == (most < 10) and not any("hashpartitioning(frame" in plan for plan in moved)
+
+
+def test_shuffles_go_when_their_table_is_written(spark):
+    """Shuffle files of a written table would stay until the driver collects its garbage."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = shuffled()
+    out = stored(spark.range(10_000).repartition(3, "id"), "test")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and out.count() == 10_000
