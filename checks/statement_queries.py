@@ -599,8 +599,8 @@ def _(f):
 def _(f):
     folder = shared_folder(f.spark, "statement")
     rows = card_rows(f).select("Date", "Description", "Amount", "Type")
-    # compressed and of at most a million rows, as no file is split
-    packed = {**WRITE, "compression": "gzip", "maxRecordsPerFile": 1_000_000}
+    # compressed, and of at most 100,000 rows, as no file is split
+    packed = {**WRITE, "compression": "gzip", "maxRecordsPerFile": 100_000}
     with shuffles_dropped(f.spark):
         rows.write.options(**packed).csv(f"{folder}/card")
         rows.select("Amount", "Description", "Date").write.options(**packed).csv(f"{folder}/invest")
